@@ -29,18 +29,28 @@ def size_of(text: str) -> Column:
     return (F.coalesce(F.octet_length(F.col(text).cast("string")), F.lit(0)) + OVERHEAD).cast("long")
 
 
-def _range_of(h: Column, i: Column, splitters: Column, count: int) -> Column:
-    """Number of splitters at or below the key (h, i), by binary search."""
-    steps = max(1, count.bit_length())
-    below = lambda m: (splitters[m]["h"] < h) | ((splitters[m]["h"] == h) & (splitters[m]["i"] <= i))
+#: Keys are hashes, so their top bits deal them evenly: splitters are looked up by these bits.
+TOP_BITS = 12
 
-    def step(a, _):
-        middle = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
-        go = (a["lo"] < a["hi"]) & below(F.least(middle, F.lit(max(0, count - 1))))
-        return F.struct(F.when(go, middle + 1).otherwise(a["lo"]).alias("lo"), F.when(go, a["hi"]).otherwise(F.least(a["hi"], middle)).alias("hi"))
 
-    start = F.struct(F.lit(0).alias("lo"), F.lit(count).alias("hi"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps + 1)), start, step, lambda a: a["lo"])
+def _lookup(spark, cuts: list[tuple[int, int]]) -> DataFrame:
+    """(_top, _base, _cuts): the number of splitters below each value of the top bits, and those in it."""
+    inside: dict[int, list[tuple[int, int]]] = {}
+    for h, i in cuts:
+        inside.setdefault(h >> (64 - TOP_BITS), []).append((h, i))
+    rows, base = [], 0
+    for top in range(-(1 << (TOP_BITS - 1)), 1 << (TOP_BITS - 1)):
+        own = inside.get(top, [])
+        rows.append((top, base, own))
+        base += len(own)
+    return F.broadcast(spark.createDataFrame(rows, "_top long, _base int, _cuts array<struct<h:bigint,i:bigint>>"))  # 2 ** TOP_BITS rows
+
+
+def _ranged(df: DataFrame, lookup: DataFrame) -> DataFrame:
+    """Column _r: the number of splitters at or below the key (_h, _i)."""
+    below = lambda c: (c["h"] < F.col("_h")) | ((c["h"] == F.col("_h")) & (c["i"] <= F.col("_i")))
+    joined = df.join(lookup, F.shiftright("_h", 64 - TOP_BITS) == F.col("_top"))
+    return joined.withColumn("_r", F.col("_base") + F.size(F.filter("_cuts", below))).drop("_top", "_base", "_cuts")
 
 
 def splitters(keys: DataFrame, count: int) -> list[tuple[int, int]]:
@@ -73,8 +83,8 @@ def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_c
     full = docs.select(*cols, size_of(text_col).alias("_n"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_h"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63) + 1)).alias("_i"))
     keys = cut(full.select("_n", "_h", "_i"), "shard-keys")
     cuts = splitters(keys, shards * FINE)
-    literal = F.array(*[F.struct(F.lit(h).cast("long").alias("h"), F.lit(i).cast("long").alias("i")) for h, i in cuts] or [F.struct(F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("i"))])
-    ranged = lambda df: df.withColumn("_r", _range_of(F.col("_h"), F.col("_i"), literal, len(cuts)))
+    lookup = _lookup(spark, cuts)
+    ranged = lambda df: _ranged(df, lookup)
     rows = ranged(keys).groupBy("_r").agg(F.sum("_n").alias("b"), F.count("*").alias("c")).collect()  # one row a range
     total, starts, at, count = sum(r["b"] for r in rows), [], 0, 0
     for r in sorted(rows, key=lambda r: r["_r"]):
