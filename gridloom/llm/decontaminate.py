@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm._common import cut, lower_ascii, small
+from gridloom.llm._common import cut, lower_ascii, pinned, small
 
 WINDOW, GRAM = 13, 3
 #: What lies between words, before lower-casing: ASCII that is neither digit nor letter.
@@ -58,7 +58,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     key = F.xxhash64("text").alias("th")
     least = lengths[0] if lengths else WINDOW
     gram = min(GRAM, least)
-    base = docs.select("doc_id", key, _words(F.col("text")).alias("w"))
+    base = docs.select("doc_id", key, pinned(_words(F.col("text"))).alias("w"))
     base = cut(base.select("doc_id", "th", F.size("w").cast("long").alias("n_words"), _grams(F.col("w"), gram, least - gram + 1).alias("grams")), "probes")
     none = F.array().cast("array<string>")
     if not lengths:
@@ -68,7 +68,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     hit = base.select("doc_id", "th", F.explode("grams").alias("gram")).join(small(tested), "gram", "left_semi").select("doc_id", "th").distinct()
     hit = cut(hit, "candidates")
     again = docs.select("doc_id", key, "text").alias("d").join(small(hit).alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.th") == F.col("h.th")), "left_semi")
-    again = again.dropDuplicates(["doc_id", "th"]).select("doc_id", "th", _words(lower_ascii(F.col("text"))).alias("w"))
+    again = again.dropDuplicates(["doc_id", "th"]).select("doc_id", "th", pinned(_words(lower_ascii(F.col("text")))).alias("w"))
     each = again.select("doc_id", "th", "w", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("len")).select("doc_id", "th", "len", F.explode(_windows("w", F.col("len"))).alias("x"))
     met = each.select("doc_id", "th", "len", "x.pos", "x.window").join(small(windows), ["len", "window"])
     seen = met.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("pos", "len"))).alias("at"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))

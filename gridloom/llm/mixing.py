@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm._common import BROADCAST_ROWS, WHITE, cut, small
+from gridloom.llm._common import BROADCAST_ROWS, WHITE, cut, pinned, small
 
 SHARE, WEIGHTS, MOST = 1.5, (5, 2, 1), 2
 SLICE_ROWS = 2000
 
 
 def size_of(text: str):
-    return F.size(F.filter(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), WHITE + "+"), lambda w: w != "")).cast("long")
+    return pinned(F.size(F.filter(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), WHITE + "+"), lambda w: w != "")).cast("long"))
 
 
 def targets(sizes: dict[str | None, int], share: float = SHARE, weights: Sequence[float] = WEIGHTS, most: float = MOST) -> dict[str | None, float]:

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm._common import WHITE, WHITE_CHARS, cut
+from gridloom.llm._common import WHITE, WHITE_CHARS, cut, pinned
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -33,16 +33,16 @@ def with_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     blank = lambda c: F.translate(c, WHITE_CHARS, "") == ""
     # Stages are separate projections, so that each array is made once and then read.
     df = docs.withColumn("_t", text)
-    df = df.withColumn("_w", F.filter(F.split("_t", WHITE + "+"), lambda w: w != "")).withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: ~blank(x)))
+    df = df.withColumn("_w", pinned(F.filter(F.split("_t", WHITE + "+"), lambda w: w != ""))).withColumn("_l", pinned(F.filter(F.split("_t", "\n"), lambda x: ~blank(x))))
     df = df.withColumn("n_words", F.size("_w").cast("long"))
     # Windows are compared by a 64-bit hash of their three words.
     window = lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2))
-    df = df.withColumn("_g", F.when(F.col("n_words") >= 3, F.transform(F.sequence(F.lit(0), F.size("_w") - 3), window)).otherwise(F.array().cast("array<bigint>")))
+    df = df.withColumn("_g", pinned(F.when(F.col("n_words") >= 3, F.transform(F.sequence(F.lit(0), F.size("_w") - 3), window)).otherwise(F.array().cast("array<bigint>"))))
     some = F.size(F.array_distinct("_g")) < F.size("_g")
     # Places of windows found twice or more, in order; each covers three words.
-    df = df.withColumn("_s", F.when(some, F.sort_array(F.transform("_g", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    df = df.withColumn("_s", pinned(F.when(some, F.sort_array(F.transform("_g", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))))
     same = lambda x, j: (x["h"] == F.get("_s", j - 1)["h"]) | (x["h"] == F.get("_s", j + 1)["h"])
-    df = df.withColumn("_p", F.when(some, F.sort_array(F.transform(F.filter("_s", lambda x, j: F.coalesce(same(x, j), F.get("_s", F.when(j > 0, j - 1))["h"] == x["h"], F.get("_s", j + 1)["h"] == x["h"], F.lit(False))), lambda x: x["i"]))))
+    df = df.withColumn("_p", pinned(F.when(some, F.sort_array(F.transform(F.filter("_s", lambda x, j: F.coalesce(same(x, j), F.get("_s", F.when(j > 0, j - 1))["h"] == x["h"], F.get("_s", j + 1)["h"] == x["h"], F.lit(False))), lambda x: x["i"])))))
     covered = F.aggregate("_p", F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), lambda a, p: F.struct((p + 3).alias("end"), (a["n"] + p + 3 - F.greatest(a["end"], p)).alias("n")), lambda a: a["n"])
     return df.select(
         *docs.columns,
@@ -50,7 +50,7 @@ def with_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.length(F.translate("_t", WHITE_CHARS, "")).cast("long").alias("word_chars"),
         _deleted(F.col("_t"), SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
+        pinned(F.coalesce(covered, F.lit(0)).cast("long")).alias("n_repeat_words"),
         F.size("_l").cast("long").alias("q_lines"),
         _deleted(F.col("_t"), "!").cast("long").alias("q_bangs"),
         _deleted(F.col("_t"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long").alias("q_upper"),
