@@ -59,7 +59,11 @@ def templates(spark: SparkSession, texts: dict[str, str] | None = None) -> DataF
 
 def _bands(shingles):
     """Least hash of the shingles under each of BANDS seeded functions."""
-    return F.array(*[F.struct(F.lit(b).alias("band"), F.array_min(F.transform(shingles, lambda s, b=b: F.xxhash64(F.lit(b), s))).alias("least")) for b in range(BANDS)])
+
+    def band(b: int):
+        return F.struct(F.lit(b).alias("band"), F.array_min(F.transform(shingles, lambda s: F.xxhash64(F.lit(b), s))).alias("least"))
+
+    return F.array(*[band(b) for b in range(BANDS)])
 
 
 def scan(docs: DataFrame, texts: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -82,8 +86,8 @@ def scan(docs: DataFrame, texts: dict[str, str] | None = None, id_col: str = "do
     windows = cut(windows.select("doc_id", "th", pinned(relevant).alias("x")).filter("size(x) > 0"), "windows")
     probes = windows.select("doc_id", "th", "x", F.explode(_bands("x")).alias("b")).select("doc_id", "th", "x", "b.band", "b.least")
     index = known.select("license", "shingles", F.explode(_bands("shingles")).alias("b")).select("license", F.col("b.band").alias("band"), F.col("b.least").alias("least"))
-    met = probes.join(F.broadcast(index), ["band", "least"]).select("doc_id", "th", "license").distinct()
-    each = windows.join(met, (windows.th == met.th) & windows.doc_id.eqNullSafe(met.doc_id)).select(windows.doc_id, windows.th, "license", F.explode("x").alias("s")).distinct()
+    met = probes.join(F.broadcast(index), ["band", "least"]).select(F.col("doc_id").alias("i"), F.col("th").alias("k"), "license").distinct()
+    each = windows.join(met, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("k"))).select("doc_id", "th", "license", F.explode("x").alias("s")).distinct()
     tests = known.select(F.col("license").alias("l"), F.explode("shingles").alias("t"), F.size("shingles").alias("n"))
     found = each.join(F.broadcast(tests), (F.col("license") == F.col("l")) & (F.col("s") == F.col("t"))).groupBy("doc_id", "th", "license").agg((F.count("*") / F.max("n")).alias("share")).filter(f"share >= {CONTAINED}")
     found = found.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("license", F.round("share", 4).alias("share")))).alias("m"))
