@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm._common import cut, lower_ascii, pinned, small
 
-SHINGLE, WINDOW, STRIDE, BANDS, CONTAINED = 3, 48, 24, 16, 0.8
+SHINGLE, WINDOW, STRIDE, BANDS, CONTAINED = 3, 48, 24, 16, 0.95
 BETWEEN = "[^0-9A-Za-z]+"
 
 #: Short notices by which licenses are applied (fixed values).

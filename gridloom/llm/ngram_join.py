@@ -35,6 +35,8 @@ WORDS, SHARE = 5, (80, 100)
 BAND_RATIO = 1.6
 #: A segment seen in more documents of one task than this goes out row by row, dealt at random.
 HOT = 48
+#: Signatures that one segment forced on (nearly) empty content is counted as, in ``plan``.
+FORCED = 8
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _S = [np.uint64(x) for x in (30, 27, 31, 32, 33)]
@@ -135,7 +137,7 @@ def plan(k: int) -> tuple[int, int, int]:
                 mean = size / m
                 poor = math.exp(-mean) if depth == 1 else math.exp(-mean) * (1 + mean)
                 useful = m * (1 - poor) - 2 * math.sqrt(m * poor * (1 - poor))
-                cost += kept * (1 if depth == 1 else 1 + mean) + 60 * max(0.0, kept - useful)
+                cost += kept * (1 if depth == 1 else 1 + mean) + FORCED * max(0.0, kept - useful)
             if best is None or cost < best[0]:
                 best = (cost, depth, m, spare)
     return best[1:]
@@ -186,101 +188,117 @@ def signatures(s: np.ndarray, mixed: np.ndarray):
 
 # ---- Spark stages ------------------------------------------------------------------------
 
-PROFILE = "doc_id long, n_shingles long, h1 long, h2 long"
+ROWS = "kind int, sig long, h1 long, role int, slack int, doc_id long, n_shingles long, h2 long"
+SHARED, PROFILE = 0, 1
+#: Documents whose signatures are packed together.
+PACK = 1500
 
 
-def profile(docs: DataFrame) -> DataFrame:
-    """One row per input row: size of its set and a 128-bit hash of the set."""
+def indexed_rows(docs: DataFrame) -> DataFrame:
+    """Rows of two kinds, from one pass over the texts.  PROFILE: doc_id, size and 128-bit hash of the
+    set of each input row.  SHARED: (sig, h1, role, slack) of every signature that two or more
+    classes have (rows may repeat).
 
-    def run(batches):
-        hashes = WordHashes()
-        for batch in batches:
-            n, h1, h2 = [], [], []
-            for text in batch.column(1).to_pylist():
-                s = shingle_hashes(words_of(text), hashes)
-                with np.errstate(over="ignore"):
-                    n.append(len(s))
-                    h1.append(handle(s))
-                    h2.append(np.add.reduce(mix(s + _M[2]), dtype=np.uint64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), *(pa.array(np.array(h, np.uint64).view(np.int64)) for h in (h1, h2))], ["doc_id", "n_shingles", "h1", "h2"]
-            )
-
-    return docs.mapInArrow(run, PROFILE)
-
-
-def handle(s: np.ndarray) -> np.uint64:
-    with np.errstate(over="ignore"):
-        return mix(np.add.reduce(mix(s ^ _M[0]), dtype=np.uint64) + np.uint64(len(s)))
-
-
-def shared_segments(docs: DataFrame) -> DataFrame:
-    """(sig, h1, role, slack) of every segment signature that two or more classes have.
-
-    Signatures travel in packed blocks, dealt by bucket.  A signature that is frequent within a
-    task keeps two markers in its bucket and sends the rest in blocks dealt at random, so what
-    one task gathers of it is bounded by ``HOT`` times the number of map tasks."""
+    Signatures travel in packed blocks, dealt by bucket.  A signature that is frequent among the
+    documents packed together keeps two markers in its bucket and sends the rest in blocks dealt at
+    random, so what one task gathers of it is bounded by ``HOT`` times the number of packs."""
     spark = docs.sparkSession
     buckets = 4 * partitions(spark)
+    names = ["bucket", "sigs", "handles", "metas", "ids"]
+    rows = [x.split() for x in ROWS.split(", ")]
+    kinds = {"int": pa.int32(), "long": pa.int64()}
+    schema = pa.schema([(n, kinds[k]) for n, k in rows])
+    signed = lambda x: pa.array(x.view(np.int64))
+
+    def packed(to, parts):
+        """One row per value of the sorted ``to``."""
+        at = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
+        till = np.append(at[1:], len(to))
+        blocks = [[x[i:j].tobytes() for i, j in zip(at, till, strict=True)] for x in parts]
+        return pa.RecordBatch.from_arrays([pa.array(to[at].astype(np.int32)), *(pa.array(b, pa.binary()) for b in blocks), pa.nulls(len(at), pa.binary())], names)
 
     def emit(batches):
-        hashes = WordHashes()
+        hashes, turn = WordHashes(), 0
         for batch in batches:
-            sigs, who, meta = [], [], []
-            for text in batch.column(0).to_pylist():
-                s = shingle_hashes(words_of(text), hashes)
-                if len(s):
-                    h, mixed = handle(s), mix(s * _M[1] + _M[2])
-                    for sig, role, slack in signatures(s, mixed):
-                        sigs.append(sig)
-                        who.append(np.full(len(sig), h, np.uint64))
-                        meta.append(np.full(len(sig), role << 4 | slack, np.uint8))
-            if not sigs:
-                continue
-            sig, h, m = map(np.concatenate, (sigs, who, meta))
-            order = np.lexsort((h, sig))
-            sig, h, m = sig[order], h[order], m[order]
-            new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (h[1:] != h[:-1])))
-            sig, h, m = sig[new], h[new], m[new]
-            first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-            size = np.diff(np.append(first, len(sig)))
-            rank = np.arange(len(sig)) - np.repeat(first, size)
-            hot = (np.repeat(size, size) > HOT) & (rank >= 2)
-            to = (sig % np.uint64(buckets)).astype(np.int64)
-            to[hot] = (mix(h[hot] ^ sig[hot]) % np.uint64(buckets)).astype(np.int64) + buckets
-            order = np.argsort(to, kind="stable")
-            to, sig, h, m = to[order], sig[order], h[order], m[order]
-            at = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
-            till = np.append(at[1:], len(to))
-            blocks = [[x[i:j].tobytes() for i, j in zip(at, till, strict=True)] for x in (sig, h, m)]
-            yield pa.RecordBatch.from_arrays([pa.array(to[at].astype(np.int32)), *(pa.array(b, pa.binary()) for b in blocks)], ["bucket", "sigs", "handles", "metas"])
+            for start in range(0, batch.num_rows, PACK):
+                part = batch.slice(start, PACK)
+                sigs, who, meta, profile = [], [], [], []
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    s = shingle_hashes(words_of(text), hashes)
+                    with np.errstate(over="ignore"):
+                        mixed = mix(s * _M[1] + _M[2])
+                        h = mix(np.add.reduce(mixed, dtype=np.uint64) + np.uint64(len(s)))
+                        profile.append((doc_id is None, doc_id or 0, len(s), h, np.add.reduce(mix(s + _M[2]), dtype=np.uint64)))
+                    if len(s) and doc_id is not None:
+                        for sig, role, slack in signatures(s, mixed):
+                            sigs.append(sig)
+                            who.append(np.full(len(sig), h, np.uint64))
+                            meta.append(np.full(len(sig), role << 4 | slack, np.uint8))
+                turn += 1
+                null, ids, n, h1, h2 = (np.array(x, t) for x, t in zip(zip(*profile, strict=True), (np.uint8, np.int64, np.int64, np.uint64, np.uint64), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array([2 * buckets + (hash_of(h1) + turn) % buckets], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (h1, h2, n, np.concatenate([ids.view(np.uint8), null])))], names)
+                if not sigs:
+                    continue
+                sig, h, m = map(np.concatenate, (sigs, who, meta))
+                order = np.argsort(sig)
+                sig, h, m = sig[order], h[order], m[order]
+                first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+                size = np.diff(np.append(first, len(sig)))
+                to = (((sig >> _S[3]) * np.uint64(buckets)) >> _S[3]).astype(np.int64)
+                if (size > HOT).any():
+                    # Markers: the first of the run, and the first that differs from it.
+                    run = np.repeat(np.arange(len(first)), size)
+                    differs = np.flatnonzero(h != h[first][run])
+                    second = differs[np.unique(run[differs], return_index=True)[1]]
+                    hot = np.repeat(size > HOT, size)
+                    hot[first] = False
+                    hot[second] = False
+                    far = (mix(h[hot] ^ sig[hot]) % np.uint64(buckets)).astype(np.int64) + buckets
+                    order = np.argsort(far, kind="stable")
+                    yield packed(far[order], [x[hot][order] for x in (sig, h, m)])
+                    to, sig, h, m = to[~hot], sig[~hot], h[~hot], m[~hot]
+                yield packed(to, (sig, h, m))
 
     def gather(batches):
         cold: list[list[np.ndarray]] = [[], [], []]
-        out = lambda s, h, m: pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(h.view(np.int64)), pa.array((m >> 4).astype(np.int32)), pa.array((m & 15).astype(np.int32))], ["sig", "h1", "role", "slack"])
+
+        def shared(s, h, m):
+            nothing = pa.nulls(len(s), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(s), SHARED, np.int32)), signed(s), signed(h), pa.array((m >> 4).astype(np.int32)), pa.array((m & 15).astype(np.int32)), nothing, nothing, nothing], schema=schema)
+
         for batch in batches:
-            for b, s, h, m in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for b, s, h, m, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if b >= 2 * buckets:
+                    h1, h2, n = np.frombuffer(s, np.uint64), np.frombuffer(h, np.uint64), np.frombuffer(m, np.int64)
+                    own, null = np.frombuffer(ids, np.int64, len(n)), np.frombuffer(ids, np.uint8, len(n), 8 * len(n)).astype(bool)
+                    nothing, less = pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), PROFILE, np.int32)), nothing, signed(h1), less, less, pa.array(own, mask=null), pa.array(n), signed(h2)], schema=schema)
+                    continue
                 parts = [np.frombuffer(s, np.uint64), np.frombuffer(h, np.uint64), np.frombuffer(m, np.uint8)]
                 if b >= buckets:
-                    yield out(*parts)
+                    yield shared(*parts)
                 else:
                     for to, x in zip(cold, parts, strict=True):
                         to.append(x)
         if cold[0]:
             sig, h, m = map(np.concatenate, cold)
-            order = np.lexsort((h, sig))
+            cold = []
+            order = np.argsort(sig)
             sig, h, m = sig[order], h[order], m[order]
-            new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (h[1:] != h[:-1])))
-            sig, h, m = sig[new], h[new], m[new]
             first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
             size = np.diff(np.append(first, len(sig)))
-            keep = np.flatnonzero(np.repeat(size, size) > 1)
+            several = np.logical_or.reduceat(h != np.repeat(h[first], size), first)
+            keep = np.flatnonzero(np.repeat(several, size))
             for i in range(0, len(keep), 100_000):
                 k = keep[i : i + 100_000]
-                yield out(sig[k], h[k], m[k])
+                yield shared(sig[k], h[k], m[k])
+
+    blocks = docs.select("doc_id", "text").mapInArrow(emit, "bucket int, sigs binary, handles binary, metas binary, ids binary")
+    return blocks.repartition(partitions(spark), "bucket").mapInArrow(gather, ROWS)
+
 
-    blocks = docs.select("text").mapInArrow(emit, "bucket int, sigs binary, handles binary, metas binary")
-    return blocks.repartition(partitions(spark), "bucket").mapInArrow(gather, "sig long, h1 long, role int, slack int").distinct()
+def hash_of(x: np.ndarray) -> int:
+    return int(x[0] >> _S[4]) if len(x) else 0
 
 
 def allocated(shared: DataFrame) -> DataFrame:
@@ -316,9 +334,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: doc_id, n_shingles, component_id (smallest id reachable by links)
     and n_copies_of (the id that stands for all documents with the same set)."""
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    profiles = cut(profile(docs), "profile")
+    rows = cut(indexed_rows(docs), "indexed-rows")
+    profiles = rows.filter(F.col("kind") == PROFILE).select("doc_id", "n_shingles", "h1", "h2")
+    shared = rows.filter(F.col("kind") == SHARED).select("sig", "h1", "role", "slack").distinct()
     classes = cut(profiles.filter("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles")), "classes")
-    indexed = cut(allocated(cut(shared_segments(docs.filter("doc_id is not null")), "segments")), "indexed")
+    indexed = cut(allocated(shared), "indexed")
     lead = indexed.filter("role = 0").groupBy("sig").agg(F.min("h1").alias("x"))
     star = indexed.join(lead, "sig").filter("x <> h1").select(F.least("x", "h1").alias("x"), F.greatest("x", "h1").alias("y"), F.col("x").alias("lead"), F.col("h1"))
 
