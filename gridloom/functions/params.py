@@ -143,7 +143,7 @@ class Area:
         """Longitude in the frame that was asked for."""
         c = F.col(lon)
         low = self.lon0 if self.lon0 <= self.lon1 else self.lon0 - 360
-        return F.when(c > low + 360, c - 360).when(c < low, c + 360).otherwise(c)
+        return F.when(c > self.lon1, c - 360).when(c < low, c + 360).otherwise(c)
 
 
 @dataclass(frozen=True)

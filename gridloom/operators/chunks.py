@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from gridloom.operators.aggregate import cadence
 
-SECOND = F.expr("interval 1 second")
+
+def second():
+    return F.expr("interval 1 second")
 
 
 def by_steps(cells: DataFrame, steps: int) -> DataFrame:
@@ -21,7 +23,7 @@ def by_steps(cells: DataFrame, steps: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("dataset_id").orderBy("time")) - 1
     got = axis.withColumn("chunk", F.floor(rank / steps).cast("int")).groupBy("dataset_id", "chunk").agg(F.min("time").alias("start"), F.max("time").alias("last"), F.count("*").alias("n"))
     following = F.lead("start").over(Window.partitionBy("dataset_id").orderBy("chunk"))
-    return got.select("dataset_id", "chunk", "start", F.coalesce(following - SECOND, F.col("last")).alias("end"), "n")
+    return got.select("dataset_id", "chunk", "start", F.coalesce(following - second(), F.col("last")).alias("end"), "n")
 
 
 def chunk_years(steps_per_year, target: int, least: int = 1, most: int = 50):
@@ -37,7 +39,7 @@ def by_years(spans: DataFrame, years: str = "years") -> DataFrame:
     day = F.to_date("start")
     clock = F.expr("timestampdiff(SECOND, date_trunc('day', start), start)")
     at = lambda k: (F.add_months(day, k * 12 * F.col(years)).cast("timestamp_ntz") + F.make_dt_interval(secs=clock.cast("decimal(18,6)")))
-    out = each.withColumn("a", at(F.col("chunk"))).withColumn("b", at(F.col("chunk") + 1) - SECOND)
+    out = each.withColumn("a", at(F.col("chunk"))).withColumn("b", at(F.col("chunk") + 1) - second())
     return out.filter("a <= end").select("dataset_id", "chunk", F.col("a").alias("start"), F.least("b", "end").alias("end"))
 
 
