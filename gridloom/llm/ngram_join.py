@@ -12,6 +12,9 @@ frequent ones once counts are known.  ``plan`` picks depth and spare per band by
 Candidates are then verified on their texts.  Within the documents that share a segment each
 meets the group's smallest first; only documents still in different components meet later, so
 large groups of near copies cost a number of pairs in proportion to their size, and none is lost.
+Groups that stay apart and are large (documents that share a passage, not a text) are not paired:
+their documents are indexed again by one-deletion neighbourhoods of segments twice as long.  A
+linked pair that shares only such groups is in that index with both sides, so it is found there.
 
 Edge cases: null or empty text, or text without words: no shingles, linked with nothing.
 Null ``doc_id``: counted, never linked, component null.  Rows that share a ``doc_id`` are one
@@ -35,6 +38,8 @@ WORDS, SHARE = 5, (80, 100)
 BAND_RATIO = 1.6
 #: A segment seen in more documents of one task than this goes out row by row, dealt at random.
 HOT = 48
+#: Groups of up to so many documents are paired from the first index, larger ones from the second.
+PAIRED = 8
 #: Signatures that one segment forced on (nearly) empty content is counted as, in ``plan``.
 FORCED = 8
 
@@ -121,14 +126,14 @@ def larger(size: int) -> int:
 
 
 @lru_cache(None)
-def plan(k: int) -> tuple[int, int, int]:
+def plan(k: int, depths: tuple[int, ...] = (1, 2)) -> tuple[int, int, int]:
     """(depth, segments, spare) of band k: the cheapest by signatures written, and by what is
     expected to be forced on empty or one-shingle segments, which match far too often."""
     e = edges_upto(2**40)
     a, b = e[k], e[k + 1] - 1
     apart = most_apart(b + larger(b))
     best = None
-    for depth in (1, 2):
+    for depth in depths:
         for spare in sorted({0, 1, 2, 3, 2 + apart // 24, 2 + apart // 16, 2 + apart // 12}):
             m = apart // depth + 1 + 2 * spare
             cost = 0.0
@@ -157,10 +162,14 @@ def roles(size: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def signatures(s: np.ndarray, mixed: np.ndarray):
-    """Yield (signatures, role, slack) for one sorted set; slack: how many may still be left out."""
+DELETED = 32
+
+
+def signatures(s: np.ndarray, mixed: np.ndarray, depths: tuple[int, ...] = (1, 2)):
+    """Yield (signatures, metas) for one sorted set.  A meta holds the role (16), whether a shingle was
+    deleted (32), and in its low bits how many signatures may still be left out."""
     for k, role, apart in roles(len(s)):
-        depth, m, spare = plan(k)
+        depth, m, spare = plan(k, depths)
         with np.errstate(over="ignore"):
             seg = ((s >> _S[3]) * np.uint64(m)) >> _S[3]
             starts = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1])))
@@ -173,7 +182,7 @@ def signatures(s: np.ndarray, mixed: np.ndarray):
                 keep = np.sort(np.argsort(-counts, kind="stable")[:want])
             else:
                 keep = np.arange(len(ids))
-            salt = lambda i: mix(i * _M[0] + np.uint64(k * 2 + 1) * _M[2])
+            salt = lambda i: mix(i * _M[0] + np.uint64(k * 4 + depth) * _M[2])
             out = [mix(sums[keep] ^ salt(ids[keep]))]
             if (lack := least - len(keep)) > 0:
                 empty = np.setdiff1d(np.arange(m, dtype=np.uint64), ids)[:lack]
@@ -183,20 +192,24 @@ def signatures(s: np.ndarray, mixed: np.ndarray):
                 which = np.searchsorted(ids, seg[kept])
                 out.append(mix((sums[which] - mixed[kept]) ^ salt(seg[kept])))
         slack = max(0, min(15, len(keep) - least)) if depth == 1 else 0
-        yield np.concatenate(out), role, slack
+        sigs = np.concatenate(out)
+        meta = np.full(len(sigs), role << 4 | slack, np.uint8)
+        if depth == 2:
+            meta[len(sigs) - len(out[-1]) :] |= DELETED
+        yield sigs, meta
 
 
 # ---- Spark stages ------------------------------------------------------------------------
 
-ROWS = "kind int, sig long, h1 long, role int, slack int, doc_id long, n_shingles long, h2 long"
+ROWS = "kind int, sig long, h1 long, meta int, doc_id long, n_shingles long, h2 long"
 SHARED, PROFILE = 0, 1
 #: Documents whose signatures are packed together.
 PACK = 1500
 
 
-def indexed_rows(docs: DataFrame) -> DataFrame:
+def indexed_rows(docs: DataFrame, depths: tuple[int, ...] = (1, 2)) -> DataFrame:
     """Rows of two kinds, from one pass over the texts.  PROFILE: doc_id, size and 128-bit hash of the
-    set of each input row.  SHARED: (sig, h1, role, slack) of every signature that two or more
+    set of each input row.  SHARED: (sig, h1, meta) of every signature that two or more
     classes have (rows may repeat).
 
     Signatures travel in packed blocks, dealt by bucket.  A signature that is frequent among the
@@ -230,10 +243,10 @@ def indexed_rows(docs: DataFrame) -> DataFrame:
                         h = mix(np.add.reduce(mixed, dtype=np.uint64) + np.uint64(len(s)))
                         profile.append((doc_id is None, doc_id or 0, len(s), h, np.add.reduce(mix(s + _M[2]), dtype=np.uint64)))
                     if len(s) and doc_id is not None:
-                        for sig, role, slack in signatures(s, mixed):
+                        for sig, m in signatures(s, mixed, depths):
                             sigs.append(sig)
                             who.append(np.full(len(sig), h, np.uint64))
-                            meta.append(np.full(len(sig), role << 4 | slack, np.uint8))
+                            meta.append(m)
                 turn += 1
                 null, ids, n, h1, h2 = (np.array(x, t) for x, t in zip(zip(*profile, strict=True), (np.uint8, np.int64, np.int64, np.uint64, np.uint64), strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array([2 * buckets + (hash_of(h1) + turn) % buckets], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (h1, h2, n, np.concatenate([ids.view(np.uint8), null])))], names)
@@ -264,7 +277,7 @@ def indexed_rows(docs: DataFrame) -> DataFrame:
 
         def shared(s, h, m):
             nothing = pa.nulls(len(s), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(s), SHARED, np.int32)), signed(s), signed(h), pa.array((m >> 4).astype(np.int32)), pa.array((m & 15).astype(np.int32)), nothing, nothing, nothing], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(s), SHARED, np.int32)), signed(s), signed(h), pa.array(m.astype(np.int32)), nothing, nothing, nothing], schema=schema)
 
         for batch in batches:
             for b, s, h, m, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -272,7 +285,7 @@ def indexed_rows(docs: DataFrame) -> DataFrame:
                     h1, h2, n = np.frombuffer(s, np.uint64), np.frombuffer(h, np.uint64), np.frombuffer(m, np.int64)
                     own, null = np.frombuffer(ids, np.int64, len(n)), np.frombuffer(ids, np.uint8, len(n), 8 * len(n)).astype(bool)
                     nothing, less = pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), PROFILE, np.int32)), nothing, signed(h1), less, less, pa.array(own, mask=null), pa.array(n), signed(h2)], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), PROFILE, np.int32)), nothing, signed(h1), less, pa.array(own, mask=null), pa.array(n), signed(h2)], schema=schema)
                     continue
                 parts = [np.frombuffer(s, np.uint64), np.frombuffer(h, np.uint64), np.frombuffer(m, np.uint8)]
                 if b >= buckets:
@@ -301,11 +314,34 @@ def hash_of(x: np.ndarray) -> int:
     return int(x[0] >> _S[4]) if len(x) else 0
 
 
+def shared_rows(rows: DataFrame) -> DataFrame:
+    """(sig, h1, role, deleted, slack, c), once each, of groups that can hold a pair: one of their documents
+    has the band as its own and all of its shingles."""
+    bit = lambda n: F.col("meta").bitwiseAND(n) > 0
+    each = rows.filter(F.col("kind") == SHARED).groupBy("sig", "h1").agg(F.min("meta").alias("meta"))
+    each = each.select("sig", "h1", bit(16).alias("lower"), bit(DELETED).alias("deleted"), F.col("meta").bitwiseAND(15).alias("slack"))
+    counts = each.groupBy("sig").agg(F.count("*").alias("c"), F.bool_or(~F.col("lower")).alias("own"), F.bool_or(~F.col("deleted")).alias("full")).filter("c > 1 and own and full")
+    return each.join(counts.select("sig", "c"), "sig")
+
+
 def allocated(shared: DataFrame) -> DataFrame:
     """Leave out, of each set, the most frequent signatures that its slack allows."""
-    counts = shared.groupBy("sig").agg(F.count("*").alias("c"), F.max((F.col("role") == 0).cast("int")).alias("own")).filter("c > 1 and own = 1")
-    rank = F.row_number().over(Window.partitionBy("h1", "role").orderBy(F.col("c").desc(), "sig"))
-    return shared.join(counts, "sig").withColumn("r", rank).filter("c <= 2 or r > slack").select("sig", "h1", "role")
+    rank = F.row_number().over(Window.partitionBy("h1", "lower").orderBy(F.col("c").desc(), "sig"))
+    return shared.withColumn("r", rank).filter("c <= 2 or r > slack").select("sig", "h1", "lower", "deleted")
+
+
+def stars(indexed: DataFrame) -> DataFrame:
+    """(x, y, lead, h1): each document of a group with the group's first."""
+    lead = indexed.filter("not lower").groupBy("sig").agg(F.min(F.struct("deleted", "h1")).alias("x"))
+    return indexed.join(lead, "sig").filter("x.h1 <> h1").select(F.least("x.h1", "h1").alias("x"), F.greatest("x.h1", "h1").alias("y"), F.col("x.h1").alias("lead"), "h1")
+
+
+def pairs_of(member: DataFrame) -> DataFrame:
+    """Pairs (x, y) within groups, of different labels, that the index has to find: not both in a band
+    above, and not both with a shingle deleted."""
+    left, right = (member.select("sig", *(F.col(c).alias(f"{c}_{s}") for c in ("h1", "lower", "deleted", "label"))) for s in "pq")
+    met = left.join(right, "sig").filter("not lower_p and label_p <> label_q and (lower_q or h1_p < h1_q) and not (deleted_p and deleted_q)")
+    return met.select(F.least("h1_p", "h1_q").alias("x"), F.greatest("h1_p", "h1_q").alias("y"))
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -336,35 +372,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     rows = cut(indexed_rows(docs), "indexed-rows")
     profiles = rows.filter(F.col("kind") == PROFILE).select("doc_id", "n_shingles", "h1", "h2")
-    shared = rows.filter(F.col("kind") == SHARED).select("sig", "h1", "role", "slack").distinct()
     classes = cut(profiles.filter("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles")), "classes")
-    indexed = cut(allocated(shared), "indexed")
-    lead = indexed.filter("role = 0").groupBy("sig").agg(F.min("h1").alias("x"))
-    star = indexed.join(lead, "sig").filter("x <> h1").select(F.least("x", "h1").alias("x"), F.greatest("x", "h1").alias("y"), F.col("x").alias("lead"), F.col("h1"))
+    indexed = cut(allocated(shared_rows(rows)), "indexed")
+    star = stars(indexed)
 
-    # Round 1: each class meets one partner.  Round 2: the leader of each of its groups.
-    # Round 3: whatever of a group is still apart.  Later rounds skip what is already connected.
+    # Each class meets one partner first, then the first of each of its groups, then the rest of small
+    # groups that are still apart; documents of large ones go through the second index likewise.
     done = cut(star.groupBy("h1").agg(F.min("lead").alias("lead")).select(F.least("lead", "h1").alias("x"), F.greatest("lead", "h1").alias("y")).distinct(), "first")
-    links = cut(verified(done, classes, docs), "links")
-    labels = cut(components(links, "a", "b"), "labels")
-    for turn in ("star", "rest"):
-        of = classes.join(labels, classes.rep == labels.node, "left").select("h1", F.coalesce("label", "rep").alias("label"))
-        if turn == "star":
-            pairs = star.select("x", "y")
-        else:
-            member = indexed.join(of, "h1")
-            apart = member.groupBy("sig").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("c")).filter("l0 < l1 and c > 2").select("sig")
-            member = member.join(apart, "sig").select("sig", "h1", "role", "label")
-            left, right = (member.select("sig", *(F.col(c).alias(f"{c}_{s}") for c in ("h1", "role", "label"))) for s in "pq")
-            met = left.join(right, "sig").filter("role_p = 0 and label_p <> label_q and (role_q = 1 or h1_p < h1_q)")
-            pairs = met.select(F.least("h1_p", "h1_q").alias("x"), F.greatest("h1_p", "h1_q").alias("y"))
+    labels = cut(components(verified(done, classes, docs), "a", "b"), "labels")
+
+    def labelled() -> DataFrame:
+        return classes.join(labels, classes.rep == labels.node, "left").select("h1", "rep", F.coalesce("label", "rep").alias("label"))
+
+    def meet(pairs: DataFrame) -> None:
+        """Verify those pairs that are new and not connected yet; update the labels."""
+        nonlocal done, labels
+        of = labelled()
         lx, ly = of.select(F.col("h1").alias("x"), F.col("label").alias("lx")), of.select(F.col("h1").alias("y"), F.col("label").alias("ly"))
-        pairs = cut(pairs.distinct().join(done, ["x", "y"], "left_anti").join(lx, "x").join(ly, "y").filter("lx <> ly").select("x", "y"), turn)
-        more = cut(verified(pairs, classes, docs), "links")
+        pairs = cut(pairs.distinct().join(done, ["x", "y"], "left_anti").join(lx, "x").join(ly, "y").filter("lx <> ly").select("x", "y"), "meet")
         done = done.unionByName(pairs)
+        more = cut(verified(pairs, classes, docs), "links")
         if more.limit(1).count():
             known = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).filter("a <> b")
             labels = cut(components(known.unionByName(more), "a", "b"), "labels")
+
+    def still_apart(index: DataFrame) -> DataFrame:
+        """Rows of the groups, of three or more, that are in several components."""
+        member = index.join(labelled().select("h1", "label"), "h1")
+        apart = member.groupBy("sig").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("c")).filter("l0 < l1 and c > 2").select("sig", "c")
+        return cut(member.join(apart, "sig"), "apart")
+
+    meet(star.select("x", "y"))
+    apart = still_apart(indexed)
+    large = apart.filter(F.col("c") > PAIRED).select("h1").distinct().join(labelled(), "h1").select(F.col("rep").alias("doc_id")).distinct()
+    large = cut(large, "large")
+    meet(pairs_of(apart.filter(F.col("c") <= PAIRED)))
+    if large.limit(1).count():
+        again = docs.join(small(large), "doc_id", "left_semi").select("doc_id", "text")
+        second = cut(shared_rows(cut(indexed_rows(again, (2,)), "indexed-again")).select("sig", "h1", "lower", "deleted"), "second")
+        meet(stars(second).select("x", "y"))
+        meet(pairs_of(still_apart(second)))
     named = classes.join(labels, classes.rep == labels.node, "left").select("h1", "h2", "rep", F.coalesce("label", "rep").alias("component"))
     out = profiles.join(named, ["h1", "h2"], "left")
     has = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
