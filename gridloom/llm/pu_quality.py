@@ -3,9 +3,10 @@
 Each text becomes a few counts and shares; an additive model over their quantile bins is fitted
 by the non-negative unbiased risk (positives carry the class prior; the negative part of the
 risk, estimated from unlabelled minus positive texts, is kept from going below zero).  The class
-prior is estimated too: unlabelled texts are a mixture, so wherever the first model looks, the
-share of unlabelled mass per positive mass is at least the prior, and its minimum estimates it.
-Negative labels are never used.
+prior is estimated too: by the share of positives among the trusted labels where there are enough
+of both kinds, else from the mixture: wherever a first model looks, unlabelled mass per positive
+mass is at least the prior, and its minimum over held-back halves estimates it.  No text with a
+negative label is trained on as such.
 
 The fit sees at most ``MAX_POSITIVE`` trusted and ``MAX_UNLABELLED`` other texts, drawn by a seeded
 hash of the id; every text is scored.
@@ -29,6 +30,8 @@ from gridloom.llm._common import cut, small
 
 MAX_POSITIVE, MAX_UNLABELLED, BINS, SEED = 12_000, 24_000, 12, 5
 STEPS, RATE, PENALTY = 400, 0.05, 2e-4
+#: Trusted labels that make their share of positives the class prior.
+LEAST_LABELS = 100
 
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 _UPPER = re.compile(r"[A-Z]")
@@ -108,6 +111,7 @@ class Model:
 def _fit(model: Model, p: np.ndarray, u: np.ndarray, prior: float | None) -> None:
     """Adam on the risk.  prior None: plain positive against unlabelled, for the prior's estimate."""
     width = len(model.weights)
+    penalty = PENALTY + 2 / max(1, len(p))
     state = np.zeros((2, width + 1))
     theta = np.zeros(width + 1)
     sig = lambda g: 1 / (1 + np.exp(-np.clip(g, -30, 30)))
@@ -125,7 +129,7 @@ def _fit(model: Model, p: np.ndarray, u: np.ndarray, prior: float | None) -> Non
             negative = soft(gu).mean() - prior * soft(gp).mean()
             push = pull(u, sig(gu)) - prior * pull(p, sig(gp))
             grad = prior * pull(p, sig(gp) - 1) + push if negative >= 0 else -push
-        grad[:-1] += PENALTY * theta[:-1]
+        grad[:-1] += penalty * theta[:-1]
         state[0] = 0.9 * state[0] + 0.1 * grad
         state[1] = 0.99 * state[1] + 0.01 * grad**2
         theta = theta - RATE * (state[0] / (1 - 0.9**t)) / (np.sqrt(state[1] / (1 - 0.99**t)) + 1e-8)
@@ -140,15 +144,19 @@ def estimate_prior(gp: np.ndarray, gu: np.ndarray) -> float:
     return float(np.clip(min(ratios), 0.05, 0.99))
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray) -> tuple[Model, float]:
+def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None) -> tuple[Model, float]:
     both = np.concatenate([positive, unlabelled])
     edges = [np.unique(np.quantile(both[:, k], np.linspace(0, 1, BINS + 1)[1:])) for k in range(both.shape[1])]
     empty = lambda: Model(edges, np.zeros(len(edges) * (BINS + 1)), 0.0)
-    first = empty()
-    p, u = first.places(positive), first.places(unlabelled)
-    _fit(first, p, u, None)
-    prior = estimate_prior(first.raw(p), first.raw(u))
     model = empty()
+    p, u = model.places(positive), model.places(unlabelled)
+    if prior is None:
+        halves = []
+        for k in (0, 1):
+            first = empty()
+            _fit(first, p[k::2], u[k::2], None)
+            halves.append(estimate_prior(first.raw(p[1 - k :: 2]), first.raw(u[1 - k :: 2])))
+        prior = sum(halves) / 2
     _fit(model, p, u, prior)
     return model, prior
 
@@ -164,11 +172,14 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     positive = sample(rows.join(small(trusted), "doc_id", "left_semi"), MAX_POSITIVE)
     unlabelled = sample(rows.join(small(trusted), "doc_id", "left_anti"), MAX_UNLABELLED)
     # Unlabelled text is to be a sample of the whole mixture: trusted texts go in by their share.
+    share = labels.filter("quality in (0, 1) and doc_id is not null").filter(~out).groupBy("quality").count().collect()  # two rows
+    share = {r["quality"]: r["count"] for r in share}
+    prior = share[1] / (share[0] + share[1]) if share.get(0) and share.get(1) and sum(share.values()) >= LEAST_LABELS else None
     model = None
     if len(positive) and len(unlabelled):
         n_all, n_trusted = rows.count(), rows.join(small(trusted), "doc_id", "left_semi").count()
         back = min(len(positive), round(len(unlabelled) * n_trusted / max(1, n_all - n_trusted)))
-        model, _ = train(positive, np.concatenate([unlabelled, positive[:back]]))
+        model, _ = train(positive, np.concatenate([unlabelled, positive[:back]]), prior)
 
     def run(batches):
         for batch in batches:
