@@ -20,6 +20,7 @@ rows that share an id are kept in order of their text's hash.  Empty tables writ
 from __future__ import annotations
 
 import bisect
+import re
 import struct
 import uuid
 import zlib
@@ -195,12 +196,16 @@ class ShardReader:
 class Encoder:
     """The tokenizer's ids of whole texts as little-endian 32-bit bytes.
 
-    The tokenizer splits at white space before anything crosses it, so a text's ids are those of
-    its space-separated words in turn; words repeat, and their ids are kept.  New words of a batch
-    are encoded together around a separator word whose single id marks where they end; words that
-    hold the separator, or are long, are encoded alone."""
+    The tokenizer lower-cases, and splits at white space and between letters and marks before
+    anything crosses these places.  So a text's ids are those of its words in turn, A-Z may be
+    lowered and a comma or full stop at a word's end be set apart first (not in texts that may hold
+    a special token, which begin with ``<``).  Words repeat, and their ids are kept.  New words of
+    letters only are encoded together: each is one piece, which ends with an end-of-word token.
+    Others are encoded together around a separator word with a single id; words that hold the
+    separator, or are long, alone."""
 
-    SEPARATOR, LONG, KEEP = "0", 64, 250_000
+    SEPARATOR, LONG, KEEP = "0", 64, 500_000
+    MARKS = re.compile("(?<=[a-z])([.,])(?= |$)")
 
     def __init__(self, path: str):
         import os
@@ -212,31 +217,50 @@ class Encoder:
         mark = self._ids(self.SEPARATOR)
         self.mark = mark[0] if len(mark) == 1 else None
         self.known: dict[str, bytes] = {"": b""}
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        vocabulary = self.tokenizer.get_vocab()
+        self.width = 2 if max(vocabulary.values()) < 1 << 16 else 4
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
+    def _keep(self, part: list[str], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        raw = ids.tobytes()
+        self.known.update(zip(part, [raw[a:b] for a, b in zip((starts * 4).tolist(), (ends * 4).tolist(), strict=True)], strict=True))
+
     def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if self.SEPARATOR not in w and len(w) <= self.LONG] if self.mark is not None else []
+        short = [w for w in words if len(w) <= self.LONG]
+        letters = [w for w in short if w.isalpha()]
+        for k in range(0, len(letters), 4000):
+            part = letters[k : k + 4000]
+            ids = np.array(self._ids(" ".join(part)), "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                self._keep(part, ids, np.append(0, ends[:-1]), ends)
+        plain = [w for w in short if w not in self.known and self.SEPARATOR not in w] if self.mark is not None else []
         for k in range(0, len(plain), 4000):
             part = plain[k : k + 4000]
             ids = np.array(self._ids(f" {self.SEPARATOR} ".join(part)), "<u4")
             ends = np.flatnonzero(ids == self.mark)
             if len(ends) == len(part) - 1:
-                for w, x in zip(part, np.split(ids, ends), strict=True):
-                    self.known[w] = x.tobytes() if w is part[0] else x[1:].tobytes()
+                self._keep(part, ids, np.append(0, ends + 1), np.append(ends, len(ids)))
         for w in words:
             if w not in self.known:
                 self.known[w] = np.array(self._ids(w), "<u4").tobytes()
 
+    def _words(self, text: str) -> list[str]:
+        text = text.replace("\n", " ")
+        if "<" not in text:
+            text = self.MARKS.sub(r" \1", text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
+        return text.split(" ")
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.KEEP:
             self.known = {"": b""}
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(dict.fromkeys(w for ws in split for w in ws if w not in self.known))
-        if new:
-            self._learn(new)
+        split = [self._words(t) for t in texts]
+        if new := set().union(*split).difference(self.known):
+            self._learn(list(new))
         return [b"".join(map(self.known.__getitem__, ws)) for ws in split]
 
 
