@@ -64,36 +64,49 @@ def _vote(bad: Column, good: Column) -> Column:
 
 
 def rules() -> dict[str, Column]:
-    """Rule -> its vote (-1 bad, 0 abstains, 1 good).  Between its two limits a rule abstains."""
+    """Rule -> its vote (-1 bad, 0 abstains, 1 good).  Rules that know one kind of junk only vote bad or
+    abstain; the others abstain between their two limits."""
     n = F.greatest(F.col("n_words"), F.lit(1))
     chars = F.greatest(F.col("word_chars"), F.lit(1))
     lines = F.greatest(F.col("q_lines"), F.lit(1))
     letters = F.col("q_upper") + F.col("q_lower")
+    never = F.lit(False)
     return {
         "length": _vote(F.col("n_words") < MIN_WORDS, F.col("n_words") >= 80),
         "repeats": _vote(100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * n, 100 * F.col("n_repeat_words") < 25 * n),
-        "symbols": _vote(100 * F.col("n_symbols") > 10 * n, 100 * F.col("n_symbols") < 3 * n),
-        "duplicate_lines": _vote(100 * F.col("n_dup_lines") > 30 * lines, 100 * F.col("n_dup_lines") < 10 * lines),
-        "word_length": _vote((chars < 2 * n) | (chars > 16 * n), (chars > 3 * n) & (chars < 12 * n)),
-        "capitals": _vote(100 * F.col("q_upper") > 60 * F.greatest(letters, F.lit(1)), 100 * F.col("q_upper") < 20 * letters),
-        "shouting": _vote(100 * F.col("q_bangs") > 25 * n, 100 * F.col("q_bangs") < 3 * n),
+        "symbols": _vote(100 * F.col("n_symbols") > 25 * n, never),
+        "duplicate_lines": _vote(100 * F.col("n_dup_lines") > 40 * lines, never),
+        "word_length": _vote((chars < 2 * n) | (chars > 16 * n), never),
+        "capitals": _vote(100 * F.col("q_upper") > 60 * F.greatest(letters, F.lit(1)), never),
+        "shouting": _vote(100 * F.col("q_bangs") > 25 * n, never),
         "sentences": _vote((F.col("q_stops") * 400 < n) & (n >= 80), F.col("q_stops") * 60 >= n),
     }
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> tuple[float, list[dict[int, tuple[float, float]]]]:
+#: Prior counts, vote -> (given bad, given good), of rules that vote both ways, and of those that only
+#: know a kind of junk: these fire on a part of the bad and hardly ever on the good.
+BOTH = {-1: (4.0, 1.0), 0: (2.0, 2.0), 1: (4.0, 7.0)}
+JUNK = {-1: (3.0, 0.03), 0: (7.0, 9.97), 1: (0.001, 0.001)}
+#: Least ratio of a junk rule's rate among the bad to that among the good.  Without it the fit
+#: explains junk of one kind, which is fine by all other rules, as good.
+SURE = 1000.0
+JUNK_RULES = ("symbols", "duplicate_lines", "word_length", "capitals", "shouting")
+
+
+def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60, junk: tuple[int, ...] = ()) -> tuple[float, list[dict[int, tuple[float, float]]]]:
     """Expectation maximisation of a naive model: quality is hidden, rules vote independently
-    given it.  patterns: (votes, documents).  Returns the share of good documents and, per rule,
-    vote -> (its probability given bad, given good).  Counts are smoothed with a prior by which
-    a rule that votes is right four times in five, so classes can't swap."""
+    given it.  patterns: (votes, documents); junk: numbers of the rules with the ``JUNK`` prior.
+    Returns the share of good documents and, per rule, vote -> (its probability given bad, given
+    good).  Counts are smoothed with the priors at a hundredth of the documents, so classes can't
+    swap, and at least half of the documents are taken to be good."""
     width = len(patterns[0][0]) if patterns else 0
-    prior = {-1: (4.0, 1.0), 0: (2.0, 2.0), 1: (1.0, 4.0)}
+    priors = [JUNK if k in junk else BOTH for k in range(width)]
     normal = lambda c: {v: tuple(c[v][k] / sum(c[x][k] for x in c) for k in (0, 1)) for v in c}
-    good, table = 0.8, [normal(prior) for _ in range(width)]
+    good, table = 0.8, [normal(p) for p in priors]
     total = sum(n for _, n in patterns)
     weight = max(1.0, 0.01 * total)
     for _ in range(rounds):
-        counts = [{v: [weight * x / 7 for x in prior[v]] for v in prior} for _ in range(width)]
+        counts = [{v: [weight * x / 10 for x in p[v]] for v in p} for p in priors]
         goods = 0.0
         for votes, n in patterns:
             p = posterior(votes, good, table)
@@ -101,13 +114,22 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> tuple[
             for k, v in enumerate(votes):
                 counts[k][v][0] += (1 - p) * n
                 counts[k][v][1] += p * n
-        good = min(0.999, max(0.001, (goods + 0.8 * weight) / (total + weight)))
+        good = min(0.999, max(0.5, (goods + 0.8 * weight) / (total + weight)))
         table = [normal(c) for c in counts]
+        for k in (k for k in junk if k < width):
+            fires = min(table[k][-1][1], table[k][-1][0] / SURE)
+            table[k][0] = (table[k][0][0], table[k][0][1] + table[k][-1][1] - fires)
+            table[k][-1] = (table[k][-1][0], fires)
     return good, table
 
 
+def evidence(vote: int, rule: dict[int, tuple[float, float]]) -> float:
+    """What a rule's vote adds to the log odds of quality."""
+    return math.log(rule[vote][1] / rule[vote][0])
+
+
 def posterior(votes: tuple[int, ...], good: float, table: list[dict[int, tuple[float, float]]]) -> float:
-    odds = math.log(good / (1 - good)) + sum(math.log(table[k][v][1] / table[k][v][0]) for k, v in enumerate(votes))
+    odds = math.log(good / (1 - good)) + sum(evidence(v, table[k]) for k, v in enumerate(votes))
     return 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
 
 
@@ -118,19 +140,16 @@ def score(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc
     votes = rules()
     code = F.concat(*[(v + 1).cast("string") for v in votes.values()])
     featured = featured.withColumn("votes", code)
-    if text_col not in keep:
-        featured = cut(featured.drop(text_col), "features")
-        counted = featured
-    else:
-        counted = featured.select("votes")
-    rows = counted.groupBy("votes").count().limit(3 ** len(votes)).collect()
+    # Written once with its features: the fit and the verdict would else each compute them.
+    featured = cut(featured.drop(*[c for c in (text_col,) if c not in keep]), "features")
+    rows = featured.groupBy("votes").count().limit(3 ** len(votes)).collect()
     found = [(tuple(int(c) - 1 for c in r["votes"]), r["count"]) for r in rows]
-    good, table = fit(sorted(found))
+    good, table = fit(sorted(found), junk=tuple(k for k, name in enumerate(votes) if name in JUNK_RULES))
     # Log odds of a document as a sum over its votes: one small lookup a rule, no join.
     odds = F.lit(math.log(good / (1 - good)))
     for k in range(len(votes)):
         at = F.substring("votes", k + 1, 1)
-        part = F.when(at == "0", math.log(table[k][-1][1] / table[k][-1][0])).when(at == "2", math.log(table[k][1][1] / table[k][1][0])).otherwise(math.log(table[k][0][1] / table[k][0][0])) if found else F.lit(0.0)
+        part = F.when(at == "0", evidence(-1, table[k])).when(at == "2", evidence(1, table[k])).otherwise(evidence(0, table[k])) if found else F.lit(0.0)
         odds = odds + part
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     out = featured.withColumn("base_failed", failed).withColumn("quality_probability", 1 / (1 + F.exp(-odds)))
@@ -140,4 +159,4 @@ def score(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc
 def keep_good(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that the rules reject, columns unchanged."""
     named = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"))
-    return score(named, keep=("row", "text")).filter("kept").select("row.*")
+    return score(named, keep=("row",)).filter("kept").select("row.*")
