@@ -13,8 +13,9 @@ Candidates are then verified on their texts.  Within the documents that share a
 meets the group's smallest first; only documents still in different components meet later, so
 large groups of near copies cost a number of pairs in proportion to their size, and none is lost.
 Groups that stay apart and are large (documents that share a passage, not a text) are not paired:
-their documents are indexed again by one-deletion neighbourhoods of segments twice as long.  A
-linked pair that shares only such groups is in that index with both sides, so it is found there.
+their documents are indexed again by their rarest shingles, so many that a linked pair has one in
+common.  A linked pair that shares only such groups is in that index with both sides, so it is
+found there; what documents share with many others is not among their rarest shingles.
 
 Edge cases: null or empty text, or text without words: no shingles, linked with nothing.
 Null ``doc_id``: counted, never linked, component null.  Rows that share a ``doc_id`` are one
@@ -336,6 +337,28 @@ def stars(indexed: DataFrame) -> DataFrame:
     return indexed.join(lead, "sig").filter("x.h1 <> h1").select(F.least("x.h1", "h1").alias("x"), F.greatest("x.h1", "h1").alias("y"), F.col("x.h1").alias("lead"), "h1")
 
 
+def rarest(docs: DataFrame) -> DataFrame:
+    """(sig, h1, lower, deleted): each set's rarest shingles among ``docs``.  Sets of x shingles with x - c + 1
+    of them, c the least intersection of a linked pair, share one wherever they are linked."""
+
+    def run(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            sets = [shingle_hashes(words_of(t), hashes) for t in batch.column(1).to_pylist()]
+            with np.errstate(over="ignore"):
+                h1 = [mix(np.add.reduce(mix(x * _M[1] + _M[2]), dtype=np.uint64) + np.uint64(len(x))) for x in sets]
+            lists = pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(h1, np.uint64).view(np.int64)), lists], ["h1", "s"])
+
+    sets = docs.select("doc_id", "text").mapInArrow(run, "h1 long, s array<long>")
+    each = cut(sets.select("h1", F.size("s").alias("n"), F.explode("s").alias("sig")), "shingles")
+    counts = each.groupBy("sig").agg(F.count("*").alias("c"))
+    rank = F.row_number().over(Window.partitionBy("h1").orderBy("c", "sig"))
+    first = F.col("n") - F.ceil(F.col("n") * SHARE[0] / SHARE[1]) + 1
+    kept = each.join(counts, "sig").withColumn("r", rank).filter((F.col("r") <= first) & (F.col("c") > 1))
+    return kept.select("sig", "h1", F.lit(False).alias("lower"), F.lit(False).alias("deleted")).distinct()
+
+
 def pairs_of(member: DataFrame) -> DataFrame:
     """Pairs (x, y) within groups, of different labels, that the index has to find: not both in a band
     above, and not both with a shingle deleted."""
@@ -409,7 +432,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     meet(pairs_of(apart.filter(F.col("c") <= PAIRED)))
     if large.limit(1).count():
         again = docs.join(small(large), "doc_id", "left_semi").select("doc_id", "text")
-        second = cut(shared_rows(cut(indexed_rows(again, (2,)), "indexed-again")).select("sig", "h1", "lower", "deleted"), "second")
+        second = cut(rarest(again), "second")
         meet(stars(second).select("x", "y"))
         meet(pairs_of(still_apart(second)))
     named = classes.join(labels, classes.rep == labels.node, "left").select("h1", "h2", "rep", F.coalesce("label", "rep").alias("component"))
