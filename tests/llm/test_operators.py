@@ -242,6 +242,24 @@ def test_line_dedup(docs, none, texts):
         assert all(any(line in (t or "") for i, t, _ in texts if i != r["doc_id"]) for line in gone)
 
 
+def test_line_dedup_whole_copies(spark):
+    """Long lines, one-line documents and passages go wherever they stand; short lines alone stay."""
+    line = [passage(500 + k, 60) for k in range(9)]
+    few = "\n".join(passage(600 + k, 8) for k in range(8))
+    rows = [(k, x) for k, x in enumerate(line[:3])] + [(10 + k, x) for k, x in enumerate(line[:3])]
+    rows += [(20, "Title\n" + line[3] + "\n\n" + line[4]), (21, "Title\n" + line[3] + "\n\n" + line[4])]
+    rows += [(30 + k, f"own {k}\nTitle\n{passage(700 + k, 9)}\n{line[5]}\nend {k}") for k in range(3)]
+    rows += [(40 + k, f"{passage(720 + k, 9)}\n{passage(740 + k, 9)}\n{few}\n{passage(760 + k, 9)}") for k in range(12)]
+    rows += [(60, few), (None, line[6]), (61, line[6])]
+    got = {r["doc_id"]: r for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == len(rows)
+    for i, text in rows:
+        gone = {10: 1, 11: 1, 12: 1, 21: 4, 31: 1, 32: 1, 60: 8, 61: 1, **{k: 8 for k in range(41, 52)}}.get(i, 0)
+        assert (i, got[i]["removed_lines"], got[i]["n_lines"]) == (i, gone, len(text.split("\n")))
+        assert len(got[i]["clean_text"].split("\n")) == max(1, len(text.split("\n")) - gone)
+    assert got[32]["clean_text"] == f"own 2\nTitle\n{passage(702, 9)}\nend 2" and got[45]["clean_text"] == f"{passage(725, 9)}\n{passage(745, 9)}\n{passage(765, 9)}"
+
+
 # ---- 8 -------------------------------------------------------------------------------------
 
 
