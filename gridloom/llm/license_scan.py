@@ -7,8 +7,14 @@ that any template has (all others can't add to a containment); only windows that
 hashed.  Bands have one row each: a window whose relevant shingles have Jaccard similarity j with
 a template's collides in some band with probability 1 - (1 - j) ** BANDS: over 0.99998 at j = 0.5
 with 16 bands, and over 0.97 where two further notices share the window (j = 0.2).
-Verification is exact: the share of the template's shingles, as words, that the whole document's
-matching windows hold.
+Long templates are indexed by pieces, cut likewise.  Verification is exact: of the template's shingles,
+as words, the whole document's matching windows hold a share of ``CONTAINED`` or more, and of those
+that a related license does not have ``OWN`` or more, for each such license; so inexact copies count, and
+versions and variants stay apart.  A template that lies whole within a found template of another
+license (the first sentence of BSD texts) adds nothing.  A license's containment is its best template's.
+
+What is found are the listed wordings, up to such changes: a license named in other words, or a GNU
+license without its version, is not.
 
 Edge cases: null and empty texts match nothing.  Null ids and repeated rows are told apart by
 id and text hash; one row per input row.  Empty tables give empty results; other columns are
@@ -17,12 +23,14 @@ ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm._common import cut, lower_ascii, pinned, small
+from gridloom.llm._common import LOWER, UPPER, cut, lower_ascii, pinned, small
 
-SHINGLE, WINDOW, STRIDE, BANDS, CONTAINED = 3, 48, 24, 16, 0.95
+SHINGLE, WINDOW, STRIDE, BANDS, CONTAINED, OWN = 3, 48, 24, 16, 0.7, 0.5
 BETWEEN = "[^0-9A-Za-z]+"
 
 #: Short notices by which licenses are applied (fixed values).
@@ -40,6 +48,76 @@ TEMPLATES = {
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
 }
 
+_AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_END = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO,'
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+_ISC_END = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.'
+
+
+def _gnu(kind: str, short: str, version: str, program: str = "program") -> list[str]:
+    """Wordings of one version of a GNU license."""
+    name, major = f"GNU {kind}General Public License", version.removesuffix(".0")
+    return [
+        f"This {program} is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, either version {major} of the License, or (at your option) any later version.",
+        f"This {program} is free software; you can redistribute it and/or modify it under the terms of the {name} version {major} as published by the Free Software Foundation.",
+        f"This work is licensed under the {name}, version {major}.",
+        f"{name}, version {major}",
+        f"{name} v{major}",
+        f"{name} {version}",
+        f"version {major} of the {name}",
+        f"{name.upper()} Version {major}, {dict(zip(('2', '2.1', '3'), ('June 1991', 'February 1999', '29 June 2007'), strict=True))[major] if kind != 'Affero ' else '19 November 2007'}",
+        f"{short} version {major}",
+        f"under the {short}v{major}",
+        f"{short}v{major} or later",
+        f"SPDX-License-Identifier: {short}-{version}",
+        f"SPDX-License-Identifier: {short}-{version}-only",
+        f"SPDX-License-Identifier: {short}-{version}-or-later",
+    ]
+
+
+def _creative(kind: str, short: str) -> list[str]:
+    name = f"Creative Commons {kind} 4.0 International"
+    return [f"licensed under a {name} License", f"{name} Public License", name, f"CC {short} 4.0", f"creativecommons.org/licenses/{short.lower()}/4.0", f"SPDX-License-Identifier: CC-{short}-4.0"]
+
+
+#: Headers, texts and further wordings, tags too.
+WORDINGS = {
+    "MIT": [
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _AS_IS,
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
+        "Released under MIT License", "the MIT License", "under MIT license", "under an MIT license", "under the MIT licence", "The MIT License (MIT)", "MIT License Copyright (c)", "SPDX-License-Identifier: MIT",
+    ],
+    "Apache-2.0": [
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
+        "Apache License, Version 2.0", "Apache License 2.0", "Apache License v2.0", "Apache 2.0 license", "version 2.0 of the Apache License", "SPDX-License-Identifier: Apache-2.0",
+    ],
+    "GPL-2.0": _gnu("", "GPL", "2.0"),
+    "GPL-3.0": _gnu("", "GPL", "3.0"),
+    "LGPL-2.1": _gnu("Lesser ", "LGPL", "2.1", "library"),
+    "LGPL-3.0": _gnu("Lesser ", "LGPL", "3.0", "library"),
+    "AGPL-3.0": _gnu("Affero ", "AGPL", "3.0"),
+    "BSD-3-Clause": [
+        _BSD + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + _BSD_END,
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "BSD 3-Clause License", "3-clause BSD license", "new BSD license", "SPDX-License-Identifier: BSD-3-Clause",
+    ],
+    "BSD-2-Clause": [_BSD + " " + _BSD_END, "BSD 2-Clause License", "2-clause BSD license", "simplified BSD license", "SPDX-License-Identifier: BSD-2-Clause"],
+    "MPL-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+        "Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "Mozilla Public License v2.0", "SPDX-License-Identifier: MPL-2.0",
+    ],
+    "CC-BY-4.0": _creative("Attribution", "BY"),
+    "CC-BY-SA-4.0": _creative("Attribution-ShareAlike", "BY-SA"),
+    "CC-BY-NC-4.0": _creative("Attribution-NonCommercial", "BY-NC"),
+    "CC0-1.0": ["CC0 1.0 Universal", "CC0 1.0 Public Domain Dedication", "creativecommons.org/publicdomain/zero/1.0", "SPDX-License-Identifier: CC0-1.0"],
+    "ISC": [_ISC + ", provided that the above copyright notice and this permission notice appear in all copies. " + _ISC_END, "the ISC License", "under ISC license", "SPDX-License-Identifier: ISC"],
+    "0BSD": [_ISC + ". " + _ISC_END, "SPDX-License-Identifier: 0BSD"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"],
+}
+
 
 def _words(text):
     return F.filter(F.split(lower_ascii(text), BETWEEN), lambda w: w != "")
@@ -51,10 +129,33 @@ def _shingles(words):
     return F.when(F.size(words) > 0, F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.concat_ws(" ", F.slice(words, i + 1, n)))).otherwise(F.array().cast("array<string>"))
 
 
-def templates(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
-    """(license, shingles), one row a template."""
-    rows = list((TEMPLATES if texts is None else texts).items())
-    return spark.createDataFrame(rows, "license string, text string").withColumn("w", _words(F.col("text"))).select("license", F.array_distinct(_shingles("w")).alias("shingles")).filter("size(shingles) > 0")
+def _pieces(words: list[str]) -> list[list[str]]:
+    """Shingles of each window of a template."""
+    cuts = [words[i : i + WINDOW] for i in range(0, max(len(words) - STRIDE, 1), STRIDE)]
+    return [sorted({" ".join(w[i : i + SHINGLE]) for i in range(max(len(w) - SHINGLE + 1, 1))}) for w in cuts]
+
+
+def templates(texts: dict[str, str] | None = None) -> list[tuple[str, list[list[str]]]]:
+    """(license, shingles of each piece), one a template."""
+    named = list((TEMPLATES if texts is None else texts).items()) + [(k, t) for k, ts in (WORDINGS if texts is None else {}).items() for t in ts]
+    split = [(k, [w for w in re.split(BETWEEN, t.translate(str.maketrans(UPPER, LOWER))) if w]) for k, t in named]
+    return [(k, _pieces(w)) for k, w in split if w]
+
+
+def tests_of(known: list[tuple[str, list[list[str]]]]) -> tuple[list, list]:
+    """Rows (template, license, part, shingle, n, need, parts): part 0 is the whole template, each other one what a
+    related license lacks of it; and pairs (template, template of another license that has all of it)."""
+    sets = [{s for piece in pieces for s in piece} for _, pieces in known]
+    of: dict[str, set] = {}
+    for (k, _), x in zip(known, sets, strict=True):
+        of.setdefault(k, set()).update(x)
+    rows, within = [], []
+    for t, ((k, _), x) in enumerate(zip(known, sets, strict=True)):
+        own = {frozenset(x - y) for other, y in of.items() if other != k and x & y} - {frozenset()}
+        parts = [(x, CONTAINED), *((o, OWN) for o in sorted(own, key=sorted))]
+        rows += [(t, k, p, s, len(part), need, len(parts)) for p, (part, need) in enumerate(parts) for s in sorted(part)]
+        within += [(t, u) for u, ((other, _), y) in enumerate(zip(known, sets, strict=True)) if other != k and x < y]
+    return rows, within
 
 
 def _bands(shingles):
@@ -69,28 +170,36 @@ def _bands(shingles):
 def scan(docs: DataFrame, texts: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, licenses (sorted names) and containment (per name)."""
     spark = docs.sparkSession
-    known = templates(spark, texts)
+    known = templates(texts)
     # The templates are the operator's own list: bounded, and read here to drop irrelevant shingles early.
-    listed = sorted({s for r in known.collect() for s in r["shingles"]})
+    listed = sorted({s for _, pieces in known for piece in pieces for s in piece})
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     docs = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     words = docs.select("doc_id", "th", pinned(_words(F.col("text"))).alias("w"))
     hashed = words.withColumn("s", pinned(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - SHINGLE, F.lit(0))), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))))
     singles = spark.createDataFrame([(s,) for s in listed] or [("",)], "s string").select(F.split("s", " ").alias("w"))
     numbers = [r[0] for r in singles.select(F.xxhash64(F.get("w", F.lit(0)), F.get("w", F.lit(1)), F.get("w", F.lit(2)))).collect()]
-    wanted = F.array(*[F.lit(n).cast("long") for n in sorted(set(numbers))])
-    some = hashed.withColumn("hits", pinned(F.filter("s", lambda x: F.array_contains(wanted, x)))).filter("size(hits) > 0").drop("s", "hits")
+    # Tests of membership in a list of literals are lookups in a hash set.
+    some = hashed.withColumn("hits", pinned(F.filter("s", lambda x: x.isin(sorted(set(numbers)))))).filter("size(hits) > 0").drop("s", "hits")
     at = F.sequence(F.lit(0), F.greatest(F.size("w") - STRIDE - 1, F.lit(0)), F.lit(STRIDE))
     windows = some.select("doc_id", "th", F.explode(F.transform(at, lambda i: F.slice("w", i + 1, F.lit(WINDOW)))).alias("w")).withColumn("x", pinned(_shingles("w")))
-    relevant = F.array_intersect("x", F.array(*[F.lit(s) for s in listed] or [F.lit("")]))
+    relevant = F.array_distinct(F.filter("x", lambda s: s.isin(listed or [""])))
     windows = cut(windows.select("doc_id", "th", pinned(relevant).alias("x")).filter("size(x) > 0"), "windows")
     probes = windows.select("doc_id", "th", "x", F.explode(_bands("x")).alias("b")).select("doc_id", "th", "x", "b.band", "b.least")
-    index = known.select("license", "shingles", F.explode(_bands("shingles")).alias("b")).select("license", F.col("b.band").alias("band"), F.col("b.least").alias("least"))
-    met = probes.join(F.broadcast(index), ["band", "least"]).select(F.col("doc_id").alias("i"), F.col("th").alias("k"), "license").distinct()
-    each = windows.join(met, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("k"))).select("doc_id", "th", "license", F.explode("x").alias("s")).distinct()
-    tests = known.select(F.col("license").alias("l"), F.explode("shingles").alias("t"), F.size("shingles").alias("n"))
-    found = each.join(F.broadcast(tests), (F.col("license") == F.col("l")) & (F.col("s") == F.col("t"))).groupBy("doc_id", "th", "license").agg((F.count("*") / F.max("n")).alias("share")).filter(f"share >= {CONTAINED}")
-    found = found.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("license", F.round("share", 4).alias("share")))).alias("m"))
+    pieces = spark.createDataFrame([(t, p) for t, (_, ps) in enumerate(known) for p in ps], "template int, shingles array<string>")
+    index = pieces.select("template", F.explode(_bands("shingles")).alias("b")).select("template", F.col("b.band").alias("band"), F.col("b.least").alias("least"))
+    met = probes.join(F.broadcast(index), ["band", "least"]).select(F.col("doc_id").alias("i"), F.col("th").alias("k"), "template").distinct()
+    each = windows.join(met, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("k"))).select("doc_id", "th", "template", F.explode("x").alias("s")).distinct()
+    rows, within = tests_of(known)
+    tests = spark.createDataFrame(rows, "t int, license string, part int, shingle string, n int, need double, parts int")
+    found = each.join(F.broadcast(tests), (F.col("template") == F.col("t")) & (F.col("s") == F.col("shingle"))).groupBy("doc_id", "th", "t", "part").agg(F.first("license").alias("license"), (F.count("*") / F.max("n")).alias("share"), F.max("need").alias("need"), F.max("parts").alias("parts"))
+    found = found.filter("share >= need").groupBy("doc_id", "th", "t").agg(F.first("license").alias("license"), F.max(F.when(F.col("part") == 0, F.col("share"))).alias("share"), F.count("*").alias("passed"), F.max("parts").alias("parts")).filter("passed = parts")
+    found = found.groupBy("doc_id", "th").agg(F.collect_list(F.struct("t", "license", "share")).alias("a"))
+    codes = [t * len(known) + u for t, u in within] or [-1]
+    found = found.withColumn("f", F.filter("a", lambda x: ~F.exists("a", lambda y: (x["t"] * len(known) + y["t"]).isin(codes))))
+    names = F.array_sort(F.array_distinct(F.transform("f", lambda x: x["license"])))
+    best = lambda k: F.array_max(F.transform(F.filter("f", lambda x: x["license"] == k), lambda x: x["share"]))
+    found = found.select("doc_id", "th", F.transform(names, lambda k: F.struct(k.alias("license"), F.round(best(k), 4).alias("share"))).alias("m"))
     found = small(cut(found.select(F.col("doc_id").alias("i"), F.col("th").alias("k"), "m"), "licenses"))
     out = docs.select("doc_id", "th").join(found, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("k")), "left")
     none = F.array().cast("array<string>")

@@ -272,6 +272,37 @@ def test_license_scan(docs, none, texts, spark):
     assert all(names[r["doc_id"]] in r["licenses"] for r in license_scan.scan(each).collect())
 
 
+def test_license_texts(spark):
+    """Inexact notices, headers, whole texts and tags; versions and variants stay apart."""
+    w = license_scan.WORDINGS
+    mit = w["MIT"][0].split()
+    cases = [
+        ("Released under MIT License.", ["MIT"]),
+        ("This work was licensed under the GNU General Public License, version 3.", ["GPL-3.0"]),
+        ("It is free; GPL version 3 or later applies.", ["GPL-3.0"]),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", ["LGPL-3.0"]),
+        (" ".join(x for k, x in enumerate(mit) if k % 40 != 20), ["MIT"]),
+        (w["GPL-2.0"][0].replace("program", "library"), ["GPL-2.0"]),
+        (w["GPL-3.0"][0].replace("program", "library"), ["GPL-3.0"]),
+        (w["GPL-3.0"][0] + "\n" + w["GPL-2.0"][0].replace("free software", "software"), ["GPL-2.0", "GPL-3.0"]),
+        (w["BSD-2-Clause"][0], ["BSD-2-Clause"]),
+        (w["BSD-3-Clause"][0].replace("copyright holder nor", "University nor"), ["BSD-3-Clause"]),
+        (w["Apache-2.0"][0].replace("http://www.apache.org/licenses/LICENSE-2.0", "the usual place"), ["Apache-2.0"]),
+        ("// SPDX-License-Identifier: Apache-2.0", ["Apache-2.0"]),
+        ("# SPDX-License-Identifier: GPL-2.0-or-later", ["GPL-2.0"]),
+        ("Licensed under CC BY-SA 4.0, not more.", ["CC-BY-SA-4.0"]),
+        (w["ISC"][0], ["ISC"]),
+        (w["0BSD"][0], ["0BSD"]),
+        ("We met under the general public, version 3 of the plan, to license nothing.", []),
+    ]
+    rows = [(k, passage(800 + k, 70 + 5 * k) + "\n" + t + "\n" + passage(850 + k, 90)) for k, (t, _) in enumerate(cases)]
+    got = {r["doc_id"]: list(r["licenses"]) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: x for k, (_, x) in enumerate(cases)}
+    each = [(k, passage(k, 30 + k % 40) + " " + t + " " + passage(k + 300, 60), name) for k, (name, t) in enumerate((name, t) for name, ts in w.items() for t in ts)]
+    got = {r["doc_id"]: list(r["licenses"]) for r in license_scan.scan(spark.createDataFrame([x[:2] for x in each], "doc_id long, text string")).collect()}
+    assert [(k, name, got[k]) for k, _, name in each if got[k] != [name]] == []
+
+
 # ---- 9 -------------------------------------------------------------------------------------
 
 
