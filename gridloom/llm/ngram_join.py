@@ -350,7 +350,8 @@ def rarest(docs: DataFrame) -> DataFrame:
             lists = pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(np.array(h1, np.uint64).view(np.int64)), lists], ["h1", "s"])
 
-    sets = docs.select("doc_id", "text").mapInArrow(run, "h1 long, s array<long>")
+    # A set once, however many rows have it: the ranks below count its shingles.
+    sets = docs.select("doc_id", "text").mapInArrow(run, "h1 long, s array<long>").dropDuplicates(["h1"])
     each = cut(sets.select("h1", F.size("s").alias("n"), F.explode("s").alias("sig")), "shingles")
     counts = each.groupBy("sig").agg(F.count("*").alias("c"))
     rank = F.row_number().over(Window.partitionBy("h1").orderBy("c", "sig"))
