@@ -9,7 +9,7 @@ as text, and covered word positions are counted.
 
 Edge cases: null or empty texts have no words and no hits.  Null ids and repeated rows are
 kept, one row per input row: rows are told apart by id and text hash, and equal rows have equal
-results.  Empty tables (either side) give no hits; other columns are ignored.
+results.  Items without an id count for hits and are left out of the item lists only.  Empty tables (either side) give no hits; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,8 +36,8 @@ def _windows(words: str, length: Column | int) -> Column:
 
 
 def test_windows(benchmark: DataFrame) -> DataFrame:
-    """(len, window, items): every distinct window with the items that have it."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), _words(lower_ascii(F.coalesce(F.col("text"), F.lit("")))).alias("w")).filter("size(w) > 0 and item is not null")
+    """(len, window, items): every distinct window with the items that have it (those with an id)."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), _words(lower_ascii(F.coalesce(F.col("text"), F.lit("")))).alias("w")).filter("size(w) > 0")
     length = F.least(F.size("w"), F.lit(WINDOW))
     return items.select("item", length.alias("len"), F.explode(_windows("w", length)).alias("x")).select("len", F.col("x.window").alias("window"), "item").groupBy("len", "window").agg(F.collect_set("item").alias("items"))
 
