@@ -118,9 +118,13 @@ def payload_per_step(spark, sf):
 # ---- ensembles and chunks ------------------------------------------------------------------
 
 
-def _members(spark, sf):
+def _members(spark, sf, which=(1, 2, 3)):
     g = grid_cells(spark, sf)
-    return [g.filter(F.col("realization") == k) for k in (1, 2, 3)]
+    return [g.filter(F.col("realization") == k) for k in which]
+
+
+#: All members of ``grid_cells``; the queries named ..._all take every one, and all times.
+ALL = tuple(range(1, 11))
 
 
 @query("concat_members", GRID + "select realization, count(*) as n, round(sum(value), 6) as total from grid_cells where realization in (1, 2, 3) group by 1")
@@ -146,6 +150,27 @@ def ensemble_align(spark, sf):
     return ensemble.align(g).select(ts("time"), "level", "lat", "lon", "realization", r6().alias("value"))
 
 
+@query("concat_members_all", GRID + "select realization, count(*) as n, round(sum(value), 6) as total from grid_cells group by 1")
+def concat_members_all(spark, sf):
+    return ensemble.stack(_members(spark, sf, ALL)).groupBy("realization").agg(F.count("*").alias("n"), r6(F.sum("value")).alias("total"))
+
+
+@query("concat_subset_all", cells_sql("year(time) = 1996 and month(time) = 8 and lat between 30 and 70 and (lon >= 350 or lon <= 35)", "case when lon > 350 then lon - 360 else lon end"))
+def concat_subset_all(spark, sf):
+    return cells(ensemble.concat(_members(spark, sf, ALL), time="1995/1997", time_components="year:1996|month:8", area="-10,30,35,70", frame=360))
+
+
+@query("concat_mean_subset_all", GRID + f"select {dts('time')}, level, lat, lon, round(avg(value), 6) as value from grid_cells where time >= timestamp '1996-01-01' and time <= timestamp '1997-12-31 23:59:59' group by grid_cells.time, level, lat, lon")
+def concat_mean_subset_all(spark, sf):
+    return ensemble.concat(_members(spark, sf, ALL), time="1996/1997", apply_average=True).select(ts("time"), "level", "lat", "lon", r6().alias("value"))
+
+
+# No SQL: its product of cells and members is slow on whole tables; tests compare with brute force.
+@query("ensemble_align_all")
+def ensemble_align_all(spark, sf):
+    return ensemble.align(grid_cells(spark, sf)).select(ts("time"), "level", "lat", "lon", "realization", r6().alias("value"))
+
+
 @query("chunk_timesteps", GRID + f""", a as (select dataset_id, time, row_number() over (partition by dataset_id order by time) - 1 as k from (select distinct dataset_id, time from grid_cells)),
 c as (select dataset_id, cast(k // 200 as int) as chunk, min(time) as s, max(time) as l, count(*) as n from a group by 1, 2)
 select dataset_id, chunk, {dts('s', 'start')}, strftime(coalesce(lead(s) over (partition by dataset_id order by chunk) - interval 1 second, l), '%Y-%m-%d %H:%M:%S') as "end", n from c""")
@@ -294,3 +319,10 @@ def wf_concat_subset(spark, sf):
     a, b, c = _members(spark, sf)
     doc = {"doc": "", "inputs": {"a": "a", "b": "b", "c": "c"}, "outputs": {"output": "s/output"}, "steps": {"c": {"run": "concat", "in": {"collection": ["inputs/a", "inputs/b", "inputs/c"]}}, "s": {"run": "subset", "in": {"collection": "c/output", "time": "1996/1996", "area": "0,-40,90,40", "frame": 360}}}}
     return cells(workflow.execute(doc, {"a": a, "b": b, "c": c}))
+
+
+@query("wf_concat_subset_all", cells_sql("time >= timestamp '1996-01-01' and time <= timestamp '1996-12-31 23:59:59' and lat between -40 and 40 and lon between 0 and 90"))
+def wf_concat_subset_all(spark, sf):
+    members = {f"m{k}": m for k, m in zip(ALL, _members(spark, sf, ALL), strict=True)}
+    doc = {"doc": "", "inputs": {k: k for k in members}, "outputs": {"output": "s/output"}, "steps": {"c": {"run": "concat", "in": {"collection": [f"inputs/{k}" for k in members]}}, "s": {"run": "subset", "in": {"collection": "c/output", "time": "1996/1996", "area": "0,-40,90,40", "frame": 360}}}}
+    return cells(workflow.execute(doc, members))
