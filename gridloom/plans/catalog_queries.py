@@ -54,9 +54,13 @@ def catalog_search(spark, sf):
 _ASK = ", ask as (select distinct concat(ds_id, case when size % 50 = 0 then 'x' else '' end) as ds_id, case when size % 5 = 0 then '1890-01-01T00:00:00' else '1996-01-01T00:00:00' end as s, case when size % 5 = 0 then '1890-06-01T00:00:00' else '1996-03-01T00:00:00' end as e from catalog where size % 10 < 6)\n"
 
 
-def _ask(spark, sf):
+#: Requests made of every file; the queries named ..._all answer these.
+_ASK_ALL = _ASK.replace(" where size % 10 < 6", "")
+
+
+def _ask(spark, sf, which="size % 10 < 6"):
     c = catalog.normalise(catalog_files(spark, sf)).filter("start_time > '1900'")
-    ask = catalog_files(spark, sf).filter("size % 10 < 6").select(F.concat("ds_id", F.when(F.col("size") % 50 == 0, "x").otherwise("")).alias("ds_id"), F.when(F.col("size") % 5 == 0, "1890-01-01T00:00:00").otherwise("1996-01-01T00:00:00").alias("start"), F.when(F.col("size") % 5 == 0, "1890-06-01T00:00:00").otherwise("1996-03-01T00:00:00").alias("end"))
+    ask = catalog_files(spark, sf).filter(which).select(F.concat("ds_id", F.when(F.col("size") % 50 == 0, "x").otherwise("")).alias("ds_id"), F.when(F.col("size") % 5 == 0, "1890-01-01T00:00:00").otherwise("1996-01-01T00:00:00").alias("start"), F.when(F.col("size") % 5 == 0, "1890-06-01T00:00:00").otherwise("1996-03-01T00:00:00").alias("end"))
     return c, ask
 
 
@@ -68,17 +72,33 @@ def catalog_join(spark, sf):
     return catalog.search_many(*_ask(spark, sf))
 
 
+@query("catalog_join_all", CAT.rstrip() + _ASK_ALL.rstrip() + _DATED + 'select a.ds_id, s as start, e as "end", path from ask a join dated d on a.ds_id = d.ds_id and end_time >= s and start_time <= e')
+def catalog_join_all(spark, sf):
+    return catalog.search_many(*_ask(spark, sf, "true"))
+
+
 @query("catalog_status", CAT.rstrip() + _ASK.rstrip() + _DATED + """select ds_id, s as start, e as "end", case when exists (select 1 from dated d where d.ds_id = a.ds_id and end_time >= s and start_time <= e) then 'ok' when exists (select 1 from dated d where d.ds_id = a.ds_id) then 'empty_range' else 'unknown' end as status from ask a""")
 def catalog_status(spark, sf):
     return catalog.status(*_ask(spark, sf))
 
 
+@query("catalog_status_all", CAT.rstrip() + _ASK_ALL.rstrip() + _DATED + """select ds_id, s as start, e as "end", case when exists (select 1 from dated d where d.ds_id = a.ds_id and end_time >= s and start_time <= e) then 'ok' when exists (select 1 from dated d where d.ds_id = a.ds_id) then 'empty_range' else 'unknown' end as status from ask a""")
+def catalog_status_all(spark, sf):
+    return catalog.status(*_ask(spark, sf, "true"))
+
+
 @query("catalog_missing", CAT.rstrip() + _ASK.rstrip() + _DATED + "select distinct ds_id from ask where ds_id not in (select ds_id from dated)")
 def catalog_missing(spark, sf):
     c, ask = _ask(spark, sf)
     return ask.select("ds_id").distinct().join(c, "ds_id", "left_anti")
 
 
+@query("catalog_missing_all", CAT.rstrip() + _ASK_ALL.rstrip() + _DATED + "select distinct ds_id from ask where ds_id not in (select ds_id from dated)")
+def catalog_missing_all(spark, sf):
+    c, ask = _ask(spark, sf, "true")
+    return ask.select("ds_id").distinct().join(c, "ds_id", "left_anti")
+
+
 @query("catalog_paths", CAT + "select ds_id, path, concat(case when project = 'p0' then 's3://own' when project = 'p1' then 's3://all' else '/base' end, '/', path) as file, concat('https://node.org/', path) as url from catalog")
 def catalog_paths(spark, sf):
     files = catalog.normalise(catalog_files(spark, sf)).withColumn("data_node_root", F.lit("https://node.org/")).withColumn("base_dir", F.lit("/base/"))
@@ -191,14 +211,28 @@ def result_manifest(spark, sf):
     return manifest.manifest(catalog_files(spark, sf).select(F.col("ds_id").alias("dataset_id"), path.alias("path"), "size"))
 
 
-@query("manifest_urls", CAT + "select concat('/data/', path) as url from catalog where ds_id like 'p1.%'")
-def manifest_urls(spark, sf):
-    files = catalog_files(spark, sf).filter("project = 'p1'")
+#: Most files of one manifest.
+BATCH = 1000
+
+
+def _manifest_urls(files):
+    """The URLs, read from manifests of at most ``BATCH`` files of a dataset."""
     entry = F.concat(F.lit("<file><metaurl mediatype='x'>file:///data/"), "path", F.lit("</metaurl></file>"))
-    xml = files.groupBy("ds_id").agg(F.concat(F.lit("<metalink xmlns='urn:x'>"), F.concat_ws("", F.collect_list(entry)), F.lit("</metalink>")).alias("xml"))
+    batch = F.floor(F.monotonically_increasing_id() / BATCH)
+    xml = files.select("ds_id", batch.alias("batch"), entry.alias("entry")).groupBy("ds_id", "batch").agg(F.concat(F.lit("<metalink xmlns='urn:x'>"), F.concat_ws("", F.collect_list("entry")), F.lit("</metalink>")).alias("xml"))
     return manifest.manifest_urls(xml)
 
 
+@query("manifest_urls", CAT + "select concat('/data/', path) as url from catalog where ds_id like 'p1.%'")
+def manifest_urls(spark, sf):
+    return _manifest_urls(catalog_files(spark, sf).filter("project = 'p1'"))
+
+
+@query("manifest_urls_all", CAT + "select concat('/data/', path) as url from catalog")
+def manifest_urls_all(spark, sf):
+    return _manifest_urls(catalog_files(spark, sf))
+
+
 @query("lineage_edges", """with s as (select o_orderkey as run, l_linenumber as step, l_returnflag as operator, concat('in', l_partkey) as i, concat('out', l_suppkey) as o, l_shipdate from lineitem join orders on l_orderkey = o_orderkey)
 select run, step, 'used' as edge, operator as subject, i as object from s union all select run, step, 'generated', o, operator from s union all select run, step, 'parameters', operator, concat('dims=lat,lon;freq=', operator) from s""")
 def lineage_edges(spark, sf):
