@@ -21,15 +21,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders of applications in local mode that name none.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors see: ``spark.checkpoint.dir``, or, where that is unset,
-    a temporary folder in local mode and the warehouse on a cluster."""
-    conf = spark.sparkContext.getConf()
-    found = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
+    a temporary folder in local mode and the warehouse on a cluster.  The session stays as it is."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not found and not (context.master == "local" or context.master.startswith("local[")):
+        found = spark.conf.get("spark.sql.warehouse.dir")
     if not found:
-        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-        found = "file://" + tempfile.mkdtemp(prefix="gridloom-") if local else spark.conf.get("spark.sql.warehouse.dir")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if context.applicationId not in _LOCAL:
+            _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="gridloom-")
+        found = _LOCAL[context.applicationId]
     return found.rstrip("/")
 
 
@@ -38,7 +44,19 @@ def cut(df: DataFrame, label: str = "step") -> DataFrame:
     lost executor costs only the tasks it ran, and later readers prune columns."""
     path = f"{shared_folder(df.sparkSession)}/gridloom/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote and that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_cut_path", None):
+            context = df.sparkSession.sparkContext
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+            df._cut_path = None
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm._common import cut
+from gridloom.llm._common import cut, discard
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -34,6 +34,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark[0] == 0 or mark == before:
             break
-        before = mark
-        now = cut(_star(_star(now, True), False), "edges")
+        before, old = mark, now
+        now = cut(_star(_star(old, True), False), "edges")
+        discard(old)
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()

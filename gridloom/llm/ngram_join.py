@@ -10,16 +10,18 @@ leave segments out: the smallest (least selective) when they are indexed, and th
 frequent ones once counts are known.  ``plan`` picks depth and spare per band by their cost.
 
 Candidates are then verified on their texts.  Within the documents that share a segment each
-meets the group's smallest first; only documents still in different components meet later, so
-large groups of near copies cost a number of pairs in proportion to their size, and none is lost.
-Groups that stay apart and are large (documents that share a passage, not a text) are not paired:
-their documents are indexed again by their rarest shingles, so many that a linked pair has one in
-common.  A linked pair that shares only such groups is in that index with both sides, so it is
-found there; what documents share with many others is not among their rarest shingles.
+meets the group's first; only documents that are still in different components meet later.
+These (large clouds of near copies, documents that share a passage) are not paired: the partition
+is refined for them to segments of one shingle.  Of these a linked pair has four ninths of both sizes in
+common, so each side leaves out the frequent ones as far as every size of partner allows, and rows of a
+group meet only where enough shingles are left on both sides (``refined``).  There each set meets
+the most central set of its group, and of the rest only pairs across components meet.
 
 Edge cases: null or empty text, or text without words: no shingles, linked with nothing.
 Null ``doc_id``: counted, never linked, component null.  Rows that share a ``doc_id`` are one
-node.  Empty tables give empty results; other columns are ignored.
+node, and equal rows give equal rows.  Equal sets are one class, whichever row stands for it; the least id
+names a component, so ties change nothing.  Very long texts are one row with many signatures, cut up
+by numpy.  Empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,18 +31,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm._common import cut, partitions, small
+from gridloom.llm._common import cut, discard, partitions, small
 from gridloom.llm.components import components
 
 WORDS, SHARE = 5, (80, 100)
 BAND_RATIO = 1.6
 #: A segment seen in more documents of one task than this goes out row by row, dealt at random.
 HOT = 48
-#: Groups of up to so many documents are paired from the first index, larger ones from the second.
-PAIRED = 8
 #: Signatures that one segment forced on (nearly) empty content is counted as, in ``plan``.
 FORCED = 8
 
@@ -204,6 +204,8 @@ def signatures(s: np.ndarray, mixed: np.ndarray, depths: tuple[int, ...] = (1, 2
 
 ROWS = "kind int, sig long, h1 long, meta int, doc_id long, n_shingles long, h2 long"
 SHARED, PROFILE = 0, 1
+#: Texts that a task unpacks at a time.
+SLICE = 256
 #: Documents whose signatures are packed together.
 PACK = 1500
 
@@ -337,35 +339,85 @@ def stars(indexed: DataFrame) -> DataFrame:
     return indexed.join(lead, "sig").filter("x.h1 <> h1").select(F.least("x.h1", "h1").alias("x"), F.greatest("x.h1", "h1").alias("y"), F.col("x.h1").alias("lead"), "h1")
 
 
-def rarest(docs: DataFrame) -> DataFrame:
-    """(sig, h1, lower, deleted): each set's rarest shingles among ``docs``.  Sets of x shingles with x - c + 1
-    of them, c the least intersection of a linked pair, share one wherever they are linked."""
+# ---- groups that stay apart: the partition refined to single shingles ---------------------
+
+#: Ratio of neighbouring size classes in the refined index.
+CLASS_RATIO = 1.05
+
+
+def size_class(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / F.lit(math.log(CLASS_RATIO))).cast("int")
+
+
+def set_hashes(docs: DataFrame) -> DataFrame:
+    """(h1, s): each set once, as the array of its shingle hashes."""
 
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            sets = [shingle_hashes(words_of(t), hashes) for t in batch.column(1).to_pylist()]
-            with np.errstate(over="ignore"):
-                h1 = [mix(np.add.reduce(mix(x * _M[1] + _M[2]), dtype=np.uint64) + np.uint64(len(x))) for x in sets]
-            lists = pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(h1, np.uint64).view(np.int64)), lists], ["h1", "s"])
-
-    # A set once, however many rows have it: the ranks below count its shingles.
-    sets = docs.select("doc_id", "text").mapInArrow(run, "h1 long, s array<long>").dropDuplicates(["h1"])
+            for k in range(0, batch.num_rows, SLICE):
+                sets = [shingle_hashes(words_of(t), hashes) for t in batch.column(0).slice(k, SLICE).to_pylist()]
+                with np.errstate(over="ignore"):
+                    h1 = [mix(np.add.reduce(mix(x * _M[1] + _M[2]), dtype=np.uint64) + np.uint64(len(x))) for x in sets]
+                lists = pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(h1, np.uint64).view(np.int64)), lists], ["h1", "s"])
+
+    return docs.select("text").mapInArrow(run, "h1 long, s array<long>").dropDuplicates(["h1"])
+
+
+def refined(sets: DataFrame) -> DataFrame:
+    """(sig, of, h1, n, left, small): ``sets`` under the segments of the finest partition, one shingle
+    each, the frequent ones left out.
+
+    A linked pair of sizes b <= a has ``need(a, b)`` of these in common.  So in the order of rising
+    frequency (shingles of one set alone come first) the first common one has at least that many
+    left, itself included, on either side.  The smaller set is indexed under its own size class
+    where that holds for any partner, the larger one under the classes of the partners that it
+    still can have; all else is left out.  ``left``: shingles from this one on."""
     each = cut(sets.select("h1", F.size("s").alias("n"), F.explode("s").alias("sig")), "shingles")
-    counts = each.groupBy("sig").agg(F.count("*").alias("c"))
-    rank = F.row_number().over(Window.partitionBy("h1").orderBy("c", "sig"))
-    first = F.col("n") - F.ceil(F.col("n") * SHARE[0] / SHARE[1]) + 1
-    kept = each.join(counts, "sig").withColumn("r", rank).filter((F.col("r") <= first) & (F.col("c") > 1))
-    return kept.select("sig", "h1", F.lit(False).alias("lower"), F.lit(False).alias("deleted")).distinct()
+    counts = each.groupBy("sig").agg(F.count("*").alias("c")).filter("c > 1")
+    # Ranks count from the end, so shingles that no other set has need no row.
+    rank = F.row_number().over(Window.partitionBy("h1").orderBy(F.col("c").desc(), F.col("sig").desc()))
+    kept = each.join(counts, "sig").withColumn("left", rank)
+    low, high = F.ceil(F.col("n") * SHARE[0] / SHARE[1]), F.least(F.col("n"), F.floor(F.col("left") * (SHARE[0] + SHARE[1]) / SHARE[0]) - F.col("n"))
+    smaller = kept.filter(f"{SHARE[0] + SHARE[1]} * left >= {2 * SHARE[0]} * n").select("sig", size_class(F.col("n")).alias("of"), "h1", "n", "left", F.lit(True).alias("small"))
+    larger = kept.withColumn("low", low).withColumn("high", high).filter("low <= high")
+    larger = larger.select("sig", F.explode(F.sequence(size_class(F.col("low")), size_class(F.col("high")))).alias("of"), "h1", "n", "left", F.lit(False).alias("small"))
+    out = cut(smaller.unionByName(larger), "refined")
+    discard(each)
+    return out
 
 
-def pairs_of(member: DataFrame) -> DataFrame:
-    """Pairs (x, y) within groups, of different labels, that the index has to find: not both in a band
-    above, and not both with a shingle deleted."""
-    left, right = (member.select("sig", *(F.col(c).alias(f"{c}_{s}") for c in ("h1", "lower", "deleted", "label"))) for s in "pq")
-    met = left.join(right, "sig").filter("not lower_p and label_p <> label_q and (lower_q or h1_p < h1_q) and not (deleted_p and deleted_q)")
-    return met.select(F.least("h1_p", "h1_q").alias("x"), F.greatest("h1_p", "h1_q").alias("y"))
+def fits(a: str, b: str) -> str:
+    """Whether rows a and b of a group of ``refined`` can be the first that a linked pair has in common."""
+    return f"{SHARE[0] + SHARE[1]} * least({a}.left, {b}.left) >= {SHARE[0]} * ({a}.n + {b}.n) and {a}.h1 <> {b}.h1"
+
+
+def leads(index: DataFrame) -> DataFrame:
+    """(sig, of, c): of each group's sets of the class the most central one, which has most shingles left."""
+    return index.filter("small").groupBy("sig", "of").agg(F.min(F.struct((F.col("n") - F.col("left")).alias("before"), F.col("h1"), F.col("n"), F.col("left"))).alias("c")).select("sig", "of", "c.*")
+
+
+def pair(a: str, b: str) -> list[Column]:
+    return [F.least(f"{a}.h1", f"{b}.h1").alias("x"), F.greatest(f"{a}.h1", f"{b}.h1").alias("y")]
+
+
+def with_lead(index: DataFrame) -> DataFrame:
+    """(x, y): each set of a group with the group's lead."""
+    return index.alias("p").join(leads(index).alias("q"), ["sig", "of"]).filter(fits("p", "q")).select(*pair("p", "q")).distinct()
+
+
+def across(index: DataFrame) -> DataFrame:
+    """index with labels -> (x, y): pairs of a smaller and a larger set of a group that have different
+    labels.  Of each such pair one at least has not the label of the group's lead, and only
+    these few meet the others."""
+    main = leads(index).join(index.filter("small").select("h1", "label").distinct(), "h1").select("sig", "of", F.col("label").alias("main"))
+    known = cut(index.join(main, ["sig", "of"]).withColumn("odd", F.col("label") != F.col("main")), "groups")
+    some = known.filter("odd").select("sig", "of").distinct()
+    known = known.join(some, ["sig", "of"], "left_semi")
+    odd = known.filter("odd")
+    met = [p.alias("p").join(q.alias("q"), ["sig", "of"]).filter(f"p.small and not q.small and p.label <> q.label and {fits('p', 'q')}").select(*pair("p", "q")) for p, q in ((odd, known), (known.filter("not odd"), odd))]
+    return met[0].unionByName(met[1]).distinct()
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -380,12 +432,13 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     def run(batches):
         last, kept = None, set()
         for batch in batches:
-            good = []
-            for ta, tb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if ta != last:
-                    last, kept = ta, shingles(words_of(ta))
-                good.append(linked(kept, shingles(words_of(tb))))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            for k in range(0, batch.num_rows, SLICE):
+                part, good = batch.slice(k, SLICE), []
+                for ta, tb in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                    if ta != last:
+                        last, kept = ta, shingles(words_of(ta))
+                    good.append(linked(kept, shingles(words_of(tb))))
+                yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
@@ -418,24 +471,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         more = cut(verified(pairs, classes, docs), "links")
         if more.limit(1).count():
             known = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).filter("a <> b")
-            labels = cut(components(known.unionByName(more), "a", "b"), "labels")
-
-    def still_apart(index: DataFrame) -> DataFrame:
-        """Rows of the groups, of three or more, that are in several components."""
-        member = index.join(labelled().select("h1", "label"), "h1")
-        apart = member.groupBy("sig").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("c")).filter("l0 < l1 and c > 2").select("sig", "c")
-        return cut(member.join(apart, "sig"), "apart")
+            old, labels = labels, cut(components(known.unionByName(more), "a", "b"), "labels")
+            discard(old)
+        discard(more)
 
     meet(star.select("x", "y"))
-    apart = still_apart(indexed)
-    large = apart.filter(F.col("c") > PAIRED).select("h1").distinct().join(labelled(), "h1").select(F.col("rep").alias("doc_id")).distinct()
-    large = cut(large, "large")
-    meet(pairs_of(apart.filter(F.col("c") <= PAIRED)))
-    if large.limit(1).count():
-        again = docs.join(small(large), "doc_id", "left_semi").select("doc_id", "text")
-        second = cut(rarest(again), "second")
-        meet(stars(second).select("x", "y"))
-        meet(pairs_of(still_apart(second)))
+    # Documents of groups, of three or more, that are in several components.
+    member = indexed.join(labelled(), "h1")
+    groups = member.groupBy("sig").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("c")).filter("l0 < l1 and c > 2").select("sig")
+    apart = cut(member.join(groups, "sig").select(F.col("rep").alias("doc_id")).distinct(), "apart")
+    if apart.limit(1).count():
+        second = refined(set_hashes(docs.join(small(apart), "doc_id", "left_semi")))
+        meet(with_lead(second))
+        meet(across(second.join(labelled().select("h1", "label"), "h1")))
     named = classes.join(labels, classes.rep == labels.node, "left").select("h1", "h2", "rep", F.coalesce("label", "rep").alias("component"))
     out = profiles.join(named, ["h1", "h2"], "left")
     has = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -58,36 +59,39 @@ def test_pii(docs, none, texts):
 # ---- 2 -------------------------------------------------------------------------------------
 
 
+def plain_set(text):
+    """Distinct 5-word shingles, made by regular expression and text; no code of the operator."""
+    lower = re.sub("[A-Z]", lambda m: chr(ord(m[0]) + 32), text or "")
+    words = re.findall("[^ \t\n\x0b\f\r]+", lower)
+    return {"\n".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
 def groups(rows):
-    sets = {}
-    for i, t, _ in rows:
-        if i is not None:
-            sets.setdefault(i, []).append(ngram_join.shingles(ngram_join.words_of(t)))
-    label = {i: i for i in sets}
-    changed = True
-    while changed:
-        changed = False
-        for a in sets:
-            for b in sets:
-                if label[a] != label[b] and any(ngram_join.linked(x, y) for x in sets[a] for y in sets[b]):
-                    low = min(label[a], label[b])
-                    label = {k: low if v in (label[a], label[b]) else v for k, v in label.items()}
-                    changed = True
+    """id -> smallest id reachable by links between any two rows."""
+    sets = [(i, plain_set(t)) for i, t, _ in rows if i is not None]
+    label = {i: i for i, _ in sets}
+    edges = [(i, j) for k, (i, x) in enumerate(sets) for j, y in sets[:k] if x and y and i != j and 100 * len(x & y) >= 80 * len(x | y)]
+    for _ in sets:
+        before = dict(label)
+        for i, j in edges:
+            label[i] = label[j] = min(label[i], label[j])
+        if label == before:
+            break
     return label
 
 
 def test_ngram_join(docs, none, texts):
     label = groups(texts)
     got = ngram_join.near_duplicates(docs).collect()
-    assert multiset((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == multiset((i, len(ngram_join.shingles(ngram_join.words_of(t))), label.get(i)) for i, t, _ in texts)
+    assert multiset((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == multiset((i, len(plain_set(t)), label.get(i)) for i, t, _ in texts)
     assert ngram_join.near_duplicates(none).count() == 0
-    kept = Counter(r["doc_id"] for r in ngram_join.keep_one(docs).collect())
-    assert kept == Counter([i for i in label if label[i] == i] + [None, None])
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter([i for i in label if label[i] == i] + [None, None])
+    assert ngram_join.keep_one(none).count() == 0
 
 
-def test_ngram_join_hot_groups(spark, monkeypatch):
-    """Documents that share a passage, and a chain of near copies, through the second index too."""
-    monkeypatch.setattr(ngram_join, "PAIRED", 2)
+def hot_rows(repeat=1):
+    """Documents that share a passage, a chain of near copies, and a cloud around one text of which no member is central."""
     shared = passage(1, 60)
     rows = [(k, shared + " " + passage(1000 + k, 40), "s") for k in range(40)]
     words = passage(5, 200).split()
@@ -95,9 +99,37 @@ def test_ngram_join_hot_groups(spark, monkeypatch):
         words[5 * k] = f"w{k}"
         rows.append((100 + k, " ".join(words), "s"))
     rows += [(300 + k, f"{rows[k][1]} extra{k}", "s") for k in range(0, 40, 3)]
-    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    seed, r = passage(8, 150).split(), random.Random(4)
+    for k in range(60):
+        own = list(seed)
+        for at in r.sample(range(150), r.randint(2, 6)):
+            own[at] = f"c{k}x{at}"
+        rows.append((400 + k, " ".join(own), "s"))
+    rows += [(500, rows[-1][1] + " end", "s"), (501, " ".join(seed[:130]), "s")]
+    return rows * repeat
+
+
+@pytest.mark.parametrize("repeat", [1, 3])
+def test_ngram_join_hot_groups(spark, repeat):
+    rows = hot_rows(repeat)
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(3)
     label = groups(rows)
-    assert {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(df).collect()} == label
+    got = ngram_join.near_duplicates(df).collect()
+    assert len(got) == len(rows) and {r["doc_id"]: r["component_id"] for r in got} == label
+    assert len(set(label.values())) > 60
+
+
+def test_refined_index_finds_every_linked_pair(spark):
+    """The refined index by itself, all pairs of different labels asked for: every linked pair comes, few others do."""
+    rows = hot_rows()
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    sets = ngram_join.set_hashes(df).cache()
+    by = {r["h1"]: set(r["s"]) for r in sets.collect()}
+    handles = sorted(by)
+    linked = {(x, y) for k, y in enumerate(handles) for x in handles[:k] if 100 * len(by[x] & by[y]) >= 80 * len(by[x] | by[y])}
+    index = ngram_join.refined(sets).withColumn("label", F.col("h1"))
+    found = {tuple(r) for r in ngram_join.with_lead(index).unionByName(ngram_join.across(index)).collect()}
+    assert linked <= found and len(found) < 3 * len(linked) + 100
 
 
 @pytest.mark.parametrize("depths", [(1, 2), (2,)])
