@@ -2,24 +2,32 @@
 maximisation over the counts of vote patterns estimates how often each rule is right; the
 posterior probability of quality replaces a filter that wants every rule passed.
 
-Everything per document is DataFrame expressions.  A pattern is one of ``3 ** len(RULES)``, so
+Every rule votes both ways, so a document that one rule finds bad is held against the votes of all
+others, and how much each vote weighs comes from the fit alone.  The fit is over the documents
+that the base rule leaves to the verdict.
+
+Everything per document is DataFrame expressions.  A pattern is one of ``3 ** len(rules())``, so
 the table of counts that the driver fits on has a fixed bound whatever the corpus.
 
 Edge cases: null or empty text has no words (base rule fails).  Null ids and repeated rows
-are passed through, one row per input row.  An empty table gives an empty result; other
-columns stay where ``score`` is asked to carry them.
+are passed through, one row per input row; equal texts get equal verdicts, so there are no ties to
+break.  Very long texts cost time in proportion to their length, in one row.  An empty table gives an
+empty result, and where no document passes the base rule the verdict rests on the prior counts.
+Other columns stay where ``score`` is asked to carry them.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm._common import WHITE, WHITE_CHARS, cut, pinned
+from gridloom.llm._common import LOWER, UPPER, WHITE, WHITE_CHARS, cut, pinned
 
 SYMBOLS = "#*$%&|<>"
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 THRESHOLD = 0.5
 
@@ -53,8 +61,9 @@ def with_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
         pinned(F.coalesce(covered, F.lit(0)).cast("long")).alias("n_repeat_words"),
         F.size("_l").cast("long").alias("q_lines"),
         _deleted(F.col("_t"), "!").cast("long").alias("q_bangs"),
-        _deleted(F.col("_t"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long").alias("q_upper"),
-        _deleted(F.col("_t"), "abcdefghijklmnopqrstuvwxyz").cast("long").alias("q_lower"),
+        _deleted(F.col("_t"), UPPER).cast("long").alias("q_upper"),
+        _deleted(F.col("_t"), LOWER).cast("long").alias("q_lower"),
+        _deleted(F.col("_t"), PUNCTUATION).cast("long").alias("q_marks"),
         _deleted(F.col("_t"), ".?").cast("long").alias("q_stops"),
     )
 
@@ -64,63 +73,51 @@ def _vote(bad: Column, good: Column) -> Column:
 
 
 def rules() -> dict[str, Column]:
-    """Rule -> its vote (-1 bad, 0 abstains, 1 good).  Rules that know one kind of junk only vote bad or
-    abstain; the others abstain between their two limits."""
+    """Rule -> its vote (-1 bad, 0 abstains, 1 good).  Every rule abstains between its two limits."""
     n = F.greatest(F.col("n_words"), F.lit(1))
     chars = F.greatest(F.col("word_chars"), F.lit(1))
     lines = F.greatest(F.col("q_lines"), F.lit(1))
-    letters = F.col("q_upper") + F.col("q_lower")
-    never = F.lit(False)
+    letters = F.greatest(F.col("q_upper") + F.col("q_lower"), F.lit(1))
     return {
-        "length": _vote(F.col("n_words") < MIN_WORDS, F.col("n_words") >= 80),
-        "repeats": _vote(100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * n, 100 * F.col("n_repeat_words") < 25 * n),
-        "symbols": _vote(100 * F.col("n_symbols") > 25 * n, never),
-        "duplicate_lines": _vote(100 * F.col("n_dup_lines") > 40 * lines, never),
-        "word_length": _vote((chars < 2 * n) | (chars > 16 * n), never),
-        "capitals": _vote(100 * F.col("q_upper") > 60 * F.greatest(letters, F.lit(1)), never),
-        "shouting": _vote(100 * F.col("q_bangs") > 25 * n, never),
-        "sentences": _vote((F.col("q_stops") * 400 < n) & (n >= 80), F.col("q_stops") * 60 >= n),
+        "length": _vote(n < 80, n >= 120),
+        "repeats": _vote(100 * F.col("n_repeat_words") > 20 * n, 100 * F.col("n_repeat_words") < 5 * n),
+        "symbols": _vote(100 * F.col("n_symbols") > 10 * n, 100 * F.col("n_symbols") < 2 * n),
+        "duplicate_lines": _vote(100 * F.col("n_dup_lines") > 20 * lines, 100 * F.col("n_dup_lines") < 5 * lines),
+        "word_length": _vote((10 * chars < 35 * n) | (10 * chars > 70 * n), (10 * chars >= 45 * n) & (10 * chars <= 60 * n)),
+        "capitals": _vote(100 * F.col("q_upper") > 20 * letters, 100 * F.col("q_upper") < 5 * letters),
+        "punctuation": _vote(100 * F.col("q_marks") > 10 * chars, 100 * F.col("q_marks") < 7 * chars),
+        "sentences": _vote((100 * F.col("q_stops") < 2 * n) | (100 * F.col("q_stops") > 20 * n), (100 * F.col("q_stops") >= 4 * n) & (100 * F.col("q_stops") <= 15 * n)),
+        "shouting": _vote(100 * F.col("q_bangs") > 5 * n, 100 * F.col("q_bangs") < n),
     }
 
 
-#: Prior counts, vote -> (given bad, given good), of rules that vote both ways, and of those that only
-#: know a kind of junk: these fire on a part of the bad and hardly ever on the good.
-BOTH = {-1: (4.0, 1.0), 0: (2.0, 2.0), 1: (4.0, 7.0)}
-JUNK = {-1: (3.0, 0.03), 0: (7.0, 9.97), 1: (0.001, 0.001)}
-#: Least ratio of a junk rule's rate among the bad to that among the good.  Without it the fit
-#: explains junk of one kind, which is fine by all other rules, as good.
-SURE = 1000.0
-JUNK_RULES = ("symbols", "duplicate_lines", "word_length", "capitals", "shouting")
+#: Prior counts of every rule, vote -> (given bad, given good), in parts of ``PRIOR_WEIGHT`` of the documents:
+#: what the fit starts from, and what tells it which class is which.
+PRIOR = {-1: (0.4, 0.05), 0: (0.2, 0.2), 1: (0.4, 0.75)}
+PRIOR_GOOD, PRIOR_WEIGHT = 0.8, 0.01
+ROUNDS, CLOSE = 500, 1e-9
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60, junk: tuple[int, ...] = ()) -> tuple[float, list[dict[int, tuple[float, float]]]]:
-    """Expectation maximisation of a naive model: quality is hidden, rules vote independently
-    given it.  patterns: (votes, documents); junk: numbers of the rules with the ``JUNK`` prior.
-    Returns the share of good documents and, per rule, vote -> (its probability given bad, given
-    good).  Counts are smoothed with the priors at a hundredth of the documents, so classes can't
-    swap, and at least half of the documents are taken to be good."""
+def fit(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[dict[int, tuple[float, float]]]]:
+    """Expectation maximisation of a naive model: quality is hidden, rules vote independently given
+    it.  patterns: (votes, documents).  Returns the share of good documents and, per rule, vote ->
+    (its probability given bad, given good)."""
     width = len(patterns[0][0]) if patterns else 0
-    priors = [JUNK if k in junk else BOTH for k in range(width)]
-    normal = lambda c: {v: tuple(c[v][k] / sum(c[x][k] for x in c) for k in (0, 1)) for v in c}
-    good, table = 0.8, [normal(p) for p in priors]
-    total = sum(n for _, n in patterns)
-    weight = max(1.0, 0.01 * total)
-    for _ in range(rounds):
-        counts = [{v: [weight * x / 10 for x in p[v]] for v in p} for p in priors]
-        goods = 0.0
-        for votes, n in patterns:
-            p = posterior(votes, good, table)
-            goods += p * n
-            for k, v in enumerate(votes):
-                counts[k][v][0] += (1 - p) * n
-                counts[k][v][1] += p * n
-        good = min(0.999, max(0.5, (goods + 0.8 * weight) / (total + weight)))
-        table = [normal(c) for c in counts]
-        for k in (k for k in junk if k < width):
-            fires = min(table[k][-1][1], table[k][-1][0] / SURE)
-            table[k][0] = (table[k][0][0], table[k][0][1] + table[k][-1][1] - fires)
-            table[k][-1] = (table[k][-1][0], fires)
-    return good, table
+    prior = np.array([PRIOR[v] for v in (-1, 0, 1)])
+    good, table = PRIOR_GOOD, np.repeat(prior[None], width, 0)
+    number = np.array([n for _, n in patterns], float)
+    # One row a pattern, and for each rule which of its three votes it has.
+    has = np.stack([np.array([p for p, _ in patterns]).reshape(len(patterns), width) == v for v in (-1, 0, 1)], 2).astype(float)
+    weight = max(1.0, PRIOR_WEIGHT * number.sum())
+    for _ in range(ROUNDS if patterns else 0):
+        logs = np.einsum("nkv,kvc->nc", has, np.log(table)) + np.log([1 - good, good])
+        share = 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -700, 700)))
+        counts = np.stack([np.einsum("n,nkv->kv", number * x, has) for x in (1 - share, share)], 2) + weight * prior
+        last, good = good, (number @ share + weight * PRIOR_GOOD) / (number.sum() + weight)
+        table = counts / counts.sum(1, keepdims=True)
+        if abs(good - last) < CLOSE:
+            break
+    return float(good), [{v: (float(t[k][0]), float(t[k][1])) for k, v in enumerate((-1, 0, 1))} for t in table]
 
 
 def evidence(vote: int, rule: dict[int, tuple[float, float]]) -> float:
@@ -142,16 +139,15 @@ def score(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc
     featured = featured.withColumn("votes", code)
     # Written once with its features: the fit and the verdict would else each compute them.
     featured = cut(featured.drop(*[c for c in (text_col,) if c not in keep]), "features")
-    rows = featured.groupBy("votes").count().limit(3 ** len(votes)).collect()
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    rows = featured.filter(~failed).groupBy("votes").count().limit(3 ** len(votes)).collect()
     found = [(tuple(int(c) - 1 for c in r["votes"]), r["count"]) for r in rows]
-    good, table = fit(sorted(found), junk=tuple(k for k, name in enumerate(votes) if name in JUNK_RULES))
+    good, table = fit(sorted(found) or [((0,) * len(votes), 0)])
     # Log odds of a document as a sum over its votes: one small lookup a rule, no join.
     odds = F.lit(math.log(good / (1 - good)))
     for k in range(len(votes)):
         at = F.substring("votes", k + 1, 1)
-        part = F.when(at == "0", evidence(-1, table[k])).when(at == "2", evidence(1, table[k])).otherwise(evidence(0, table[k])) if found else F.lit(0.0)
-        odds = odds + part
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+        odds = odds + F.when(at == "0", evidence(-1, table[k])).when(at == "2", evidence(1, table[k])).otherwise(evidence(0, table[k]))
     out = featured.withColumn("base_failed", failed).withColumn("quality_probability", 1 / (1 + F.exp(-odds)))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality_probability") >= THRESHOLD))
 

@@ -178,6 +178,26 @@ def test_quality_rules(docs, none, texts):
     assert kept.columns == docs.columns and kept.count() == sum(r["kept"] for r in got)
 
 
+def plain_fit(rows, rounds=500):
+    """Expectation maximisation document by document, in the plainest form."""
+    prior = {-1: (0.4, 0.05), 0: (0.2, 0.2), 1: (0.4, 0.75)}
+    weight, good, table = max(1.0, len(rows) / 100), 0.8, [dict(prior) for _ in rows[0]]
+    for _ in range(rounds):
+        told = [plain_posterior(v, good, table) for v in rows]
+        good = (sum(told) + 0.8 * weight) / (len(rows) + weight)
+        for k in range(len(table)):
+            counts = {x: [weight * prior[x][c] + sum((p if c else 1 - p) for v, p in zip(rows, told, strict=True) if v[k] == x) for c in (0, 1)] for x in prior}
+            table[k] = {x: tuple(counts[x][c] / sum(n[c] for n in counts.values()) for c in (0, 1)) for x in prior}
+    return good, table
+
+
+def plain_posterior(votes, good, table):
+    bad, fine = 1 - good, good
+    for v, t in zip(votes, table, strict=True):
+        bad, fine = bad * t[v][0], fine * t[v][1]
+    return fine / (bad + fine)
+
+
 def test_rules_fit_finds_the_classes():
     rng = np.random.default_rng(0)
     good = rng.random(4000) < 0.7
@@ -187,6 +207,23 @@ def test_rules_fit_finds_the_classes():
     assert (told == good).mean() > 0.95 and abs(share - 0.7) < 0.05
 
 
+def test_rules_verdict_is_the_fit(spark):
+    """On given documents: the posterior of a plain fit, votes outvoted both ways, and labels mostly met."""
+    from ..conftest import DATA
+
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    rows = quality_rules.score(docs).join(spark.read.parquet(f"{DATA}/sf0.01/labels.parquet").select("doc_id", "quality"), "doc_id", "left").collect()
+    votes = {r["doc_id"]: tuple(int(c) - 1 for c in r["votes"]) for r in rows}
+    rest = [r for r in rows if not r["base_failed"]]
+    good, table = plain_fit([votes[r["doc_id"]] for r in rest], 120)
+    assert all(abs(r["quality_probability"] - plain_posterior(votes[r["doc_id"]], good, table)) < 1e-4 for r in rows)
+    assert all(r["kept"] == (r["quality_probability"] >= 0.5) for r in rest)
+    assert any(r["kept"] and -1 in votes[r["doc_id"]] for r in rest)
+    assert any(not r["kept"] and sum(votes[r["doc_id"]]) > 0 for r in rest)
+    of = lambda q: [r["kept"] for r in rest if r["quality"] == q]
+    assert sum(of(1)) > 0.99 * len(of(1)) and sum(of(0)) < 0.1 * len(of(0))
+
+
 # ---- 4 -------------------------------------------------------------------------------------
 
 
