@@ -3,17 +3,19 @@
 Each text becomes a few counts and shares; an additive model over their quantile bins is fitted
 by the non-negative unbiased risk (positives carry the class prior; the negative part of the
 risk, estimated from unlabelled minus positive texts, is kept from going below zero).  The class
-prior is estimated too: by the share of positives among the trusted labels where there are enough
-of both kinds, else from the mixture: wherever a first model looks, unlabelled mass per positive
-mass is at least the prior, and its minimum over held-back halves estimates it.  No text with a
-negative label is trained on as such.
+prior is estimated too, from the mixture alone: in the region above any threshold of a first model's
+score, unlabelled mass per positive mass is at least the prior.  The region is chosen that has the
+least such ratio with its margin for chance, on halves that the first model was not fitted on.  No
+text with a negative label is trained on as such, and the share of labels is never read.
 
-The fit sees at most ``MAX_POSITIVE`` trusted and ``MAX_UNLABELLED`` other texts, drawn by a seeded
-hash of the id; every text is scored.
+The fit sees about ``MAX_POSITIVE`` trusted and ``MAX_UNLABELLED`` other texts, those whose seeded hash
+is below a bound made from counts; every text is scored.
 
 Edge cases: null and empty texts have all-zero features and get a score like any other; null
-ids are scored and never drawn as trusted; repeated rows each give a row; without positives or
-without other texts every score is the prior, 0.5.  Other columns are ignored.
+ids are scored and never drawn as trusted; repeated rows each give a row and are drawn once; rows of
+equal features tie in score.  Very long texts are counted in one pass, in time in proportion to their
+length.  Without positives or without other texts every score is the prior, 0.5.  Empty tables give
+empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,9 +31,9 @@ from pyspark.sql import functions as F
 from gridloom.llm._common import cut, small
 
 MAX_POSITIVE, MAX_UNLABELLED, BINS, SEED = 12_000, 24_000, 12, 5
-STEPS, RATE, PENALTY = 400, 0.05, 2e-4
-#: Trusted labels that make their share of positives the class prior.
-LEAST_LABELS = 100
+STEPS, RATE, PENALTY = 800, 0.1, 2e-4
+#: Chance of error, and weight of the margin, in the choice of the region that the prior is read from.
+DELTA, MARGIN = 0.1, 0.01
 
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 _UPPER = re.compile(r"[A-Z]")
@@ -111,7 +113,7 @@ class Model:
 def _fit(model: Model, p: np.ndarray, u: np.ndarray, prior: float | None) -> None:
     """Adam on the risk.  prior None: plain positive against unlabelled, for the prior's estimate."""
     width = len(model.weights)
-    penalty = PENALTY + 2 / max(1, len(p))
+    penalty = PENALTY + 0.1 / max(1, len(p))
     state = np.zeros((2, width + 1))
     theta = np.zeros(width + 1)
     sig = lambda g: 1 / (1 + np.exp(-np.clip(g, -30, 30)))
@@ -137,11 +139,14 @@ def _fit(model: Model, p: np.ndarray, u: np.ndarray, prior: float | None) -> Non
 
 
 def estimate_prior(gp: np.ndarray, gu: np.ndarray) -> float:
-    """Least ratio of unlabelled to positive mass above a threshold, with a margin for chance."""
-    cuts = np.quantile(gp, np.linspace(0.02, 0.7, 35))
-    above = lambda g, c: (g >= c).mean()
-    ratios = [(above(gu, c) + np.sqrt(1 / len(gu)) / 2) / max(above(gp, c), 1e-9) for c in cuts]
-    return float(np.clip(min(ratios), 0.05, 0.99))
+    """Ratio of unlabelled to positive mass above the threshold where it is least, with its margin for chance."""
+    cuts = np.unique(np.append(gp, gu))
+    above = lambda g: 1 - np.searchsorted(np.sort(g), cuts, "left") / len(g)
+    p, u = above(gp), above(gu)
+    some = p > 0
+    margin = (1 + MARGIN) * sum(np.sqrt(np.log(4 / DELTA) / (2 * len(g))) for g in (gp, gu))
+    best = int(np.argmin((u[some] + margin) / p[some]))
+    return float(np.clip(u[some][best] / p[some][best], 0.02, 0.98))
 
 
 def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None) -> tuple[Model, float]:
@@ -155,8 +160,8 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = No
         for k in (0, 1):
             first = empty()
             _fit(first, p[k::2], u[k::2], None)
-            halves.append(estimate_prior(first.raw(p[1 - k :: 2]), first.raw(u[1 - k :: 2])))
-        prior = sum(halves) / 2
+            halves.append([first.raw(x[1 - k :: 2]) for x in (p, u)])
+        prior = estimate_prior(*(np.concatenate(x) for x in zip(*halves, strict=True))) if min(len(p), len(u)) > 1 else 0.5
     _fit(model, p, u, prior)
     return model, prior
 
@@ -164,22 +169,24 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = No
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted.  Labels are read only where
     crc32 of the id's text, modulo 3, is not 1."""
-    rows = cut(featured(docs, id_col, text_col), "features")
+    rows = cut(featured(docs, id_col, text_col).withColumn("row", F.xxhash64("doc_id", "features")), "features")
     out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
     trusted = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").filter("quality = 1").filter(~out).select("doc_id").distinct()
-    order = F.xxhash64(F.lit(SEED), "doc_id")
-    sample = lambda df, most: np.array([r["features"] for r in df.orderBy(order, "doc_id").limit(most).select("features").collect()], np.float64)
-    positive = sample(rows.join(small(trusted), "doc_id", "left_semi"), MAX_POSITIVE)
-    unlabelled = sample(rows.join(small(trusted), "doc_id", "left_anti"), MAX_UNLABELLED)
-    # Unlabelled text is to be a sample of the whole mixture: trusted texts go in by their share.
-    share = labels.filter("quality in (0, 1) and doc_id is not null").filter(~out).groupBy("quality").count().collect()  # two rows
-    share = {r["quality"]: r["count"] for r in share}
-    prior = share[1] / (share[0] + share[1]) if share.get(0) and share.get(1) and sum(share.values()) >= LEAST_LABELS else None
+    trusted = small(cut(trusted, "trusted"))
+    parts = [(rows.join(trusted, "doc_id", "left_semi"), MAX_POSITIVE), (rows.join(trusted, "doc_id", "left_anti"), MAX_UNLABELLED)]
+    size, drawn = [], []
+    for part, most in parts:
+        size.append(part.select("row").distinct().count())
+        below = F.pmod(F.xxhash64(F.lit(SEED), "row"), F.lit(1 << 40)) < int(min(1.0, most / max(1, size[-1])) * (1 << 40))
+        found = part.filter(below).dropDuplicates(["row"]).select("row", "features").collect()  # about ``most`` rows
+        drawn.append(np.array([r["features"] for r in sorted(found, key=lambda r: r["row"])], np.float64))
+    positive, unlabelled = drawn
     model = None
     if len(positive) and len(unlabelled):
-        n_all, n_trusted = rows.count(), rows.join(small(trusted), "doc_id", "left_semi").count()
-        back = min(len(positive), round(len(unlabelled) * n_trusted / max(1, n_all - n_trusted)))
-        model, _ = train(positive, np.concatenate([unlabelled, positive[:back]]), prior)
+        # Unlabelled text is to be a sample of the whole mixture: trusted texts go in by their share.
+        back = min(len(positive), round(len(unlabelled) * size[0] / max(1, size[1])))
+        mixed = np.concatenate([unlabelled, positive[:back]])
+        model, _ = train(positive, mixed[np.random.default_rng(SEED).permutation(len(mixed))])
 
     def run(batches):
         for batch in batches:

@@ -241,6 +241,23 @@ def test_pu_quality(spark, docs, none):
     assert set(pu_quality.score(docs, labels.limit(0)).select("score").distinct().toPandas()["score"]) == {0.5}
 
 
+def test_prior_is_near_the_share_of_labels():
+    """The estimate, which never reads negative labels, against their share; and the score against plain counts."""
+    import pyarrow.parquet as pq
+
+    from ..conftest import DATA
+
+    docs = pq.read_table(f"{DATA}/sf0.1/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    quality = {r["doc_id"]: r["quality"] for r in pq.read_table(f"{DATA}/sf0.1/labels.parquet").to_pylist()}
+    x = np.array([pu_quality.features(r["text"]) for r in docs])
+    trusted = np.array([quality.get(r["doc_id"]) == 1 and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1 for r in docs])
+    model, prior = pu_quality.train(x[trusted], x[np.random.default_rng(0).permutation(len(x))])
+    assert abs(prior - np.mean([v == 1 for v in quality.values()])) < 0.04
+    row, width = x[7], pu_quality.BINS + 1
+    plain = model.bias + sum(model.weights[k * width + sum(e <= v for e in model.edges[k])] for k, v in enumerate(row))
+    assert model.score(row[None])[0] == pytest.approx(1 / (1 + np.exp(-plain)))
+
+
 def test_prior_estimate():
     rng = np.random.default_rng(1)
     p = rng.normal(2, 1, (4000, 5))
