@@ -281,6 +281,44 @@ def test_sharding(docs, none, texts, spark):
     assert len(sizes) == 40 and max(sizes) / min(sizes) < 1.04
 
 
+def plain_shards(rows, shards):
+    """rows (hash, id, size) -> shard of each, all in one list: groups above a hundredth of a shard first, by size, to
+    the emptiest shard; the others in order into the room that is left; groups above a shard record by record."""
+    total, group = sum(n for *_, n in rows), Counter()
+    each = total / shards
+    for h, _, n in rows:
+        group[h] += n
+    load, home = [0] * shards, {}
+    for h, b in sorted(group.items(), key=lambda g: (-g[1], g[0])):
+        if each / 100 < b <= each:
+            home[h] = load.index(min(load))
+            load[home[h]] += b
+    rest = [r for r in sorted(rows) if r[0] not in home]
+    room = [max(0, each - x) for x in load]
+    ends = np.cumsum(room) * sum(n for *_, n in rest) / sum(room)
+    out, at, starts = {}, 0, {}
+    for h, i, n in rest:
+        middle = at + n / 2 if group[h] > each else starts.setdefault(h, at) + group[h] / 2
+        out[h, i] = int((ends[:-1] <= middle).sum())
+        at += n
+    return {(h, i): home.get(h, out.get((h, i))) for h, i, _ in rows}
+
+
+def test_sharding_equals_plain_placement(spark):
+    rows = [(k, "huge " * 40) for k in range(900)] + [(2000 + k, passage(k // (1 + k % 40), 5 + k % 30)) for k in range(3000)] + [(9000 + k, "medium " * 30) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    hashed = df.withColumn("hash", F.xxhash64("text"))
+    got = sharding.assign(hashed, 10, keep=("doc_id", "hash", "text")).collect()
+    want = plain_shards([(r["hash"], r["doc_id"], r["size"]) for r in got], 10)
+    assert all(r["shard"] == want[r["hash"], r["doc_id"]] for r in got) and len(got) == len(rows)
+    at = {}
+    for r in got:
+        at.setdefault(r["text"], set()).add(r["shard"])
+    assert [t[:5] for t, s in at.items() if len(s) > 1] == ["huge "]
+    for s in range(10):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+
+
 # ---- 6 -------------------------------------------------------------------------------------
 
 
