@@ -1,28 +1,34 @@
 """Mixing overlapping sources to target weights by a min-cost flow.
 
-Documents with the same set of sources form a membership pattern.  The driver sees one row per
-pattern and source (not per document), and solves a flow from patterns to source quotas whose
-cost is convex in repetition: a first use of a word is free, a second costs one, and so on.
-Documents are then taken in a seeded order until their pattern's flow is used; running totals
-are kept per slice of that order, so a source with a third of all rows is spread over tasks.
+Sources overlap where they hold the same item (an equal text).  Items with the same set of sources
+form a membership pattern.  The driver sees one row per pattern and source (not per document), and
+solves a flow from patterns to source quotas.  Its cost is convex in repetition, counted by item
+whichever sources it is taken from: the first use of a word is free, a second costs one, and so
+on, so a source takes rather what no other source has taken yet.  Documents are then taken in a seeded
+order until the flow of their pattern and source is used; running totals are kept per slice of that
+order, so a source with a third of all rows is spread over tasks.  What whole documents leave over
+or short is made good in each source's largest pattern.
 
 Edge cases: null text has size 0 and is never taken; a null source is a source of its own, last;
-null ids are ordered like any value; equal rows tie and are taken as one after the other.  Empty
-tables give empty results; other columns are carried where asked.
+null ids are ordered like any value; equal rows tie and are taken as one after the other.  Very long
+texts are taken whole or not, so a source may miss its target by half of one.  Empty tables give empty
+results; other columns are carried where asked.
 """
 
 from __future__ import annotations
 
-import heapq
+from collections import deque
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm._common import BROADCAST_ROWS, WHITE, cut, pinned, small
+from gridloom.llm._common import BROADCAST_ROWS, WHITE, cut, discard, pinned, small
 
 SHARE, WEIGHTS, MOST = 1.5, (5, 2, 1), 2
+#: Uses of an item that are told apart by cost; all further ones cost the same.
+LEVELS = 5
 SLICE_ROWS = 2000
 
 
@@ -30,6 +36,11 @@ def size_of(text: str):
     return pinned(F.size(F.filter(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), WHITE + "+"), lambda w: w != "")).cast("long"))
 
 
+def item_of(text: str):
+    """What makes two texts the same item: 64 bits of the whole text."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
 def targets(sizes: dict[str | None, int], share: float = SHARE, weights: Sequence[float] = WEIGHTS, most: float = MOST) -> dict[str | None, float]:
     """Quota per source: ``share`` of all words by repeating weights over the sources in code point
     order (null last), none above ``most`` times its size; what is cut off is dealt again by weight."""
@@ -50,99 +61,131 @@ def targets(sizes: dict[str | None, int], share: float = SHARE, weights: Sequenc
     return {s: out[s] for s in order}
 
 
-def flow(capacity: dict[int, float], members: dict[int, list[int]], quota: dict[int, float], most: int = MOST) -> dict[tuple[int, int], float]:
-    """Min-cost flow by successive shortest paths.  capacity: words per pattern; members: the
-    sources of each pattern; quota: words per source.  Copy number c of a pattern's words costs
-    c - 1, so repetition is spread as evenly as the overlaps allow.  Returns words per (pattern, source)."""
-    used: dict[tuple[int, int], float] = {(p, s): 0.0 for p in members for s in members[p]}
+def flow(capacity: dict[int, float], limit: dict[tuple[int, int], float], quota: dict[int, float], levels: int = LEVELS) -> dict[tuple[int, int], float]:
+    """Min-cost flow by successive shortest paths.  capacity: words of each pattern's items; limit: most words that
+    a pattern can give a source; quota: words per source.  Use number c of a pattern's words costs
+    c - 1 (from ``levels`` on the same), so repetition is spread as evenly as the overlaps allow.  Returns
+    words per (pattern, source)."""
+    used = dict.fromkeys(limit, 0.0)
     spent = dict.fromkeys(capacity, 0.0)
     have = dict.fromkeys(quota, 0.0)
     by_source: dict[int, list[int]] = {}
-    for p, ss in members.items():
-        for s in ss:
-            by_source.setdefault(s, []).append(p)
+    by_pattern: dict[int, list[int]] = {}
+    for p, s in limit:
+        by_source.setdefault(s, []).append(p)
+        by_pattern.setdefault(p, []).append(s)
     tiny = 1e-6
-    for level in range(1, most + 1):  # all augmenting paths that end on copy number ``level``
-        room = {p: capacity[p] * level - spent[p] for p in capacity}
+    for level in range(1, levels + 1):  # all augmenting paths that end on use number ``level``
+        room = {p: (capacity[p] * level if level < levels else float("inf")) - spent[p] for p in capacity}
         while True:
             # Shortest path: a wanting source, pattern of its, another source that pattern serves, ... a pattern with room.
             seen: dict[tuple[str, int], tuple[str, int] | None] = {("s", s): None for s in quota if quota[s] - have[s] > tiny}
-            queue = [(0, k, x) for k, x in enumerate(seen)]
-            end, count = None, len(queue)
-            while queue and end is None:
-                d, _, (kind, x) = heapq.heappop(queue)
-                nexts = [("p", p) for p in by_source.get(x, [])] if kind == "s" else [("s", s) for s in members[x] if used[x, s] > tiny]
+            queue, end = deque(seen), None
+            while queue:
+                kind, x = queue.popleft()
                 if kind == "p" and room[x] > tiny:
                     end = (kind, x)
                     break
+                nexts = [("p", p) for p in by_source.get(x, []) if limit[p, x] - used[p, x] > tiny] if kind == "s" else [("s", s) for s in by_pattern[x] if used[x, s] > tiny]
                 for y in nexts:
                     if y not in seen:
                         seen[y] = (kind, x)
-                        heapq.heappush(queue, (d + 1, count, y))
-                        count += 1
+                        queue.append(y)
             if end is None:
                 break
             path = [end]
             while seen[path[-1]] is not None:
                 path.append(seen[path[-1]])
             first = path[-1][1]
-            amount = min(room[end[1]], quota[first] - have[first], *(used[path[i][1], path[i - 1][1]] for i in range(2, len(path), 2)))
-            for i in range(0, len(path) - 1, 2):
-                used[path[i][1], path[i + 1][1]] += amount
-            for i in range(2, len(path), 2):
-                used[path[i][1], path[i - 1][1]] -= amount
+            more = [(path[i][1], path[i + 1][1]) for i in range(0, len(path) - 1, 2)]
+            less = [(path[i][1], path[i - 1][1]) for i in range(2, len(path), 2)]
+            amount = min(room[end[1]], quota[first] - have[first], *(limit[e] - used[e] for e in more), *(used[e] for e in less))
+            for e in more:
+                used[e] += amount
+            for e in less:
+                used[e] -= amount
             room[end[1]] -= amount
             spent[end[1]] += amount
             have[first] += amount
     return used
 
 
-def mix(docs: DataFrame, sources_col: str = "sources", size_col: str = "size", id_col: str = "doc_id", seed: int = 17, max_patterns: int = 1_000_000) -> DataFrame:
-    """``docs`` (with an array of sources and a size) plus pattern_source_size, target and copies
-    (how often the whole document is taken, 0 to ``MOST``).  target and source size are those of
-    the first source.  Patterns are counted first: more than ``max_patterns`` is an error, since
-    the flow over them runs on the driver."""
+def patterns(light: DataFrame, max_patterns: int) -> tuple[list, dict, DataFrame]:
+    """light: (_s, _k, _n).  Rows (pattern, source, words, rows), words of the items of each pattern, and the
+    table (_k, _m) of the items that several sources hold.  A pattern is a sorted array of structs of a source,
+    which may be null."""
+    held = light.groupBy("_k", "_s").agg(F.sum("_n").alias("words"), F.count("*").alias("rows"), F.max("_n").alias("unit"))
+    held = cut(held, "mix-held")
+    each = held.groupBy("_k").agg(F.array_sort(F.collect_set(F.struct("_s"))).alias("_m"), F.max("unit").alias("unit"))
+    each = cut(each, "mix-items")
+    several = cut(each.filter("size(_m) > 1").select("_k", "_m"), "mix-several")
+    known = held.join(small(several), "_k", "left").withColumn("_p", F.coalesce("_m", F.array(F.struct("_s"))))
+    cells = known.groupBy("_p", "_s").agg(F.sum("words").alias("words"), F.sum("rows").alias("rows")).limit(max_patterns + 1).collect()
+    if len(cells) > max_patterns:
+        raise ValueError(f"more than {max_patterns} patterns and sources")
+    words = each.groupBy("_m").agg(F.sum("unit").alias("words")).collect()  # one row a pattern
+    discard(held, each)
+    return cells, {tuple(x["_s"] for x in r["_m"]): float(r["words"]) for r in words}, several
+
+
+def mix(docs: DataFrame, source_col: str = "source", item_col: str = "item", size_col: str = "size", id_col: str = "doc_id", seed: int = 17, max_patterns: int = 1_000_000) -> DataFrame:
+    """``docs`` (one row for each source that holds an item, with the item's size) plus source_size, target and
+    copies (how often the whole document is taken, 0 to ``MOST``).  Patterns are counted first: more
+    than ``max_patterns`` rows of them and their sources are an error, since the flow runs on the driver."""
     spark = docs.sparkSession
-    keyed = docs.withColumn("_p", F.array_sort(F.array_distinct(sources_col))).withColumn("_o", F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(size_col)))
-    light = cut(keyed.select("_p", "_o", F.col(size_col).alias("_n")), "mix-sizes")
-    sums = light.groupBy("_p").agg(F.sum("_n").alias("words"), F.count("*").alias("rows"))
-    sums = sums.limit(max_patterns + 1).collect()
-    if len(sums) > max_patterns:
-        raise ValueError(f"more than {max_patterns} membership patterns")
-    sums.sort(key=lambda r: [(s is None, s or "") for s in r["_p"] or []])
+    order = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(size_col))
+    keyed = docs.withColumn("_s", F.col(source_col)).withColumn("_k", F.xxhash64(F.lit(seed), F.col(item_col))).withColumn("_o", order).withColumn("_n", F.col(size_col))
+    light = cut(keyed.select("_s", "_k", "_o", "_n"), "mix-sizes")
+    cells, item_words, several = patterns(light, max_patterns)
+    place = lambda s: (s is None, s or "")
+    cells.sort(key=lambda r: (place(r["_s"]), [place(x["_s"]) for x in r["_p"]]))
     of_source: dict[str | None, int] = {}
-    for r in sums:
-        for s in r["_p"] or []:
-            of_source[s] = of_source.get(s, 0) + r["words"]
-    total = sum(r["words"] for r in sums)
-    scale = total / max(1, sum(of_source.values()))  # overlaps count once in the total
-    quota = targets(of_source, SHARE * scale) if of_source else {}
+    for r in cells:
+        of_source[r["_s"]] = of_source.get(r["_s"], 0) + r["words"]
+    quota = targets(of_source) if of_source else {}
     number = {s: k for k, s in enumerate(quota)}
-    used = flow({k: float(r["words"]) for k, r in enumerate(sums)}, {k: [number[s] for s in r["_p"] or []] for k, r in enumerate(sums)}, {number[s]: q for s, q in quota.items()})
-    taken = [sum(v for (p, _), v in used.items() if p == k) for k in range(len(sums))]
-    rows = []
-    for k, r in enumerate(sums):
-        first = min(r["_p"], key=lambda s: (s is None, s or "")) if r["_p"] else None
-        rows.append((r["_p"], max(1, -(-r["rows"] // SLICE_ROWS)), float(taken[k]), int(r["words"]), of_source.get(first, 0), float(quota.get(first, 0.0))))
-    schema = T.StructType([T.StructField("_q", keyed.schema["_p"].dataType), T.StructField("_slices", T.LongType()), T.StructField("_flow", T.DoubleType()), T.StructField("_words", T.LongType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])
-    plans = spark.createDataFrame(rows, schema)
-    plans = F.broadcast(plans) if len(rows) <= BROADCAST_ROWS else plans
-    at = F.floor(F.pmod(F.col("_o"), F.lit(1 << 40)) / F.lit(1 << 40) * F.col("_slices"))
-    sliced = lambda df: df.join(plans, F.col("_p").eqNullSafe(F.col("_q"))).withColumn("_s", at)
-    starts = sliced(light).groupBy("_p", "_s").agg(F.sum("_n").alias("_sum"))
-    before = F.coalesce(F.sum("_sum").over(Window.partitionBy("_p").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = small(cut(starts.withColumn("_before", before).select(F.col("_p").alias("_q2"), F.col("_s").alias("_s2"), "_before"), "mix-slices"))
-    df = sliced(keyed).join(starts, F.col("_p").eqNullSafe(F.col("_q2")) & (F.col("_s") == F.col("_s2")))
-    order = Window.partitionBy("_p", "_s").orderBy(F.pmod(F.col("_o"), F.lit(1 << 40)), "_o", F.col(id_col), F.col(size_col)).rowsBetween(Window.unboundedPreceding, -1)
-    middle = F.col("_before") + F.coalesce(F.sum(size_col).over(order), F.lit(0)) + F.col(size_col) / 2
-    # A flow of f words over a pattern of w words: all documents f // w times, the first f % w once more.
-    rounds = F.floor(F.col("_flow") / F.greatest(F.col("_words"), F.lit(1)) + 1e-9)
-    more = F.when(middle < F.col("_flow") - rounds * F.col("_words"), 1).otherwise(0)
-    df = df.withColumn("copies", F.when(F.col(size_col) > 0, F.least(F.lit(MOST), rounds + more)).otherwise(0).cast("int"))
-    return df.select(*docs.columns, "source_size", "target", "copies")
+    names = list(item_words)
+    at = {p: k for k, p in enumerate(names)}
+    key = lambda r: (at[tuple(x["_s"] for x in r["_p"])], number[r["_s"]])
+    used = flow({k: item_words[p] for k, p in enumerate(names)}, {key(r): float(MOST * r["words"]) for r in cells}, {number[s]: q for s, q in quota.items()})
+    kind = T.StructType([T.StructField("_q", T.ArrayType(T.StructType([T.StructField("_s", keyed.schema["_s"].dataType)]))), T.StructField("_s2", keyed.schema["_s"].dataType), T.StructField("_cell", T.LongType()), T.StructField("_slices", T.LongType())])
+    numbers = spark.createDataFrame([(r["_p"], r["_s"], c, max(1, -(-r["rows"] // SLICE_ROWS))) for c, r in enumerate(cells)], kind)
+    numbers = F.broadcast(numbers) if len(cells) <= BROADCAST_ROWS else numbers
+    slice_of = F.floor(F.pmod(F.col("_o"), F.lit(1 << 40)) / F.lit(1 << 40) * F.col("_slices"))
+    several = small(several)
+
+    def sliced(df: DataFrame) -> DataFrame:
+        df = df.join(several, "_k", "left").withColumn("_p", F.coalesce("_m", F.array(F.struct("_s"))))
+        df = df.join(numbers, F.col("_p").eqNullSafe(F.col("_q")) & F.col("_s").eqNullSafe(F.col("_s2")))
+        return df.withColumn("_slice", slice_of).drop("_m", "_p", "_q", "_s2", "_k", "_s")
+
+    starts = sliced(light).groupBy("_cell", "_slice").agg(F.sum("_n").alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(Window.partitionBy("_cell").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = small(cut(starts.withColumn("_before", before).select("_cell", "_slice", "_before"), "mix-slices"))
+
+    def counted(df: DataFrame, amounts: list[float]) -> DataFrame:
+        """df with copies, where each cell gives its amount of words."""
+        # A flow of f words over a cell of w words: all documents f // w times, the first f % w once more.
+        rounds = [min(MOST, int(f / max(1, r["words"]) + 1e-9)) for f, r in zip(amounts, cells, strict=True)]
+        plan = spark.createDataFrame([(c, rounds[c], float(f - rounds[c] * r["words"]), of_source[r["_s"]], float(quota[r["_s"]])) for c, (f, r) in enumerate(zip(amounts, cells, strict=True))], "_c long, _rounds int, _part double, source_size long, target double")
+        plan = F.broadcast(plan) if len(cells) <= BROADCAST_ROWS else plan
+        df = sliced(df).join(starts, ["_cell", "_slice"]).join(plan, F.col("_cell") == F.col("_c"))
+        run = Window.partitionBy("_cell", "_slice").orderBy(F.pmod(F.col("_o"), F.lit(1 << 40)), "_o", "_n").rowsBetween(Window.unboundedPreceding, -1)
+        middle = F.col("_before") + F.coalesce(F.sum("_n").over(run), F.lit(0)) + F.col("_n") / 2
+        copies = F.least(F.lit(MOST), F.col("_rounds") + F.when(middle < F.col("_part"), 1).otherwise(0))
+        return df.withColumn("copies", F.when(F.col("_n") > 0, copies).otherwise(0).cast("int"))
+
+    amounts = [used[key(r)] for r in cells]
+    got = {r["_cell"]: r["w"] for r in counted(light, amounts).groupBy("_cell").agg(F.sum(F.col("_n") * F.col("copies")).alias("w")).collect()}  # one row a cell
+    for s in quota:
+        own = [c for c, r in enumerate(cells) if r["_s"] == s]
+        main = max(own, key=lambda c: cells[c]["words"])
+        amounts[main] += sum(amounts[c] - got.get(c, 0) for c in own if c != main)
+        amounts[main] = min(max(0.0, amounts[main]), float(MOST * cells[main]["words"]))
+    return counted(keyed, amounts).select(*docs.columns, "source_size", "target", "copies")
 
 
 def taken_docs(docs: DataFrame) -> DataFrame:
     """``docs`` as the mix takes them: a document that is taken twice has two rows."""
-    sized = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.array("source").alias("sources"), size_of("text").alias("size"))
+    sized = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", item_of("text").alias("item"), size_of("text").alias("size"))
     return mix(sized).filter("copies > 0").withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

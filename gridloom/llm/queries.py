@@ -45,7 +45,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.array("source").alias("sources"), mixing.size_of("text").alias("size"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.item_of("text").alias("item"), mixing.size_of("text").alias("size"))
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 

@@ -329,11 +329,11 @@ def test_targets_never_exceed_twice():
 
 
 def test_mixing(spark, docs, none):
-    df = docs.select("doc_id", "text", F.array("source").alias("sources"), mixing.size_of("text").alias("words"))
+    df = docs.select("doc_id", "text", "source", mixing.item_of("text").alias("item"), mixing.size_of("text").alias("words"))
     got = mixing.mix(df, size_col="words").collect()
     assert len(got) == docs.count() and all(0 <= r["copies"] <= 2 for r in got)
-    for s in {tuple(r["sources"]) for r in got}:
-        mine = [r for r in got if tuple(r["sources"]) == s]
+    for s in {r["source"] for r in got}:
+        mine = [r for r in got if r["source"] == s]
         assert abs(sum(r["words"] * r["copies"] for r in mine) - mine[0]["target"]) <= max(r["words"] for r in mine)
         assert mine[0]["source_size"] == sum(r["words"] for r in mine)
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df.repartition(5), size_col="words").collect()))
@@ -342,14 +342,53 @@ def test_mixing(spark, docs, none):
     assert again.columns == docs.columns and mixing.taken_docs(none).count() == 0
 
 
+def limits(members, capacity, most=2):
+    return {(p, s): most * capacity[p] for p in members for s in members[p]}
+
+
 def test_flow_uses_overlaps():
     """One pattern serves both sources: its words go where they are needed, none is repeated."""
-    used = mixing.flow({0: 10.0, 1: 10.0, 2: 10.0}, {0: [0], 1: [0, 1], 2: [1]}, {0: 18.0, 1: 12.0})
+    capacity = {0: 10.0, 1: 10.0, 2: 10.0}
+    used = mixing.flow(capacity, limits({0: [0], 1: [0, 1], 2: [1]}, capacity), {0: 18.0, 1: 12.0})
     assert sum(v for (p, s), v in used.items() if s == 0) == pytest.approx(18)
     assert sum(v for (p, s), v in used.items() if s == 1) == pytest.approx(12)
     assert all(sum(v for (q, _), v in used.items() if q == p) <= 10 + 1e-9 for p in range(3))
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_flow_costs_no_more_than_any_other(seed):
+    """Whole words on a small graph, against every way of dealing them out."""
+    import itertools
+
+    r = random.Random(seed)
+    members = {p: sorted(r.sample(range(2), r.randint(1, 2))) for p in range(3)}
+    capacity = {p: float(r.randint(1, 3)) for p in members}
+    limit = limits(members, capacity)
+    most = {s: sum(v for (p, x), v in limit.items() if x == s) for s in range(2)}
+    quota = {s: float(r.randint(0, int(m))) for s, m in most.items()}
+
+    def cost(used):
+        spent = {p: sum(v for (q, _), v in used.items() if q == p) for p in capacity}
+        return sum(max(0.0, spent[p] - c * capacity[p]) for p in capacity for c in range(1, 4))
+
+    edges = sorted(limit)
+    ways = (dict(zip(edges, x, strict=True)) for x in itertools.product(*(range(int(limit[e]) + 1) for e in edges)))
+    best = min(cost(u) for u in ways if all(sum(v for (_, x), v in u.items() if x == s) == q for s, q in quota.items()))
+    used = mixing.flow(capacity, limit, quota)
+    assert all(used[e] <= limit[e] + 1e-9 for e in limit) and cost(used) == pytest.approx(best)
+    assert all(sum(v for (_, x), v in used.items() if x == s) == pytest.approx(q) for s, q in quota.items())
+
+
+def test_mixing_takes_shared_items_once(spark):
+    """Two sources hold the same texts; the mix reads the flow, which takes them for one source first."""
+    rows = [(k, "a", passage(k, 50)) for k in range(40)] + [(100 + k, "b", passage(k, 50)) for k in range(40)] + [(200 + k, "b", passage(500 + k, 50)) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("item", mixing.item_of("text")).withColumn("size", mixing.size_of("text"))
+    got = mixing.mix(df).collect()
+    words = lambda low, high: sum(r["size"] * r["copies"] for r in got if low <= r["doc_id"] < high)
+    # Targets: a twice its 2000 words, b the rest of 9000, 5000.  a has only shared texts; b takes its own twice before it takes these a third time.
+    assert (words(0, 100), words(100, 200), words(200, 300)) == (4000, 1000, 4000)
+
+
 # ---- 7 -------------------------------------------------------------------------------------
 
 
