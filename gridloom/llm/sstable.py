@@ -14,16 +14,19 @@ Files go to the shared folder through Arrow's filesystem layer (local, HDFS, S3)
 of the attempt and then renamed, so a repeated task leaves one whole file.
 
 Edge cases: null text is empty (only the end id); null ids have the empty key and come first;
-rows that share an id are kept in order of their text's hash.  Empty tables write no files.
+rows that share an id are kept in order of their text's hash, in several files where they are very many;
+equal rows are kept, in any order.  A very long text is one entry in a block of its own size.  Empty
+tables write no files; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import bisect
-import re
 import struct
 import uuid
 import zlib
+from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,8 @@ MAGIC = b"GLSST001"
 END_ID = 2
 FOOTER = struct.Struct("<QQQQQQBB8s")
 BLOCK_BYTES, BLOOM_BITS, BLOOM_HASHES = 64 * 1024, 10, 7
+#: Text that a file holds, about; at least as many files are written as a shuffle has partitions.
+FILE_BYTES = 256 << 20
 
 
 # ---- keys, varints, Bloom filter -----------------------------------------------------------
@@ -68,10 +73,13 @@ def get_varint(data: bytes, at: int) -> tuple[int, int]:
         shift += 7
 
 
-def bloom_places(key: bytes, bits: int, hashes: int) -> list[int]:
+def bloom_hash(key: bytes) -> int:
     import xxhash
 
-    h = xxhash.xxh64_intdigest(key)
+    return xxhash.xxh64_intdigest(key)
+
+
+def bloom_places(h: int, bits: int, hashes: int) -> list[int]:
     step = (h >> 17) | 1
     return [(h + k * step) % bits for k in range(hashes)]
 
@@ -87,7 +95,7 @@ class ShardWriter:
         self.at = self._put(MAGIC, 0)
         self.block, self.last, self.first = bytearray(), b"", None
         self.index: list[tuple[bytes, int, int]] = []
-        self.keys: list[bytes] = []
+        self.hashes = array("Q")  # eight bytes a key until the filter's size is known
         self.rows = self.tokens = 0
 
     def _put(self, data: bytes, at: int) -> int:
@@ -106,7 +114,7 @@ class ShardWriter:
         self.block += key[shared:]
         self.block += value
         self.last = key
-        self.keys.append(key)
+        self.hashes.append(bloom_hash(key))
         self.rows += 1
         self.tokens += len(ids)
         if len(self.block) >= BLOCK_BYTES:
@@ -128,8 +136,8 @@ class ShardWriter:
             put_varint(index, length)
         bits = max(64, self.rows * BLOOM_BITS)
         bloom = bytearray(-(-bits // 8))
-        for key in self.keys:
-            for p in bloom_places(key, bits, BLOOM_HASHES):
+        for h in self.hashes:
+            for p in bloom_places(h, bits, BLOOM_HASHES):
                 bloom[p >> 3] |= 1 << (p & 7)
         start = self.at
         self.at = self._put(bytes(index), self.at)
@@ -179,7 +187,7 @@ class ShardReader:
         key = key_of(doc_id)
         data = self._read(self.bloom_at, self.bloom_n)
         bits = struct.unpack_from("<Q", data)[0]
-        if not all(data[8 + (p >> 3)] >> (p & 7) & 1 for p in bloom_places(key, bits, self.hashes)):
+        if not all(data[8 + (p >> 3)] >> (p & 7) & 1 for p in bloom_places(bloom_hash(key), bits, self.hashes)):
             return []
         firsts = [x[0] for x in self.index]
         k = max(0, bisect.bisect_left(firsts, key) - 1)
@@ -198,14 +206,14 @@ class Encoder:
 
     The tokenizer lower-cases, and splits at white space and between letters and marks before
     anything crosses these places.  So a text's ids are those of its words in turn, A-Z may be
-    lowered and a comma or full stop at a word's end be set apart first (not in texts that may hold
-    a special token, which begin with ``<``).  Words repeat, and their ids are kept.  New words of
+    lowered first (not in texts that may hold a special token, which begin with ``<``), and ASCII
+    marks after a word of letters be set apart.  Words repeat, and their ids are kept.  New words of
     letters only are encoded together: each is one piece, which ends with an end-of-word token.
     Others are encoded together around a separator word with a single id; words that hold the
     separator, or are long, alone."""
 
     SEPARATOR, LONG, KEEP = "0", 64, 500_000
-    MARKS = re.compile("(?<=[a-z])([.,])(?= |$)")
+    MARKS = "!\"#$%&'()*+,-./:;=>?@[\\]^_`{|}~"
 
     def __init__(self, path: str):
         import os
@@ -229,7 +237,14 @@ class Encoder:
         raw = ids.tobytes()
         self.known.update(zip(part, [raw[a:b] for a, b in zip((starts * 4).tolist(), (ends * 4).tolist(), strict=True)], strict=True))
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: set[str]) -> None:
+        # Marks after letters are a piece of their own, so such words are put together from two.
+        marked = [(w, s, w[len(s) :]) for w in words if (s := w.rstrip(self.MARKS)) != w and s.isalpha()]
+        plain = words.difference([w for w, _, _ in marked]).union([s for _, s, _ in marked], [t for _, _, t in marked])
+        self._learn_plain(list(plain.difference(self.known)))
+        self.known.update([(w, self.known[s] + self.known[t]) for w, s, t in marked])
+
+    def _learn_plain(self, words: list[str]) -> None:
         short = [w for w in words if len(w) <= self.LONG]
         letters = [w for w in short if w.isalpha()]
         for k in range(0, len(letters), 4000):
@@ -252,7 +267,7 @@ class Encoder:
     def _words(self, text: str) -> list[str]:
         text = text.replace("\n", " ")
         if "<" not in text:
-            text = self.MARKS.sub(r" \1", text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
+            text = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
         return text.split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -260,10 +275,16 @@ class Encoder:
             self.known = {"": b""}
         split = [self._words(t) for t in texts]
         if new := set().union(*split).difference(self.known):
-            self._learn(list(new))
+            self._learn(new)
         return [b"".join(map(self.known.__getitem__, ws)) for ws in split]
 
 
+@lru_cache(1)
+def encoder_of(path: str) -> Encoder:
+    """One encoder a Python worker, so the ids of words outlast a task."""
+    return Encoder(path)
+
+
 # ---- Spark ---------------------------------------------------------------------------------
 
 
@@ -271,7 +292,10 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
     """Write ``docs`` under ``folder``, one file a range of ids; returns the manifest
     (shard, path, rows, tokens), one row a file."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    ranged = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = max(partitions(docs.sparkSession), -(-size // FILE_BYTES))
+    # Rows that share an id are parted by their text's hash, so one id with very many rows spreads over files.
+    ranged = rows.repartitionByRange(files, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def write(batches):
         from pyarrow import fs
@@ -284,7 +308,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
         for batch in batches:
             if writer is None and batch.num_rows:
                 place.create_dir(base, recursive=True)
-                encoder = Encoder(tokenizer)
+                encoder = encoder_of(tokenizer)
                 out = place.open_output_stream(temp)
                 writer = ShardWriter(out, encoder.width)
             for k in range(0, batch.num_rows, 256):
