@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,9 +47,26 @@ def cut(df: DataFrame, label: str = "step") -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cut_path = path
+    for made in _SCRATCH:
+        made.append(out)
     return out
 
 
+_SCRATCH: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch(result: list[DataFrame]):
+    """Deletes, at its end, what ``cut`` wrote inside, but for the tables in ``result``."""
+    made: list[DataFrame] = []
+    _SCRATCH.append(made)
+    try:
+        yield
+    finally:
+        _SCRATCH.pop()
+        discard(*(x for x in made if not any(x is y for y in result)))
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``cut`` wrote and that nothing reads any more."""
     for df in tables:

@@ -9,7 +9,9 @@ as text, and covered word positions are counted.
 
 Edge cases: null or empty texts have no words and no hits.  Null ids and repeated rows are
 kept, one row per input row: rows are told apart by id and text hash, and equal rows have equal
-results.  Items without an id count for hits and are left out of the item lists only.  Empty tables (either side) give no hits; other columns are ignored.
+results, so ties need no order.  Items without an id count for hits and are left out of the item
+lists only.  Very long texts are one row; only those that are hit are cut into windows.  Empty
+tables (either side) give no hits; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -73,10 +75,14 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     met = each.select("doc_id", "th", "len", "x.pos", "x.window").join(small(windows), ["len", "window"])
     seen = met.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("pos", "len"))).alias("at"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     start = F.expr("cast(array() as array<struct<start:int,end:int>>)")
-    grown = lambda a, x: F.when((F.size(a) > 0) & (F.element_at(a, -1)["end"] >= x["pos"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["start"].alias("start"), F.greatest(F.element_at(a, -1)["end"], x["pos"] + x["len"]).alias("end"))))).otherwise(F.concat(a, F.array(F.struct(x["pos"].alias("start"), (x["pos"] + x["len"]).alias("end")))))
-    merged = F.aggregate("at", start, grown)
-    seen = seen.select(F.col("doc_id").alias("i"), F.col("th").alias("k"), "items", merged.alias("spans"))
-    seen = small(cut(seen.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + (s["end"] - s["start"]))), "hits"))
+    # Covered word positions in order; a stretch begins and ends where its neighbour is missing.
+    seen = seen.withColumn("p", pinned(F.array_sort(F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x["pos"], x["pos"] + x["len"] - 1)))))))
+    begins = F.filter("p", lambda x, i: F.coalesce(F.get("p", i - 1) < x - 1, F.lit(True)))
+    ends = F.filter("p", lambda x, i: F.coalesce(F.get("p", i + 1) > x + 1, F.lit(True)))
+    seen = seen.withColumn("f", pinned(begins)).withColumn("g", pinned(ends))
+    spans = F.transform("f", lambda x, i: F.struct(x.alias("start"), (F.get("g", i) + 1).alias("end")))
+    seen = seen.select(F.col("doc_id").alias("i"), F.col("th").alias("k"), "items", F.size("p").cast("long").alias("n_hit"), spans.alias("spans"))
+    seen = small(cut(seen, "hits"))
     out = base.join(seen, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("k")), "left")
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("spans", start).alias("spans"))
 
@@ -87,7 +93,8 @@ CONTAMINATED = "n_hit > 0 and 20 * n_hit >= n_words"
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without contaminated documents (at least a twentieth of the words lies in test
     windows); all others stay as they are.  Rows without an id are judged by their text alone."""
-    named = docs.select(F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("k"), F.struct(F.col("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("k")).alias("row"), "text")
-    bad = find(named, benchmark, id_col="row").filter(CONTAMINATED).select(F.col("doc_id.doc_id").alias("bad_id"), F.col("doc_id.k").alias("bad_k")).distinct()
-    match = F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("bad_k"))
-    return docs.join(small(cut(bad, "contaminated")), match, "left_anti").select(docs.columns)
+    th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    named = docs.select(F.struct(F.col("doc_id"), th.alias("th")).alias("key"), "text")
+    bad = find(named, benchmark, id_col="key").filter(CONTAMINATED).select(F.col("doc_id.doc_id").alias("i"), F.col("doc_id.th").alias("k")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), th.alias("th"))
+    return rows.join(small(cut(bad, "contaminated")), F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("k")), "left_anti").select("row.*")

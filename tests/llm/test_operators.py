@@ -56,6 +56,28 @@ def test_pii(docs, none, texts):
     assert multiset((r["doc_id"], str([(s["kind"], s["start"], s["end"]) for s in r["spans"] if s["kind"] in pii.BASE_KINDS])) for r in got) == wanted
 
 
+def test_pii_further_spans(spark):
+    """Further kinds by plain search: they stay apart from base spans, and need a checksum or context."""
+    r = random.Random(2)
+    parts = ["tel 555-123-4567", "555-123-4567", "ssn 123-45-6789", "123-45-6789", "IBAN DE89 3704 0044 0532 0130 00", "iban DE88 3704 0044 0532 0130 00", "card 4111 1111 1111 1111", "+1 555-123-4567", "mail a@b.co", "10.0.0.1", "filler words of no kind at all, over and over again"]
+    for _ in range(300):
+        text = " ; ".join(r.choice(parts) for _ in range(r.randint(1, 12)))
+        got = [(k, a, b) for k, a, b, _ in pii.find_spans(text)]
+        base = [s for s in got if s[0] in pii.BASE_KINDS]
+        assert base == plain_spans(text)
+        further = [s for s in got if s[0] not in pii.BASE_KINDS]
+        assert all(b <= x or y <= a for _, a, b in further for _, x, y in base)
+        want = []
+        for kind, pattern in (("iban", r"(?<![A-Za-z0-9])DE89 3704 0044 0532 0130 00(?![A-Za-z0-9])"), ("ssn", r"(?<![0-9-])123-45-6789(?![0-9-])"), ("phone_local", r"(?<![0-9+(-])555-123-4567(?![0-9-])")):
+            for m in re.finditer(pattern, text):
+                near = (text[max(0, m.start() - 40) : m.start()] + " " + text[m.end() : m.end() + 40]).lower()
+                if (kind == "iban" or any(w in near for w in pii.CONTEXT[kind])) and all(m.end() <= x or y <= m.start() for _, x, y in base):
+                    want.append((kind, *m.span()))
+        of = lambda spans, *kinds: {s for s in spans if s[0] in kinds}
+        assert of(further, "iban", "ssn") == {s for s in of(want, "iban", "ssn") if s[0] == "iban" or pii.PRIOR["ssn"] + pii.CONTEXT_BONUS >= pii.ACCEPT}
+        assert of(further, "phone_local") <= set(want)
+
+
 # ---- 2 -------------------------------------------------------------------------------------
 
 
@@ -528,6 +550,12 @@ def test_decontamination(spark, docs, none, texts, short):
     assert decontaminate.find(none, bench).count() == 0
     assert {r["n_hit"] for r in decontaminate.find(docs, bench.limit(0)).collect()} == {0}
     bad = sum(h > 0 and 20 * h >= n for n, h, _ in (hits(t, items) for _, t in rows))
+    for r in got:  # spans are the covered stretches: apart, in order, as long as n_hit in all
+        ends = [x for p in r["spans"] for x in (p["start"], p["end"])]
+        assert ends == sorted(set(ends)) and sum(p["end"] - p["start"] for p in r["spans"]) == r["n_hit"]
+    clashing = docs.withColumns({c: F.lit(1) for c in ("bad_id", "bad_k", "i", "id", "key", "th", "w", "_r")})
+    assert decontaminate.keep_clean(clashing, bench).columns == clashing.columns
+    assert decontaminate.keep_clean(none, bench).count() == 0
     kept = decontaminate.keep_clean(docs, bench)
     assert kept.columns == docs.columns and kept.count() == len(texts) - bad
 

@@ -48,6 +48,37 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, FOLDER).count() == out.count()
 
 
+EXTRA = ("bad_id", "row", "count", "size", "shard", "slot", "label", "h1", "x", "votes", "kept", "copies", "target")
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stage_edges(spark, texts, name):
+    """Each stage by itself: nulls in any column, empty and very long texts, ties, repeated rows, further columns with
+    clashing names, and an empty table."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    some = [*texts, (None, None, None), (50, None, "s0"), *texts[-3:]]
+    wide = ", ".join(f"{c} string" for c in EXTRA)
+    docs = spark.createDataFrame([(i, t, None, s, None, *["z"] * len(EXTRA)) for i, t, s in some], f"doc_id long, text string, lang string, source string, n_chars long, {wide}").repartition(3)
+    out = stage(spark, docs, FOLDER)
+    assert set(out.columns) >= set(docs.columns)
+    assert out.columns == docs.columns or name == corpus_pipeline.STAGES[-1][0]
+    got = Counter((r["doc_id"], r["text"]) for r in out.collect())
+    have = Counter((i, t) for i, t, _ in some)
+    assert set(got) <= set(have)
+    if name == "quality_rules":
+        assert got == Counter({k: n for k, n in have.items() if k in got}) and (51, next(t for i, t, _ in texts if i == 51)) in got
+    elif name == "near_copies":
+        label = groups([(i, t, None) for i, t in have])
+        assert Counter(i for i, _ in got.elements()) == Counter([i for i in label if label[i] == i] + [i for i, _ in have.elements() if i is None])
+    elif name == "decontamination":
+        assert got == have
+    elif name == "mixing":
+        assert all(n <= 2 * have[k] for k, n in got.items()) and not any(k[1] is None for k in got)
+    else:
+        assert got == have
+    assert stage(spark, docs.limit(0), FOLDER).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
