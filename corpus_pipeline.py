@@ -2,6 +2,11 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
 of ``docs``.
+
+Edge cases, for every stage: an empty table gives an empty one; further columns pass through (``sharded``
+replaces size, shard and slot).  Null texts count as empty.  Rows without an id are judged by their text
+alone and are never near copies; where rows share an id, ``near_copies`` leaves one of them.  Repeated
+rows have one verdict, and ties fall to the smallest id.  Very long texts are handled whole.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm._common import cut, table
+from gridloom.llm._common import cut, discard, scratch, table
 from gridloom.llm.decontaminate import keep_clean
 from gridloom.llm.mixing import taken_docs
 from gridloom.llm.ngram_join import keep_one
@@ -58,5 +63,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        kept: list[DataFrame] = []
+        with scratch(kept):  # what a stage wrote for itself goes when its result is written
+            kept.append(cut(stage(spark, docs, sf_dir), name))
+        discard(docs)
+        docs = kept[0]
     return STAGES[-1][1](spark, docs, sf_dir)
