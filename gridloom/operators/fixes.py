@@ -73,6 +73,39 @@ def squeeze(df: DataFrame, *dims: str) -> DataFrame:
     return df.drop(*[d for d in dims if counts[d] <= 1])
 
 
+def add_scalar(name: str, value) -> Fix:
+    """A coordinate with one value for all cells."""
+    return lambda df: df.withColumn(name, F.lit(value))
+
+
+def add_along(name: str, dim: str, values: DataFrame) -> Fix:
+    """A coordinate along a dimension, from a table (dim, name); positions without a value have NULL."""
+    return lambda df: df.join(values.select(dim, name).dropDuplicates([dim]), dim, "left")
+
+
+def signature(attrs: Column, names: list[str], widest: int = 80) -> list[Column]:
+    """For each named attribute whether it is set, and its value, cut where it is longer than ``widest``."""
+    cut = lambda c: F.when(F.length(c) > widest, F.concat(F.left(c, F.lit(widest - 3)), F.lit("..."))).otherwise(c)
+    return [x for n in names for x in (F.map_contains_key(attrs, n).alias(f"has_{n}"), cut(F.element_at(attrs, n)).alias(n))]
+
+
+#: Names that recipes may use for derived attributes -> their columns; nothing is imported by name.
+DERIVED: dict[str, Callable[[], Column]] = {
+    "start_date": lambda: start_date(),
+    "sub_experiment": lambda: sub_experiment(),
+    "lead_days": lambda: lead_days(),
+    "project": lambda: project(),
+    "model": lambda: token(3),
+}
+
+
+def derive(column: str, name: str) -> Fix:
+    """The column, derived by a registered name."""
+    if name not in DERIVED:
+        raise ValueError(f"unknown derivation {name}; known: {', '.join(sorted(DERIVED))}")
+    return lambda df: df.withColumn(column, DERIVED[name]())
+
+
 def ordinal(calendar: Column, y: Column, m: Column, d: Column) -> Column:
     """Day number within its calendar; days past the 30th count as the 30th in a 360-day year."""
     before = F.element_at(F.array(*[F.lit(x) for x in (0, 31, 59, 90, 120, 151, 181, 212, 243, 273, 304, 334)]), m)
@@ -85,9 +118,14 @@ def ordinal(calendar: Column, y: Column, m: Column, d: Column) -> Column:
     )
 
 
+#: Most models whose texts are broadcast; more are joined by shuffle.
+MOST_MODELS = 100_000
+
+
 def model_descriptions(df: DataFrame, models: DataFrame) -> DataFrame:
     """Fixed texts of the model in the id's fourth token; a model without texts has NULLs."""
-    return df.withColumn("model", token(3)).join(F.broadcast(models), "model", "left")
+    few = models.limit(MOST_MODELS + 1).count() <= MOST_MODELS
+    return df.withColumn("model", token(3)).join(F.broadcast(models) if few else models, "model", "left")
 
 
 def prepared(df: DataFrame) -> DataFrame:

@@ -10,35 +10,42 @@ from pyspark.sql import functions as F
 from gridloom.operators.aggregate import dims_of
 
 
-def edges(spark: SparkSession, shapes: dict[str, list[tuple[float, float]]]) -> DataFrame:
-    """(geom, x1, y1, x2, y2) of closed rings given as (lon, lat)."""
+Ring = list[tuple[float, float]]
+
+
+def edges(spark: SparkSession, shapes: dict[str, Ring | list[Ring]]) -> DataFrame:
+    """(geom, x1, y1, x2, y2) of the closed rings, given as (lon, lat), of each shape: one ring or several (parts
+    and holes)."""
     rows = []
-    for name, ring in shapes.items():
-        ring = ring if ring[0] == ring[-1] else [*ring, ring[0]]
-        rows += [(name, float(a), float(b), float(c), float(d)) for (a, b), (c, d) in zip(ring, ring[1:], strict=False)]
+    for name, rings in shapes.items():
+        for ring in [rings] if isinstance(rings[0][0], (int, float)) else rings:
+            ring = ring if ring[0] == ring[-1] else [*ring, ring[0]]
+            rows += [(name, float(a), float(b), float(c), float(d)) for (a, b), (c, d) in zip(ring, ring[1:], strict=False)]
     return spark.createDataFrame(rows, "geom string, x1 double, y1 double, x2 double, y2 double")
 
 
-def from_geojson(text: str) -> dict[str, list[tuple[float, float]]]:
-    """Outer rings of the polygons of a GeoJSON object, by name or number."""
+def from_geojson(text: str) -> dict[str, Ring | list[Ring]]:
+    """The polygons of a GeoJSON object, by name or number.  A shape with holes or several parts is one shape, and
+    has all its rings; one with a single ring has that."""
     data = json.loads(text)
-    features = data.get("features") or [data]
     out = {}
-    for k, f in enumerate(features):
+    for k, f in enumerate(data.get("features") or [data]):
         shape = f.get("geometry", f)
-        rings = [shape["coordinates"][0]] if shape["type"] == "Polygon" else [p[0] for p in shape["coordinates"]]
-        for j, ring in enumerate(rings):
-            out[str((f.get("properties") or {}).get("name", k)) + (f"-{j}" if len(rings) > 1 else "")] = [tuple(p[:2]) for p in ring]
+        polygons = [shape["coordinates"]] if shape["type"] == "Polygon" else shape["coordinates"]
+        rings = [[tuple(p[:2]) for p in ring] for polygon in polygons for ring in polygon]
+        out[str((f.get("properties") or {}).get("name", k))] = rings[0] if len(rings) == 1 else rings
     return out
 
 
 def inside(cells: DataFrame, shapes: DataFrame) -> DataFrame:
-    """(lat, lon, geom) of the distinct positions inside: an odd number of edges lies to the east.
-    Positions in the 0..360 frame are tested in -180..180 too."""
-    at = cells.select("lat", "lon").distinct()
+    """(lat, lon, geom) of the distinct positions inside: an odd number of all edges of the shape lies to the
+    east, so holes are outside.  Positions and edges meet in bands of a degree of latitude.  Positions
+    in the 0..360 frame are tested in -180..180 too."""
+    at = cells.select("lat", "lon").distinct().withColumn("band", F.floor("lat"))
     x = F.when(F.col("lon") > 180, F.col("lon") - 360).otherwise(F.col("lon"))
+    banded = shapes.withColumn("band", F.explode(F.sequence(F.floor(F.least("y1", "y2")), F.floor(F.greatest("y1", "y2")))))
     crosses = ((F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))) & (x < (F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
-    hits = at.join(F.broadcast(shapes), (F.col("lat") >= F.least("y1", "y2")) & (F.col("lat") <= F.greatest("y1", "y2")) & crosses)
+    hits = at.join(banded, "band").filter(crosses)
     return hits.groupBy("lat", "lon", "geom").agg(F.count("*").alias("n")).filter("n % 2 = 1").drop("n")
 
 

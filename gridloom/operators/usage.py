@@ -11,10 +11,9 @@ GIB = 1024.0**3
 
 def ip_number(ip: Column) -> Column:
     """IPv4 as an integer, 0 where it isn't one."""
-    parts = F.split(ip, "\\.")
-    octet = lambda k: F.get(parts, F.lit(k)).try_cast("long")
-    good = ip.rlike("^[0-9]{1,3}(\\.[0-9]{1,3}){3}$") & (F.greatest(*[octet(k) for k in range(4)]) <= 255)
-    return F.when(good, octet(0) * 16777216 + octet(1) * 65536 + octet(2) * 256 + octet(3)).otherwise(F.lit(0)).cast("long")
+    octet = "(25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
+    value = F.aggregate(F.split(ip, "\\."), F.lit(0).cast("long"), lambda a, x: a * 256 + x.cast("long"))
+    return F.when(ip.rlike(f"^{octet}(\\.{octet}){{3}}$"), value).otherwise(F.lit(0)).cast("long")
 
 
 def collect(requests: DataFrame, start: str, end: str) -> DataFrame:
@@ -28,12 +27,22 @@ def finished(requests: DataFrame, identifier: str | None = None) -> DataFrame:
     return out.filter((F.col("operation") == "execute") & (F.col("identifier") == identifier)) if identifier else out
 
 
+def every_day(got: DataFrame, fill: int | None = 0, undated: bool = False) -> DataFrame:
+    """Rows (day, ...), one a day, and between them a row for each missing day whose other columns are ``fill``;
+    the row without a day goes, or stays where ``undated`` asks for it."""
+    later = F.lead("day").over(Window.orderBy("day"))  # one row a day
+    days = F.expr("sequence(day, coalesce(date_sub(_next, 1), day), interval 1 day)")
+    each = (got if undated else got.filter("day is not null")).withColumn("_next", later).withColumn("_day", F.explode_outer(days))
+    return each.select(F.col("_day").alias("day"), *[F.when(F.col("_day").eqNullSafe(F.col("day")), F.col(c)).otherwise(F.lit(fill)).alias(c) for c in got.columns if c != "day"])
+
+
+def per_day(df: DataFrame, column: str, **counts: Column) -> DataFrame:
+    return df.groupBy(F.to_date(column).alias("day")).agg(*[c.alias(n) for n, c in counts.items()])
+
+
 def daily(df: DataFrame, column: str, **counts: Column) -> DataFrame:
-    """Aggregates per day with zeros for days without rows, between the first and last day.  The
-    calendar is made from the daily counts, a tiny table."""
-    got = df.groupBy(F.to_date(column).alias("day")).agg(*[c.alias(n) for n, c in counts.items()])
-    days = got.agg(F.min("day").alias("a"), F.max("day").alias("b")).select(F.explode(F.expr("sequence(a, b, interval 1 day)")).alias("day"))
-    return days.join(got, "day", "left").fillna(0, list(counts))
+    """Aggregates per day with zeros for days without rows, between the first and last day."""
+    return every_day(per_day(df, column, **counts))
 
 
 def requests_per_day(requests: DataFrame) -> DataFrame:
@@ -77,21 +86,20 @@ def duration_histogram(requests: DataFrame, bins: int = 60, cap: int = 60) -> Da
 
 def concurrency(requests: DataFrame) -> DataFrame:
     """Requests running after each start or end, where any are.  A start counts before an end at the
-    same instant.  Each day's running total is made by itself and lifted by the net count of the days
-    before, so no task holds more than a day."""
-    ends = lambda c, w: requests.filter(F.col(c).isNotNull()).select(F.col(c).alias("time"), F.lit(w).alias("w"), "uuid")
-    events = ends("time_start", 1).unionByName(ends("time_end", -1)).withColumn("day", F.to_date("time"))
-    net = events.groupBy("day").agg(F.sum("w").alias("net"))
-    before = net.select(F.col("day").alias("d"), (F.sum("net").over(Window.orderBy("day")) - F.col("net")).alias("before"))  # one row a day
-    running = F.sum("w").over(Window.partitionBy("day").orderBy("time", F.desc("w"), "uuid").rowsBetween(Window.unboundedPreceding, 0))
-    return events.withColumn("r", running).join(F.broadcast(before), F.col("day") == F.col("d")).select("time", "day", "w", (F.col("r") + F.col("before")).alias("running")).filter("running > 0")
+    same instant.  Each hour's running total is made by itself and lifted by the net count of the hours
+    before, so no task holds more than an hour."""
+    ends = F.array(F.struct(F.col("time_start").alias("time"), F.lit(1).alias("w")), F.struct(F.col("time_end").alias("time"), F.lit(-1).alias("w")))
+    events = requests.select("uuid", F.explode(ends).alias("e")).select("e.time", "e.w", "uuid").filter("time is not null").withColumn("hour", F.date_trunc("hour", "time"))
+    net = events.groupBy("hour").agg(F.sum("w").alias("net"))
+    before = net.select(F.col("hour").alias("h"), (F.sum("net").over(Window.orderBy("hour")) - F.col("net")).alias("before"))  # one row an hour
+    running = F.sum("w").over(Window.partitionBy("hour").orderBy("time", F.desc("w"), "uuid").rowsBetween(Window.unboundedPreceding, 0))
+    lifted = events.withColumn("r", running).join(before, F.col("hour") == F.col("h"))
+    return lifted.select("time", F.to_date("time").alias("day"), "w", (F.col("r") + F.col("before")).alias("running")).filter("running > 0")
 
 
 def concurrency_per_day(requests: DataFrame) -> DataFrame:
     """Peak per day; a day without running requests is NULL."""
-    got = concurrency(requests).groupBy("day").agg(F.max("running").alias("peak"))
-    days = got.agg(F.min("day").alias("a"), F.max("day").alias("b")).select(F.explode(F.expr("sequence(a, b, interval 1 day)")).alias("day"))
-    return days.join(got, "day", "left")
+    return every_day(concurrency(requests).groupBy("day").agg(F.max("running").alias("peak")), None)
 
 
 def downloads_per_day(downloads: DataFrame) -> DataFrame:
@@ -108,25 +116,25 @@ def error_table(requests: DataFrame) -> DataFrame:
 
 
 def overview(requests: DataFrame, downloads: DataFrame) -> DataFrame:
-    """(property, value) rows of totals and of minimum, maximum and median per day."""
-
-    def spread(df: DataFrame, column: str, name: str) -> DataFrame:
-        one = df.agg(*[f(column).cast("double").alias(f"{s}_{name}") for s, f in (("min", F.min), ("max", F.max), ("median", F.median))])
-        return one.unpivot([], [f"{s}_{name}" for s in ("min", "max", "median")], "property", "value")
-
-    totals = requests.agg(F.count("*").alias("n"), F.count_if(F.col("status") == FAILED).alias("failed"))
-    moved = downloads.agg((F.sum("size") / GIB).alias("gib"))
-    facts = totals.join(F.broadcast(moved), F.col("n").isNotNull())  # one row each
-    facts = facts.select(F.col("n").cast("double").alias("total"), F.col("failed").cast("double").alias("failed"), F.col("gib").alias("total_gib"), (F.col("gib") / F.nullif(F.col("n") - F.col("failed"), F.lit(0))).alias("gib_per_request"))
-    parts = [
-        facts.unpivot([], facts.columns, "property", "value"),
-        spread(daily(requests, "time_start", n=F.count("*")), "n", "requests_per_day"),
-        spread(requests.select(duration().alias("s")).filter("s > 0"), "s", "duration"),
-        spread(concurrency_per_day(requests), "peak", "concurrency"),
-        spread(downloads_per_day(downloads), "n", "downloads_per_day"),
-        spread(transfer_per_day(downloads), "gib", "gib_per_day"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """(property, value) rows of totals and of minimum, maximum and median per day.  Requests and downloads
+    are each counted once by day, and the totals are sums of these."""
+
+    def spread(column: str, name: str, weight: str | None = None) -> list[Column]:
+        value = F.col(column).cast("double")
+        middle = F.percentile(value, 0.5, F.col(weight)) if weight else F.median(value)
+        return [F.min(value).alias(f"min_{name}"), F.max(value).alias(f"max_{name}"), middle.alias(f"median_{name}")]
+
+    def told(df: DataFrame) -> DataFrame:
+        return df.unpivot([], df.columns, "property", "value")
+
+    # Totals count rows without a day too.
+    dated = F.col("day").isNotNull()
+    asked = every_day(per_day(requests, "time_start", n=F.count("*"), failed=F.count_if(F.col("status") == FAILED)), undated=True).withColumn("dated", F.when(dated, F.col("n")))
+    asked = asked.agg(F.sum("n").cast("double").alias("total"), F.sum("failed").cast("double").alias("failed"), *spread("dated", "requests_per_day"))
+    moved = every_day(per_day(downloads, "datetime", n=F.count("*"), bytes=F.sum("size")), undated=True).withColumn("dated", F.when(dated, F.col("n"))).withColumn("gib", F.when(dated, F.col("bytes") / GIB))
+    moved = moved.agg((F.sum("bytes") / GIB).alias("total_gib"), *spread("dated", "downloads_per_day"), *spread("gib", "gib_per_day"))
+    took = requests.groupBy(duration().alias("s")).agg(F.count("*").alias("c")).filter("s > 0").agg(*spread("s", "duration", "c"))
+    peaks = concurrency_per_day(requests).agg(*spread("peak", "concurrency"))
+    one = asked.join(F.broadcast(moved), F.lit(True))  # one row each
+    one = one.withColumn("gib_per_request", F.col("total_gib") / F.nullif(F.col("total") - F.col("failed"), F.lit(0)))
+    return told(one).unionByName(told(took)).unionByName(told(peaks))

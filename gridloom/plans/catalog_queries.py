@@ -158,7 +158,12 @@ def request_decision(spark, sf):
 
 @query("catalog_by_project", CAT + "select project, count(*) as n, cast(sum(size) as bigint) as bytes from catalog group by 1")
 def catalog_by_project(spark, sf):
-    return catalog.normalise(catalog_files(spark, sf)).groupBy("project").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    import uuid
+
+    name, files = f"catalog_{uuid.uuid4().hex}", catalog_files(spark, sf)
+    catalog.bootstrap(files, name)
+    # The second use finds the table that the first has made.
+    return catalog.bootstrap(files, name).groupBy("project").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
 @query("chunk_files", FILES + """, ch as (select distinct ds_id, chunk, concat(y, '-01-01T00:00:00') as s, concat(y + 1, '-12-31T23:59:59') as e from dataset_files, (values (0, 1995), (1, 1997), (2, 1999), (3, 2001), (4, 2003)) v(chunk, y))
@@ -199,9 +204,28 @@ def compact_write(spark, sf):
     out, year = _folder(spark), F.year("o_orderdate").alias("year")
     orders = table(spark, sf, "orders").withColumn("year", year)
     orders.repartition(4, "o_orderkey").write.partitionBy("year").parquet(f"{out}/parts")
-    # One sorted file a year, all years in one job.
-    spark.read.parquet(f"{out}/parts").repartition("year").sortWithinPartitions("year", "o_orderdate").write.partitionBy("year").parquet(f"{out}/merged")
-    return spark.read.parquet(f"{out}/merged").groupBy("year").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    # The written files are listed, grouped by size within each year, and each group is merged in order of time.
+    files = manifest.files_of(spark.read.parquet(f"{out}/parts"), "year")
+    plan = manifest.compaction(files, 64_000, key="year")
+    merged = manifest.compact(spark, f"{out}/parts", plan, f"{out}/merged", "year", "o_orderdate", 256_000)
+    return merged.groupBy("year").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("write_by_month", GRID + "select cast(year(time) as int) as year, cast(month(time) as int) as month, count(*) as n, round(sum(value), 6) as total from grid_cells group by 1, 2")
+def write_by_month(spark, sf):
+    out = _folder(spark)
+    manifest.write_by_period(grid_cells(spark, sf), out, "month", 512_000)
+    return spark.read.parquet(out).groupBy("year", "month").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+
+
+@query("written_manifest", "select concat('y', cast(year(o_orderdate) as varchar)) as dataset_id, count(*) as n, true as sized from orders group by 1")
+def written_manifest(spark, sf):
+    """The manifest of files that were written: what each dataset's files hold, and that all have a size."""
+    out = _folder(spark)
+    table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("y"), F.year("o_orderdate")).alias("dataset_id")).write.partitionBy("dataset_id").parquet(out)
+    files = manifest.files_of(spark.read.parquet(out), "dataset_id")
+    listed = manifest.manifest(files)
+    return listed.join(files.select("path", "rows"), "path").groupBy("dataset_id").agg(F.sum("rows").alias("n"), F.bool_and(F.col("size") > 0).alias("sized"))
 
 
 @query("result_manifest", CAT + "select ds_id as dataset_id, path, case when size % 4 = 0 then 0 else size end as size from (select ds_id, case when size % 4 = 0 then concat('https://node.org/', path) when size % 4 = 1 then concat('http://node.org/', path) else path end as path, size from catalog) where size % 4 <> 1")
@@ -240,3 +264,14 @@ def lineage_edges(spark, sf):
     params = F.create_map(F.lit("freq"), F.array("l_returnflag"), F.lit("dims"), F.array(F.lit("lat"), F.lit("lon")))
     steps = li.select(F.col("o_orderkey").alias("run"), F.col("l_linenumber").alias("step"), F.col("l_returnflag").alias("operator"), F.array(F.concat(F.lit("in"), "l_partkey"), F.lit("more")).alias("inputs"), F.array(F.concat(F.lit("out"), "l_suppkey")).alias("outputs"), params.alias("parameters"))
     return manifest.lineage(steps)
+
+
+_RUNS = "(select o_orderkey as run, concat('wf', o_custkey % 7) as workflow, concat('user', o_custkey) as agent, o_orderdate as a, o_orderdate + interval 2 hour as b from orders)"
+
+
+@query("lineage_runs", f"""with r as {_RUNS}
+select run, 'associated' as edge, cast(run as varchar) as subject, 'gridloom 1' as object from r union all select run, 'on_behalf_of', 'gridloom 1', agent from r union all select run, 'used', cast(run as varchar), workflow from r
+union all select run, 'started', cast(run as varchar), strftime(a, '%Y-%m-%d %H:%M:%S') from r union all select run, 'ended', cast(run as varchar), strftime(b, '%Y-%m-%d %H:%M:%S') from r""")
+def lineage_runs(spark, sf):
+    runs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("run"), F.concat(F.lit("wf"), F.col("o_custkey") % 7).alias("workflow"), F.concat(F.lit("user"), "o_custkey").alias("agent"), F.col("o_orderdate").alias("start"), (F.col("o_orderdate") + F.expr("interval 2 hours")).alias("end"))
+    return manifest.lineage_runs(runs, "gridloom", "1")

@@ -73,10 +73,8 @@ def fix_attrs(spark, sf):
 
 @query("dataset_signature", GRID + _SETS + f"select dataset_id, {_ATTR} is not null as has_startdate, {_ATTR} as startdate, concat(rpad('t', 77, 't'), '...') as title, false as has_none from sets")
 def dataset_signature(spark, sf):
-    long = F.lit("t" * 100)
-    cut = lambda c: F.when(F.length(c) > 80, F.concat(F.left(c, F.lit(77)), F.lit("..."))).otherwise(c)
-    df = _attrs(spark, sf).transform(fixes.set_attr("title", long))
-    return df.select("dataset_id", F.map_contains_key("attrs", "startdate").alias("has_startdate"), cut(F.element_at("attrs", "startdate")).alias("startdate"), cut(F.element_at("attrs", "title")).alias("title"), F.map_contains_key("attrs", "none").alias("has_none"))
+    df = _attrs(spark, sf).transform(fixes.set_attr("title", F.lit("t" * 100)))
+    return df.select("dataset_id", *fixes.signature(F.col("attrs"), ["startdate", "title", "none"])).drop("has_title", "none")
 
 
 @query("fix_squeeze", GRID + f"select dataset_id, {dts('time')}, lat, lon, round(value, 6) as value from grid_cells where level = 100 and realization = 4")
@@ -117,3 +115,17 @@ def fix_recipe(spark, sf):
 def fix_stats(spark, sf):
     before = _sets(spark, sf).withColumn("calendar", F.when(F.col("realization") % 2 == 0, "proleptic_gregorian").otherwise("standard"))
     return fixes.statistics(before, fixes.relabel_calendar(before), ["dataset_id", "realization"], ["calendar"])
+
+
+@query("fix_coordinates", GRID + f"select dataset_id, {dts('time')}, lat, 2.0 as height, case when lat >= 0 then 'north' else 'south' end as side, count(*) as n from grid_cells group by dataset_id, grid_cells.time, lat, 5")
+def fix_coordinates(spark, sf):
+    cells = grid_cells(spark, sf)
+    sides = cells.select("lat").distinct().withColumn("side", F.when(F.col("lat") >= 0, "north").otherwise("south"))
+    df = cells.transform(fixes.add_scalar("height", 2.0)).transform(fixes.add_along("side", "lat", sides))
+    return df.groupBy("dataset_id", "time", "lat", "height", "side").agg(F.count("*").alias("n")).select("dataset_id", ts("time"), "lat", "height", "side", "n")
+
+
+@query("fix_derived", GRID + _SETS + "select dataset_id, concat('s', regexp_extract(dataset_id, '\\.s(\\d+)-', 1), '11') as experiment, split_part(dataset_id, '.', 1) as project_id, split_part(dataset_id, '.', 4) as model from sets")
+def fix_derived(spark, sf):
+    df = _sets(spark, sf).transform(fixes.derive("experiment", "sub_experiment")).transform(fixes.derive("project_id", "project")).transform(fixes.derive("model", "model"))
+    return df.select("dataset_id", "experiment", "project_id", "model")

@@ -276,6 +276,20 @@ def average_shape(spark, sf):
     return polygon.average_shape(g.drop("time"), polygon.edges(spark, SHAPES)).select("geom", "realization", "level", r6().alias("value"))
 
 
+#: One shape with a hole, and one of two parts.
+HOLED = """{"type": "FeatureCollection", "features": [
+{"type": "Feature", "properties": {"name": "ring"}, "geometry": {"type": "Polygon", "coordinates": [[[10, -40], [60, -40], [60, 40], [10, 40], [10, -40]], [[20, -20], [40, -20], [40, 20], [20, 20], [20, -20]]]}},
+{"type": "Feature", "properties": {"name": "two"}, "geometry": {"type": "MultiPolygon", "coordinates": [[[[100, 0], [140, 0], [140, 30], [100, 30], [100, 0]]], [[[-80, -30], [-40, -30], [-40, 10], [-80, 10], [-80, -30]]]]}}]}"""
+
+
+@query("average_shape_parts", GRID + f""", i as (select lat, lon, case when x between 10 and 60 then 'ring' else 'two' end as geom from (select distinct lat, lon, case when lon > 180 then lon - 360 else lon end as x from grid_cells)
+  where (x between 10 and 60 and lat between -40 and 40 and not (x between 20 and 40 and lat between -20 and 20)) or (x between 100 and 140 and lat between 0 and 30) or (x between -80 and -40 and lat between -30 and 10))
+select geom, realization, level, {_WMEAN} from grid_cells join i using (lat, lon) group by 1, 2, 3""")
+def average_shape_parts(spark, sf):
+    g = grid_cells(spark, sf).drop("dataset_id", "variable", "time")
+    return polygon.average_shape(g, polygon.edges(spark, polygon.from_geojson(HOLED))).select("geom", "realization", "level", r6().alias("value"))
+
+
 # ---- workflows -------------------------------------------------------------------------------
 
 

@@ -18,7 +18,8 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def parse(lines: DataFrame) -> DataFrame:
     """Download records of the lines that are whole: at least 12 tokens, an IPv4 address, a timestamp
     and a whole-number status.  The zone is kept as text and not applied; size ``-`` is 0."""
-    t = lines.select(F.split(F.trim("line"), "\\s+").alias("t")).filter(F.size("t") >= LEAST_TOKENS)
+    # The generator keeps the optimizer from copying the split into every token and into the filter.
+    t = lines.select(F.explode(F.array(F.split(F.trim("line"), "\\s+"))).alias("t")).filter((F.size("t") >= LEAST_TOKENS) & F.get("t", F.lit(8)).rlike("^[+-]?[0-9]+$"))
     token = lambda k: F.get("t", F.lit(k))
     bare = lambda c: F.regexp_replace(c, '^"|"$', "")
     out = t.select(

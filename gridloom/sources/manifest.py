@@ -2,19 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_by_year(cells: DataFrame, path: str, most_rows: int = 5_000_000) -> None:
-    """One folder a year, rows of a year sorted by time; no file has more than ``most_rows`` rows."""
-    rows = cells.withColumn("year", F.year("time"))
-    rows.repartition("year").sortWithinPartitions("year", "time").write.option("maxRecordsPerFile", most_rows).partitionBy("year").mode("overwrite").parquet(path)
+#: Bytes of one value, by type; texts are measured.
+WIDTH = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "date": 4, "float": 4}
+PERIODS = ("year", "month", "day")
 
 
-def files_of(df: DataFrame) -> DataFrame:
-    """(path, size, rows) of the files behind a table that was read."""
-    return df.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.first(F.col("_metadata.file_size")).alias("size"), F.count("*").alias("rows"))
+def row_bytes(df: DataFrame) -> tuple[int, float]:
+    """(rows, bytes of a row): fixed widths, and the mean length of texts."""
+    texts = [c for c, t in df.dtypes if t == "string"]
+    told = df.agg(F.count("*").alias("n"), *[F.avg(F.octet_length(c)).alias(f"l{k}") for k, c in enumerate(texts)]).first()
+    return told["n"], sum(WIDTH.get(t, 8) for _, t in df.dtypes if t != "string") + sum(told[f"l{k}"] or 0 for k in range(len(texts)))
+
+
+def write_by_period(cells: DataFrame, path: str, period: str = "year", most_bytes: int = 2 << 30, time: str = "time") -> None:
+    """A folder a year (and month, and day), rows in it sorted by time; no file holds more than ``most_bytes`` of
+    values.  Tasks take ranges of time of such a size, so a period with very many rows is dealt to several."""
+    if period not in PERIODS:
+        raise ValueError(f"unknown period {period}; known: {', '.join(PERIODS)}")
+    parts = list(PERIODS[: PERIODS.index(period) + 1])
+    n, width = row_bytes(cells)
+    rows = cells.withColumns({p: f(time) for p, f in zip(parts, (F.year, F.month, F.dayofmonth), strict=False)})
+    tasks = int(max(1, min(n, -(-n * width // most_bytes))))
+    rows.repartitionByRange(tasks, *parts, time).sortWithinPartitions(*parts, time).write.option("maxRecordsPerFile", max(1, int(most_bytes // max(1, width)))).partitionBy(*parts).mode("overwrite").parquet(path)
+
+
+def write_by_year(cells: DataFrame, path: str, most_bytes: int = 2 << 30) -> None:
+    write_by_period(cells, path, "year", most_bytes)
+
+
+def files_of(df: DataFrame, *keep: str) -> DataFrame:
+    """(path, size, rows) of the files behind a table that was read, with ``keep`` columns that are the same all
+    over a file."""
+    return df.groupBy(F.col("_metadata.file_path").alias("path"), *keep).agg(F.first(F.col("_metadata.file_size")).alias("size"), F.count("*").alias("rows"))
 
 
 def manifest(outputs: DataFrame) -> DataFrame:
@@ -31,24 +55,59 @@ def manifest_urls(xml: DataFrame, column: str = "xml") -> DataFrame:
 
 def compaction(files: DataFrame, target: int, key: str = "ds_id", order: str = "path", size: str = "size") -> DataFrame:
     """Group number of each file: in order, a file joins the group before it while the group's size
-    stays within ``target``.  Sizes below one byte count as one.  A fold over one dataset's file list."""
-    item = F.struct(F.col(order).alias("o"), F.greatest(F.lit(1), F.coalesce(F.col(size), F.lit(1))).cast("long").alias("s"))
-    listed = files.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("f"))
-    start = F.struct(F.lit(-1).alias("g"), F.lit(0).cast("long").alias("t"), F.expr("cast(array() as array<struct<o:string,s:bigint,g:int>>)").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        fits = (a["g"] >= 0) & (a["t"] + x["s"] <= target)
-        g = F.when(fits, a["g"]).otherwise(a["g"] + 1)
-        return F.struct(g.alias("g"), F.when(fits, a["t"] + x["s"]).otherwise(x["s"]).alias("t"), F.concat(a["out"], F.array(F.struct(x["o"].alias("o"), x["s"].alias("s"), g.alias("g")))).alias("out"))
-
-    out = listed.select(key, F.explode(F.aggregate("f", start, step, lambda a: a["out"])).alias("x"))
-    return out.select(key, F.col("x.o").alias(order), F.col("x.s").alias(size), F.col("x.g").alias("group_no"))
-
-
-def compact(spark: SparkSession, paths: list[str], out: str, order: str = "time") -> DataFrame:
-    """The files of one group as one sorted file in a new folder; the inputs stay."""
-    spark.read.parquet(*paths).coalesce(1).sortWithinPartitions(order).write.mode("errorifexists").parquet(out)
-    return spark.read.parquet(out)
+    stays within ``target``.  Sizes below one byte count as one.  The files of a dataset pass through one task
+    in order, which holds the last group's number and size only."""
+    sized = files.select(key, order, F.greatest(F.lit(1), F.coalesce(F.col(size), F.lit(1))).cast("long").alias(size))
+
+    def run(batches):
+        last, group, total, some = None, 0, 0, False
+        for batch in batches:
+            numbers = []
+            for k, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if not some or k != last:
+                    last, group, total, some = k, 0, s, True
+                elif total + s <= target:
+                    total += s
+                else:
+                    group, total = group + 1, s
+                numbers.append(group)
+            yield batch.append_column("group_no", pa.array(numbers, pa.int32()))
+
+    types = dict(sized.dtypes)
+    return sized.repartition(key).sortWithinPartitions(key, order, size).mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in (key, order, size)) + ", group_no int")
+
+
+def compact(spark: SparkSession, source: str, plan: DataFrame, out: str, key: str, order: str = "time", target: int = 2 << 30) -> DataFrame:
+    """Merge the files below ``source`` by the groups of ``plan`` (from ``compaction``), each in time order, to new
+    files below ``out``, of about ``target`` bytes a task.  The inputs stay; if the write fails, what it wrote
+    goes and the inputs are the result."""
+    rows = spark.read.parquet(source)
+    try:
+        groups = plan.select(F.col("path").alias("_path"), "group_no")
+        total = plan.agg(F.sum("size")).first()[0] or 0
+        tasks = max(1, -(-total // target))
+        merged = rows.withColumn("_from", F.col("_metadata.file_path")).join(groups, F.col("_from") == F.col("_path")).drop("_from", "_path")
+        merged.repartitionByRange(tasks, key, "group_no", order).sortWithinPartitions(key, "group_no", order).write.partitionBy(key, "group_no").mode("errorifexists").parquet(out)
+        return spark.read.parquet(out)
+    except Exception:
+        at = spark._jvm.org.apache.hadoop.fs.Path(out)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        return rows
+
+
+def lineage_runs(runs: DataFrame, service: str, version: str) -> DataFrame:
+    """Edges of whole runs from rows (run, workflow, agent, start, end): the run is an activity of the service, asked
+    for by an agent; it used the workflow, which is an entity; and it started and ended."""
+    edge = lambda kind, subject, to: F.struct(F.lit(kind).alias("edge"), subject.cast("string").alias("subject"), to.cast("string").alias("object"))
+    at = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    told = F.array(
+        edge("associated", F.col("run"), F.lit(f"{service} {version}")),
+        edge("on_behalf_of", F.lit(f"{service} {version}"), F.col("agent")),
+        edge("used", F.col("run"), F.col("workflow")),
+        edge("started", F.col("run"), at("start")),
+        edge("ended", F.col("run"), at("end")),
+    )
+    return runs.select("run", F.explode(told).alias("e")).select("run", "e.*").filter("subject is not null and object is not null")
 
 
 def lineage(steps: DataFrame) -> DataFrame:
