@@ -445,6 +445,66 @@ def test_line_dedup_whole_copies(spark):
     assert got[32]["clean_text"] == f"own 2\nTitle\n{passage(702, 9)}\nend 2" and got[45]["clean_text"] == f"{passage(725, 9)}\n{passage(745, 9)}\n{passage(765, 9)}"
 
 
+def plain_dedup(rows):
+    """id -> text that stays, by a plain reading of the scheme; ids differ.  hash2: hash of two lines, hash1: of one."""
+    texts = sorted((i, t or "") for i, t, _, _ in rows)
+    hash2 = {(i, k): h for i, _, pairs, _ in rows for k, h in enumerate(pairs, 1)}
+    lines = {i: t.split("\n") for i, t in texts}
+    is_long = lambda i, k: 0 <= k < len(lines[i]) and len(lines[i][k]) >= line_dedup.LONG
+    pair = lambda i, k: (lines[i][k - 1], lines[i][k]) if 0 < k < len(lines[i]) and not (is_long(i, k) and is_long(i, k - 1)) else None
+    seen = Counter(x for i, _ in texts for k in range(len(lines[i])) for x in ([pair(i, k)] if pair(i, k) else []) + ([lines[i][k]] if is_long(i, k) else []))
+    again = lambda i, k: pair(i, k) is not None and seen[pair(i, k)] > 1
+    inner = lambda i, k: again(i, k) and not is_long(i, k) and not is_long(i, k - 1)
+    ends = lambda i, k: k >= 2 and hash2[i, k - 1] % line_dedup.DIVISOR == 0
+    chunks, found = {}, Counter()
+    for i, _ in texts:
+        n = len(lines[i])
+        starts = [k for k in range(n) if k == 0 or is_long(i, k) or is_long(i, k - 1) or ((inner(i, k - 1) and inner(i, k + 1) and ends(i, k) and not (inner(i, k - 2) and ends(i, k - 1))) if again(i, k) else again(i, k - 1) or again(i, k + 1) or ends(i, k))]
+        chunks[i] = []
+        for a, b in zip(starts, [*starts[1:], n], strict=True):
+            if is_long(i, a):
+                body = [lines[i][a]] if seen[lines[i][a]] > 1 else []
+            elif b - a >= line_dedup.LEAST_LINES:
+                body = lines[i][a:b] if again(i, a + 1) else []
+            else:
+                body = lines[i][a : a + 2] if again(i, a + 1) else lines[i][a - 1 : a + 1] if again(i, a) else []
+            text = "\n".join(body)
+            chunks[i].append((a, b, text if len("".join(text.split(" ")).replace("\n", "")) >= line_dedup.LEAST_CHARS else ""))
+    out, first = {}, set()
+    for i, _ in texts:
+        for _, _, text in chunks[i]:
+            found[text] += 1
+    for i, _ in texts:
+        kept = []
+        for a, b, text in chunks[i]:
+            if not text or text not in first:
+                kept += lines[i][a:b]
+            first.add(text)
+        out[i] = "\n".join(kept)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_line_dedup_equals_plain_scheme(spark, seed):
+    """Random documents put together from passages, headings and long lines, against the scheme in plain Python."""
+    r = random.Random(seed)
+    passages = [[passage(1000 * seed + 20 * p + k, r.randint(3, 9)) for k in range(r.randint(2, 9))] for p in range(6)]
+    long_lines = [passage(9000 + 10 * seed + k, 50) for k in range(3)]
+    rows = []
+    for i in range(60):
+        lines = []
+        for _ in range(r.randint(1, 5)):
+            kind = r.random()
+            lines += r.choice(passages) if kind < 0.4 else [r.choice(long_lines)] if kind < 0.6 else ["Heading"] if kind < 0.7 else [passage(50_000 + 100 * i + len(lines), 7) for _ in range(r.randint(1, 3))]
+        rows.append((i, "\n".join(lines)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    with_hash = df.withColumn("l", F.split("text", "\n")).withColumn("h", F.transform("l", lambda x: F.xxhash64(x)))
+    with_hash = with_hash.withColumn("p", F.when(F.size("l") > 1, F.transform(F.sequence(F.lit(1), F.size("l") - 1), lambda k: F.xxhash64(F.get("h", k - 1), F.get("h", k)))).otherwise(F.array().cast("array<bigint>")))
+    want = plain_dedup([(x["doc_id"], x["text"], x["p"], None) for x in with_hash.collect()])
+    got = {x["doc_id"]: x["clean_text"] for x in line_dedup.dedup(df).collect()}
+    assert got == want and sum(got[i] != t for i, t in rows) > 20
+
+
 # ---- 8 -------------------------------------------------------------------------------------
 
 
@@ -488,6 +548,37 @@ def test_license_texts(spark):
     assert [(k, name, got[k]) for k, _, name in each if got[k] != [name]] == []
 
 
+def test_license_recall_against_exact_containment(spark):
+    """Texts that hold one to four notices in turn, some with a word changed, against the share of shingles
+    that each template has in the whole text: what the bands retrieve is at least 0.95 of what is there."""
+    r = random.Random(6)
+    known = license_scan.templates()
+    names = list(license_scan.TEMPLATES)
+    rows = []
+    for k in range(240):
+        parts = [passage(7000 + k, r.randint(5, 80))]
+        for name in r.sample(names, r.randint(1, 4)):
+            words = license_scan.TEMPLATES[name].split()
+            if r.random() < 0.3 and len(words) > 15:
+                words[r.randrange(len(words))] = "changed"
+            parts += [" ".join(words), passage(r.randrange(10**6), r.randint(0, 30))]
+        rows.append((k, "\n".join(parts)))
+    sets = [(name, {s for piece in pieces for s in piece}) for name, pieces in known]
+    tests, within = license_scan.tests_of(known)
+    wanted = {}
+    for t, _, part, shingle, _, need, _ in tests:
+        wanted.setdefault(t, {}).setdefault((part, need), set()).add(shingle)
+    want = {}
+    for k, text in rows:
+        words = re.findall("[0-9a-z]+", text.lower())
+        have = {" ".join(words[i : i + 3]) for i in range(len(words) - 2)}
+        found = {t for t, parts in wanted.items() if all(len(s & have) >= need * len(s) for (_, need), s in parts.items())}
+        want[k] = {sets[t][0] for t in found if not any((t, u) in within for u in found)}
+    got = {x["doc_id"]: set(x["licenses"]) for x in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert all(got[k] <= want[k] for k in want)
+    assert sum(len(got[k] & want[k]) for k in want) >= 0.95 * sum(map(len, want.values()))
+
+
 # ---- 9 -------------------------------------------------------------------------------------
 
 
