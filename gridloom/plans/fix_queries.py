@@ -117,7 +117,7 @@ def fix_stats(spark, sf):
     return fixes.statistics(before, fixes.relabel_calendar(before), ["dataset_id", "realization"], ["calendar"])
 
 
-@query("fix_coordinates", GRID + f"select dataset_id, {dts('time')}, lat, 2.0 as height, case when lat >= 0 then 'north' else 'south' end as side, count(*) as n from grid_cells group by dataset_id, grid_cells.time, lat, 5")
+@query("fix_coordinates", GRID + f"select dataset_id, {dts('time')}, lat, cast(2.0 as double) as height, case when lat >= 0 then 'north' else 'south' end as side, count(*) as n from grid_cells group by dataset_id, grid_cells.time, lat, 5")
 def fix_coordinates(spark, sf):
     cells = grid_cells(spark, sf)
     sides = cells.select("lat").distinct().withColumn("side", F.when(F.col("lat") >= 0, "north").otherwise("south"))
