@@ -208,6 +208,8 @@ SHARED, PROFILE = 0, 1
 SLICE = 256
 #: Documents whose signatures are packed together.
 PACK = 1500
+#: Buckets of signatures a partition; a task holds one at a time.
+BUCKETS = 8
 
 
 def indexed_rows(docs: DataFrame, depths: tuple[int, ...] = (1, 2)) -> DataFrame:
@@ -219,7 +221,7 @@ def indexed_rows(docs: DataFrame, depths: tuple[int, ...] = (1, 2)) -> DataFrame
     documents packed together keeps two markers in its bucket and sends the rest in blocks dealt at
     random, so what one task gathers of it is bounded by ``HOT`` times the number of packs."""
     spark = docs.sparkSession
-    buckets = 4 * partitions(spark)
+    buckets = BUCKETS * partitions(spark)
     names = ["bucket", "sigs", "handles", "metas", "ids"]
     rows = [x.split() for x in ROWS.split(", ")]
     kinds = {"int": pa.int32(), "long": pa.int64()}
@@ -276,12 +278,25 @@ def indexed_rows(docs: DataFrame, depths: tuple[int, ...] = (1, 2)) -> DataFrame
                 yield packed(to, (sig, h, m))
 
     def gather(batches):
-        cold: list[list[np.ndarray]] = [[], [], []]
+        """Rows come in the order of their buckets; the signatures of one bucket are held at a time."""
+        at, cold = None, [[], [], []]
 
         def shared(s, h, m):
             nothing = pa.nulls(len(s), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(s), SHARED, np.int32)), signed(s), signed(h), pa.array(m.astype(np.int32)), nothing, nothing, nothing], schema=schema)
 
+        def several_of(parts):
+            sig, h, m = map(np.concatenate, parts)
+            order = np.argsort(sig)
+            sig, h, m = sig[order], h[order], m[order]
+            first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+            size = np.diff(np.append(first, len(sig)))
+            several = np.logical_or.reduceat(h != np.repeat(h[first], size), first)
+            keep = np.flatnonzero(np.repeat(several, size))
+            for i in range(0, len(keep), 100_000):
+                k = keep[i : i + 100_000]
+                yield shared(sig[k], h[k], m[k])
+
         for batch in batches:
             for b, s, h, m, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if b >= 2 * buckets:
@@ -293,24 +308,18 @@ def indexed_rows(docs: DataFrame, depths: tuple[int, ...] = (1, 2)) -> DataFrame
                 parts = [np.frombuffer(s, np.uint64), np.frombuffer(h, np.uint64), np.frombuffer(m, np.uint8)]
                 if b >= buckets:
                     yield shared(*parts)
-                else:
-                    for to, x in zip(cold, parts, strict=True):
-                        to.append(x)
+                    continue
+                if b != at and cold[0]:
+                    yield from several_of(cold)
+                    cold = [[], [], []]
+                at = b
+                for to, x in zip(cold, parts, strict=True):
+                    to.append(x)
         if cold[0]:
-            sig, h, m = map(np.concatenate, cold)
-            cold = []
-            order = np.argsort(sig)
-            sig, h, m = sig[order], h[order], m[order]
-            first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-            size = np.diff(np.append(first, len(sig)))
-            several = np.logical_or.reduceat(h != np.repeat(h[first], size), first)
-            keep = np.flatnonzero(np.repeat(several, size))
-            for i in range(0, len(keep), 100_000):
-                k = keep[i : i + 100_000]
-                yield shared(sig[k], h[k], m[k])
+            yield from several_of(cold)
 
     blocks = docs.select("doc_id", "text").mapInArrow(emit, "bucket int, sigs binary, handles binary, metas binary, ids binary")
-    return blocks.repartition(partitions(spark), "bucket").mapInArrow(gather, ROWS)
+    return blocks.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(gather, ROWS)
 
 
 def hash_of(x: np.ndarray) -> int:
