@@ -10,8 +10,10 @@ bytes, value bytes), the further key bytes, the value (ids as little-endian 16-
 Footer: ``<QQQQQQBB8s`` - index offset and length, Bloom offset and length, documents, ids, id
 width, Bloom hashes, MAGIC.
 
-Files go to the shared folder through Arrow's filesystem layer (local, HDFS, S3), under a name
-of the attempt and then renamed, so a repeated task leaves one whole file.
+Files go to the shared folder through Arrow's filesystem layer (local, HDFS, S3) under a hidden name,
+and are renamed when whole.  Names are those of the attempt, so a task that is run again, after its
+executor was lost or by speculation, never meets a file that is there already; the manifest lists
+the file of the attempt that Spark committed, and readers go by it.
 
 Edge cases: null text is empty (only the end id); null ids have the empty key and come first;
 rows that share an id are kept in order of their text's hash, in several files where they are very many;
@@ -303,7 +305,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
 
         place, base = fs.FileSystem.from_uri(folder)
         shard, writer, encoder = TaskContext.get().partitionId(), None, None
-        temp, final = f"{base}/.{shard:06d}-{uuid.uuid4().hex}", f"{base}/shard-{shard:06d}.sst"
+        name = f"{shard:06d}-{uuid.uuid4().hex}"
+        temp, final = f"{base}/.{name}", f"{base}/shard-{name}.sst"
         out = None
         for batch in batches:
             if writer is None and batch.num_rows:
