@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Java / RE2 character class of the six ASCII white-space characters.
@@ -83,6 +83,18 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def join_split(df: DataFrame, counted: DataFrame, on: Column, key: Column, n: str, how: str = "inner") -> DataFrame:
+    """``df`` joined with ``counted``, a table of keys and (column ``n``) how many rows of ``df`` have each.  Keys
+    that have more than a quarter of what a task reads on average are broadcast: that many rows are had by fewer
+    than four keys a task, whose bytes are at most those of as many mean rows.  The others are shuffled.  Both
+    conditions are equalities; ``how`` is inner or left_semi."""
+    total = counted.agg(F.sum(n)).first()[0] or 0
+    most = total // (4 * partitions(df.sparkSession))
+    hot, rest = F.broadcast(counted.filter(F.col(n) > most)), counted.filter(F.col(n) <= most)
+    met = on == key
+    return df.join(hot, met, how).unionByName(df.join(hot, met, "left_anti").join(rest, met, how))
+
+
 def lower_ascii(text):
     """Lower-case A-Z only; every other character stays."""
     return F.translate(text, UPPER, LOWER)

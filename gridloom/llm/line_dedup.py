@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm._common import WHITE_CHARS, cut, pinned, small
+from gridloom.llm._common import BROADCAST_ROWS, WHITE_CHARS, cut, join_split, pinned, small
 
 DIVISOR, LEAST_LINES, LEAST_CHARS, LONG = 3, 2, 40, 160
 
@@ -81,8 +81,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """One row per input row: doc_id, n_lines, n_chunks, removed_chunks, removed_lines, clean_text."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     docs = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    repeated = cut(keys(docs).groupBy("k.key").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("key").alias("_r")), "repeated")
-    where = keys(docs).join(small(repeated), F.col("k.key") == F.col("_r"), "left_semi").groupBy("doc_id", "th").agg(F.collect_set("k.at").alias("_p"))
+    repeated = cut(keys(docs).groupBy("k.key").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("key").alias("_r"), "_n"), "repeated")
+    few = repeated.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    key = F.col("k.key"), F.col("_r")
+    where = keys(docs).join(F.broadcast(repeated), key[0] == key[1], "left_semi") if few else join_split(keys(docs), repeated, *key, "_n", "left_semi")
+    where = where.groupBy("doc_id", "th").agg(F.collect_set("k.at").alias("_p"))
     where = cut(where.select(F.col("doc_id").alias("_i"), F.col("th").alias("_t"), "_p"), "where")
     same = lambda: F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("th") == F.col("_t"))
     several = chunked(docs.join(small(where), same())).select("doc_id", "th", "_l", F.explode("_c").alias("c")).filter("c.m > 0")
@@ -90,8 +93,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     several = cut(several.filter(F.length(F.translate("chunk", WHITE_CHARS, "")) >= LEAST_CHARS), "chunks")
     place = lambda: F.struct("doc_id", "th", "pos")
     # Grouped and joined by the bytes themselves.
-    first = several.groupBy(F.col("chunk").alias("_k")).agg(F.count("*").alias("_n"), F.min(place()).alias("_first")).filter("_n > 1")
-    gone = several.join(first, F.col("chunk") == F.col("_k")).filter(~place().eqNullSafe(F.col("_first")))
+    first = cut(several.groupBy(F.col("chunk").alias("_k")).agg(F.count("*").alias("_n"), F.min(place()).alias("_first")).filter("_n > 1"), "firsts")
+    gone = join_split(several, first, F.col("chunk"), F.col("_k"), "_n").filter(~place().eqNullSafe(F.col("_first")))
     gone = gone.select("doc_id", "th", "pos", "n").distinct().groupBy("doc_id", "th").agg(F.collect_set("pos").alias("_gone"), F.sum("n").alias("_lines"))
     gone = gone.select(F.col("doc_id").alias("_j"), F.col("th").alias("_u"), "_gone", "_lines")
     where = where.join(small(cut(gone, "gone")), F.col("_i").eqNullSafe(F.col("_j")) & (F.col("_t") == F.col("_u")), "left").select("_i", "_t", "_p", "_gone", "_lines")
