@@ -24,9 +24,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm._common import LOWER, UPPER, WHITE, WHITE_CHARS, cut, pinned
+from gridloom.llm._common import UPPER, WHITE, WHITE_CHARS, cut, pinned
 
 SYMBOLS = "#*$%&|<>"
+OFTEN = WHITE[:-1] + "a-z]+"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 THRESHOLD = 0.5
@@ -38,11 +39,13 @@ def with_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the counts
     that the further rules use, in columns named ``q_*``."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    blank = lambda c: F.translate(c, WHITE_CHARS, "") == ""
+    blank = lambda c: F.ltrim(c, F.lit(WHITE_CHARS)) == ""
     # Stages are separate projections, so that each array is made once and then read.
     df = docs.withColumn("_t", text)
     df = df.withColumn("_w", pinned(F.filter(F.split("_t", WHITE + "+"), lambda w: w != ""))).withColumn("_l", pinned(F.filter(F.split("_t", "\n"), lambda x: ~blank(x))))
     df = df.withColumn("n_words", F.size("_w").cast("long"))
+    # Characters are looked up one by one only in what is left without white space and lower-case letters.
+    df = df.withColumn("_c", pinned(F.length(F.regexp_replace("_t", WHITE + "+", "")))).withColumn("_o", pinned(F.regexp_replace("_t", OFTEN, "")))
     # Windows are compared by a 64-bit hash of their three words.
     window = lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2))
     df = df.withColumn("_g", pinned(F.when(F.col("n_words") >= 3, F.transform(F.sequence(F.lit(0), F.size("_w") - 3), window)).otherwise(F.array().cast("array<bigint>"))))
@@ -55,16 +58,16 @@ def with_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return df.select(
         *docs.columns,
         "n_words",
-        F.length(F.translate("_t", WHITE_CHARS, "")).cast("long").alias("word_chars"),
-        _deleted(F.col("_t"), SYMBOLS).cast("long").alias("n_symbols"),
+        F.col("_c").cast("long").alias("word_chars"),
+        _deleted(F.col("_o"), SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         pinned(F.coalesce(covered, F.lit(0)).cast("long")).alias("n_repeat_words"),
         F.size("_l").cast("long").alias("q_lines"),
-        _deleted(F.col("_t"), "!").cast("long").alias("q_bangs"),
-        _deleted(F.col("_t"), UPPER).cast("long").alias("q_upper"),
-        _deleted(F.col("_t"), LOWER).cast("long").alias("q_lower"),
-        _deleted(F.col("_t"), PUNCTUATION).cast("long").alias("q_marks"),
-        _deleted(F.col("_t"), ".?").cast("long").alias("q_stops"),
+        _deleted(F.col("_o"), "!").cast("long").alias("q_bangs"),
+        _deleted(F.col("_o"), UPPER).cast("long").alias("q_upper"),
+        (F.col("_c") - F.length("_o")).cast("long").alias("q_lower"),
+        _deleted(F.col("_o"), PUNCTUATION).cast("long").alias("q_marks"),
+        _deleted(F.col("_o"), ".?").cast("long").alias("q_stops"),
     )
 
 
