@@ -1,109 +1,27 @@
-"""Shared helpers: reading tables, cutting lineage, word classes, size checks."""
+"""Shared helpers: reading tables, word classes; and those of the library for lineage and sizes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from contextlib import contextmanager
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions.scratch import BROADCAST_ROWS, cut, discard, join_split, partitions, scratch, shared_folder, small  # noqa: F401  for the operators
+
 #: Java / RE2 character class of the six ASCII white-space characters.
 WHITE = "[\\x20\\x09-\\x0D]"
 WHITE_CHARS = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Most rows that are ever broadcast by choice; beyond it joins shuffle.
-BROADCAST_ROWS = 500_000
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Folders of applications in local mode that name none.
-_LOCAL: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: ``spark.checkpoint.dir``, or, where that is unset,
-    a temporary folder in local mode and the warehouse on a cluster.  The session stays as it is."""
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not found and not (context.master == "local" or context.master.startswith("local[")):
-        found = spark.conf.get("spark.sql.warehouse.dir")
-    if not found:
-        if context.applicationId not in _LOCAL:
-            _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="gridloom-")
-        found = _LOCAL[context.applicationId]
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame, label: str = "step") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here, so a
-    lost executor costs only the tasks it ran, and later readers prune columns."""
-    path = f"{shared_folder(df.sparkSession)}/gridloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._cut_path = path
-    for made in _SCRATCH:
-        made.append(out)
-    return out
-
-
-_SCRATCH: list[list[DataFrame]] = []
-
-
-@contextmanager
-def scratch(result: list[DataFrame]):
-    """Deletes, at its end, what ``cut`` wrote inside, but for the tables in ``result``."""
-    made: list[DataFrame] = []
-    _SCRATCH.append(made)
-    try:
-        yield
-    finally:
-        _SCRATCH.pop()
-        discard(*(x for x in made if not any(x is y for y in result)))
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``cut`` wrote and that nothing reads any more."""
-    for df in tables:
-        if path := getattr(df, "_cut_path", None):
-            context = df.sparkSession.sparkContext
-            at = context._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
-            df._cut_path = None
-
-
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if a count shows at most ``limit`` rows, else as it is
-    (then the join shuffles both sides)."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
-def join_split(df: DataFrame, counted: DataFrame, on: Column, key: Column, n: str, how: str = "inner") -> DataFrame:
-    """``df`` joined with ``counted``, a table of keys and (column ``n``) how many rows of ``df`` have each.  Keys
-    that have more than a quarter of what a task reads on average are broadcast: that many rows are had by fewer
-    than four keys a task, whose bytes are at most those of as many mean rows.  The others are shuffled.  Both
-    conditions are equalities; ``how`` is inner or left_semi."""
-    total = counted.agg(F.sum(n)).first()[0] or 0
-    most = total // (4 * partitions(df.sparkSession))
-    hot, rest = F.broadcast(counted.filter(F.col(n) > most)), counted.filter(F.col(n) <= most)
-    met = on == key
-    return df.join(hot, met, how).unionByName(df.join(hot, met, "left_anti").join(rest, met, how))
-
-
 def lower_ascii(text):
     """Lower-case A-Z only; every other character stays."""
     return F.translate(text, UPPER, LOWER)
 
 
-def partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def pinned(column):
     """``column``, computed once where it stands: the always-true test of a row number keeps the optimizer
     from copying a costly array expression into filters and lambdas that use it."""

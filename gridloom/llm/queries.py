@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontaminate, license_scan, line_dedup, mixing, ngram_join, pii, pu_quality, quality_rules, sharding, sstable
+from gridloom.llm import decontaminate, hard_negatives, hash_forest, license_scan, line_dedup, mixing, ngram_join, pii, prefix_trie, pu_quality, quality_rules, sharding, sstable
 from gridloom.llm._common import table
 
 
@@ -80,6 +80,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    changed = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, changed)
+
+
+def op12_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_forest.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,7 +101,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_ngram_join, op3_quality_rules, op4_pu_quality, op5_sharding, op6_mixing, op7_line_dedup, op8_license_scan, op9_sstable, op10_decontamination, pipeline)
+    f.__name__: f for f in (op1_pii, op2_ngram_join, op3_quality_rules, op4_pu_quality, op5_sharding, op6_mixing, op7_line_dedup, op8_license_scan, op9_sstable, op10_decontamination, op11_hard_negatives, op12_hash_forest, op13_prefix_trie, pipeline)
 }
 
 _WORDS10 = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
@@ -107,4 +121,29 @@ its as (select doc_id, count(distinct item) as n_items, sha256(string_agg(distin
 select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
   coalesce(h, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
 from d left join covered using (doc_id) left join its using (doc_id)""",
+    "op11_hard_negatives": """
+with r as (select vec_id, case when vec_id % 7 = 0 then (cast(label as bigint) + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, cast(list_dot_product(a.v, b.v) as bigint) as score
+  from r a join r b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, positive_id, cast(row_number() over (partition by p.anchor_id, positive_id order by score desc, vec_id) as integer) as rank, vec_id as negative_id, positive_score, score as negative_score
+from p join s on p.anchor_id = s.anchor_id and not same and 80 * positive_score <= 100 * score and score <= positive_score
+qualify rank <= 5""",
+    # crc32 bit by bit, over the decimal digits of an id.
+    "op13_prefix_trie": """
+with t as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, role, text) as p, {'r': coalesce(role, ''), 't': coalesce(text, '')} as x from conversations where conv_id is not null),
+own as (select conv_id, list(x order by p) as l from t group by conv_id),
+h as (select conv_id, l, xor(4294967295, list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(string_split(cast(conv_id as varchar), ''), lambda c: cast(ascii(c) as bigint))),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end))) % 9 as h from own),
+c as (select h.conv_id, list_concat(coalesce(own.l[1:h], []), h.l[h + 1:]) as l from h left join own on own.conv_id = h.conv_id - h.conv_id % 5),
+m as (select conv_id, l, unnest(range(0, len(l) + 1)) as depth from c),
+n as (select l[1:depth] as k, depth, min(conv_id) as conv_id, count(*) as n_convs, coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (where len(l) = depth), '') as ends from m group by l[1:depth], depth),
+kids as (select k[1:depth - 1] as k, count(*) as n_children from n where depth > 0 group by k[1:depth - 1]),
+own_of as (select n.*, coalesce(n_children, 0) as n_children, case when depth > 0 then (n_convs - 1) * strlen(n.k[depth]['t']) else 0 end as amount from n left join kids on n.k = kids.k),
+up as (select k, unnest(range(0, depth + 1)) as d, amount, n_children from own_of),
+sums as (select k[1:d] as k, sum(amount) as saved, count(*) filter (where n_children = 0) as n_leaves from up group by k[1:d])
+select o.conv_id, o.depth, q.conv_id as parent_conv_id, o.n_convs, o.n_children, n_leaves, cast(saved as bigint) as saved_tokens, sha256(o.ends) as ends_sha256
+from own_of o join sums on o.k = sums.k left join own_of q on o.depth > 0 and q.k = o.k[1:o.depth - 1]""",
 }
