@@ -9,7 +9,9 @@ one-deletion neighbourhoods).  ``m`` is larger than needed by ``2 * spare``, so
 leave segments out: the smallest (least selective) when they are indexed, and then the most
 frequent ones once counts are known.  ``plan`` picks depth and spare per band by their cost.
 
-Candidates are then verified on their texts.  Within the documents that share a segment each
+Candidates are compared by sketches first: each set's hashes counted in ``BINS`` bins, whose differences add up
+to the symmetric difference at most; so no text moves for a pair that these show to be too far apart.  The others
+are verified on their texts.  Within the documents that share a segment each
 meets the group's first; only documents that are still in different components meet later.
 These (large clouds of near copies, documents that share a passage) are not paired: the partition
 is refined for them to segments of one shingle.  Of these a linked pair has four ninths of both sizes in
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm._common import cut, discard, partitions, small
+from gridloom.llm._common import arrow_batches, cut, discard, join_split, partitions, scratch, small
 from gridloom.llm.components import components
 
 WORDS, SHARE = 5, (80, 100)
@@ -202,14 +204,24 @@ def signatures(s: np.ndarray, mixed: np.ndarray, depths: tuple[int, ...] = (1, 2
 
 # ---- Spark stages ------------------------------------------------------------------------
 
-ROWS = "kind int, sig long, h1 long, meta int, doc_id long, n_shingles long, h2 long"
+ROWS = "kind int, sig long, h1 long, meta int, doc_id long, n_shingles long, h2 long, sketch binary"
 SHARED, PROFILE = 0, 1
 #: Texts that a task unpacks at a time.
 SLICE = 256
 #: Documents whose signatures are packed together.
 PACK = 1500
-#: Buckets of signatures a partition; a task holds one at a time.
-BUCKETS = 8
+#: Bytes of signatures of a bucket, about; a task holds one bucket at a time.  Signatures take that many bytes a
+#: byte of text, about.
+BUCKET_BYTES, GROWTH = 8 << 20, 1.6
+#: Bins of a sketch; each counts to 255.
+BINS = 128
+#: Bytes of a batch between Spark and Python.
+BATCH_BYTES = 8 << 20
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """How many of a set's hashes lie in each bin."""
+    return np.minimum(np.bincount((s >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
 
 
 def indexed_rows(docs: DataFrame, depths: tuple[int, ...] = (1, 2)) -> DataFrame:
@@ -221,10 +233,11 @@ def indexed_rows(docs: DataFrame, depths: tuple[int, ...] = (1, 2)) -> DataFrame
     documents packed together keeps two markers in its bucket and sends the rest in blocks dealt at
     random, so what one task gathers of it is bounded by ``HOT`` times the number of packs."""
     spark = docs.sparkSession
-    buckets = BUCKETS * partitions(spark)
-    names = ["bucket", "sigs", "handles", "metas", "ids"]
+    text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(partitions(spark), math.ceil(GROWTH * text_bytes / BUCKET_BYTES))
+    names = ["bucket", "sigs", "handles", "metas", "ids", "sketches"]
     rows = [x.split() for x in ROWS.split(", ")]
-    kinds = {"int": pa.int32(), "long": pa.int64()}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
     schema = pa.schema([(n, kinds[k]) for n, k in rows])
     signed = lambda x: pa.array(x.view(np.int64))
 
@@ -233,20 +246,21 @@ def indexed_rows(docs: DataFrame, depths: tuple[int, ...] = (1, 2)) -> DataFrame
         at = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
         till = np.append(at[1:], len(to))
         blocks = [[x[i:j].tobytes() for i, j in zip(at, till, strict=True)] for x in parts]
-        return pa.RecordBatch.from_arrays([pa.array(to[at].astype(np.int32)), *(pa.array(b, pa.binary()) for b in blocks), pa.nulls(len(at), pa.binary())], names)
+        return pa.RecordBatch.from_arrays([pa.array(to[at].astype(np.int32)), *(pa.array(b, pa.binary()) for b in blocks), *[pa.nulls(len(at), pa.binary())] * 2], names)
 
     def emit(batches):
         hashes, turn = WordHashes(), 0
         for batch in batches:
             for start in range(0, batch.num_rows, PACK):
                 part = batch.slice(start, PACK)
-                sigs, who, meta, profile = [], [], [], []
+                sigs, who, meta, profile, sketches = [], [], [], [], []
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     s = shingle_hashes(words_of(text), hashes)
                     with np.errstate(over="ignore"):
                         mixed = mix(s * _M[1] + _M[2])
                         h = mix(np.add.reduce(mixed, dtype=np.uint64) + np.uint64(len(s)))
                         profile.append((doc_id is None, doc_id or 0, len(s), h, np.add.reduce(mix(s + _M[2]), dtype=np.uint64)))
+                    sketches.append(sketch(s))
                     if len(s) and doc_id is not None:
                         for sig, m in signatures(s, mixed, depths):
                             sigs.append(sig)
@@ -254,7 +268,7 @@ def indexed_rows(docs: DataFrame, depths: tuple[int, ...] = (1, 2)) -> DataFrame
                             meta.append(m)
                 turn += 1
                 null, ids, n, h1, h2 = (np.array(x, t) for x, t in zip(zip(*profile, strict=True), (np.uint8, np.int64, np.int64, np.uint64, np.uint64), strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array([2 * buckets + (hash_of(h1) + turn) % buckets], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (h1, h2, n, np.concatenate([ids.view(np.uint8), null])))], names)
+                yield pa.RecordBatch.from_arrays([pa.array([2 * buckets + (hash_of(h1) + turn) % buckets], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (h1, h2, n, np.concatenate([ids.view(np.uint8), null]))), pa.array([b"".join(sketches)], pa.binary())], names)
                 if not sigs:
                     continue
                 sig, h, m = map(np.concatenate, (sigs, who, meta))
@@ -283,7 +297,7 @@ def indexed_rows(docs: DataFrame, depths: tuple[int, ...] = (1, 2)) -> DataFrame
 
         def shared(s, h, m):
             nothing = pa.nulls(len(s), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(s), SHARED, np.int32)), signed(s), signed(h), pa.array(m.astype(np.int32)), nothing, nothing, nothing], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(s), SHARED, np.int32)), signed(s), signed(h), pa.array(m.astype(np.int32)), nothing, nothing, nothing, pa.nulls(len(s), pa.binary())], schema=schema)
 
         def several_of(parts):
             sig, h, m = map(np.concatenate, parts)
@@ -298,12 +312,13 @@ def indexed_rows(docs: DataFrame, depths: tuple[int, ...] = (1, 2)) -> DataFrame
                 yield shared(sig[k], h[k], m[k])
 
         for batch in batches:
-            for b, s, h, m, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k in range(batch.num_rows):
+                b, s, h, m, ids, drawn = (c[k].as_py() for c in batch.columns)
                 if b >= 2 * buckets:
                     h1, h2, n = np.frombuffer(s, np.uint64), np.frombuffer(h, np.uint64), np.frombuffer(m, np.int64)
                     own, null = np.frombuffer(ids, np.int64, len(n)), np.frombuffer(ids, np.uint8, len(n), 8 * len(n)).astype(bool)
                     nothing, less = pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), PROFILE, np.int32)), nothing, signed(h1), less, pa.array(own, mask=null), pa.array(n), signed(h2)], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), PROFILE, np.int32)), nothing, signed(h1), less, pa.array(own, mask=null), pa.array(n), signed(h2), pa.array([drawn[i : i + BINS] for i in range(0, len(drawn), BINS)], pa.binary())], schema=schema)
                     continue
                 parts = [np.frombuffer(s, np.uint64), np.frombuffer(h, np.uint64), np.frombuffer(m, np.uint8)]
                 if b >= buckets:
@@ -318,7 +333,7 @@ def indexed_rows(docs: DataFrame, depths: tuple[int, ...] = (1, 2)) -> DataFrame
         if cold[0]:
             yield from several_of(cold)
 
-    blocks = docs.select("doc_id", "text").mapInArrow(emit, "bucket int, sigs binary, handles binary, metas binary, ids binary")
+    blocks = docs.select("doc_id", "text").mapInArrow(emit, "bucket int, sigs binary, handles binary, metas binary, ids binary, sketches binary")
     return blocks.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(gather, ROWS)
 
 
@@ -331,9 +346,9 @@ def shared_rows(rows: DataFrame) -> DataFrame:
     has the band as its own and all of its shingles."""
     bit = lambda n: F.col("meta").bitwiseAND(n) > 0
     each = rows.filter(F.col("kind") == SHARED).groupBy("sig", "h1").agg(F.min("meta").alias("meta"))
-    each = each.select("sig", "h1", bit(16).alias("lower"), bit(DELETED).alias("deleted"), F.col("meta").bitwiseAND(15).alias("slack"))
-    counts = each.groupBy("sig").agg(F.count("*").alias("c"), F.bool_or(~F.col("lower")).alias("own"), F.bool_or(~F.col("deleted")).alias("full")).filter("c > 1 and own and full")
-    return each.join(counts.select("sig", "c"), "sig")
+    each = cut(each.select("sig", "h1", bit(16).alias("lower"), bit(DELETED).alias("deleted"), F.col("meta").bitwiseAND(15).alias("slack")), "signatures")
+    counts = each.groupBy(F.col("sig").alias("of")).agg(F.count("*").alias("c"), F.bool_or(~F.col("lower")).alias("own"), F.bool_or(~F.col("deleted")).alias("full")).filter("c > 1 and own and full")
+    return join_split(each, cut(counts.select("of", "c"), "counts"), F.col("sig"), F.col("of"), "c").drop("of")
 
 
 def allocated(shared: DataFrame) -> DataFrame:
@@ -344,8 +359,10 @@ def allocated(shared: DataFrame) -> DataFrame:
 
 def stars(indexed: DataFrame) -> DataFrame:
     """(x, y, lead, h1): each document of a group with the group's first."""
-    lead = indexed.filter("not lower").groupBy("sig").agg(F.min(F.struct("deleted", "h1")).alias("x"))
-    return indexed.join(lead, "sig").filter("x.h1 <> h1").select(F.least("x.h1", "h1").alias("x"), F.greatest("x.h1", "h1").alias("y"), F.col("x.h1").alias("lead"), "h1")
+    first = F.min(F.when(~F.col("lower"), F.struct("deleted", "h1"))).alias("first")
+    lead = cut(indexed.groupBy(F.col("sig").alias("of")).agg(first, F.count("*").alias("c")).filter("first is not null"), "leads")
+    met = join_split(indexed, lead, F.col("sig"), F.col("of"), "c").filter("first.h1 <> h1")
+    return met.select(F.least("first.h1", "h1").alias("x"), F.greatest("first.h1", "h1").alias("y"), F.col("first.h1").alias("lead"), "h1")
 
 
 # ---- groups that stay apart: the partition refined to single shingles ---------------------
@@ -384,10 +401,10 @@ def refined(sets: DataFrame) -> DataFrame:
     where that holds for any partner, the larger one under the classes of the partners that it
     still can have; all else is left out.  ``left``: shingles from this one on."""
     each = cut(sets.select("h1", F.size("s").alias("n"), F.explode("s").alias("sig")), "shingles")
-    counts = each.groupBy("sig").agg(F.count("*").alias("c")).filter("c > 1")
+    counts = cut(each.groupBy(F.col("sig").alias("s")).agg(F.count("*").alias("c")).filter("c > 1"), "counts")
     # Ranks count from the end, so shingles that no other set has need no row.
     rank = F.row_number().over(Window.partitionBy("h1").orderBy(F.col("c").desc(), F.col("sig").desc()))
-    kept = each.join(counts, "sig").withColumn("left", rank)
+    kept = join_split(each, counts, F.col("sig"), F.col("s"), "c").drop("s").withColumn("left", rank)
     low, high = F.ceil(F.col("n") * SHARE[0] / SHARE[1]), F.least(F.col("n"), F.floor(F.col("left") * (SHARE[0] + SHARE[1]) / SHARE[0]) - F.col("n"))
     smaller = kept.filter(f"{SHARE[0] + SHARE[1]} * left >= {2 * SHARE[0]} * n").select("sig", size_class(F.col("n")).alias("of"), "h1", "n", "left", F.lit(True).alias("small"))
     larger = kept.withColumn("low", low).withColumn("high", high).filter("low <= high")
@@ -403,8 +420,10 @@ def fits(a: str, b: str) -> str:
 
 
 def leads(index: DataFrame) -> DataFrame:
-    """(sig, of, c): of each group's sets of the class the most central one, which has most shingles left."""
-    return index.filter("small").groupBy("sig", "of").agg(F.min(F.struct((F.col("n") - F.col("left")).alias("before"), F.col("h1"), F.col("n"), F.col("left"))).alias("c")).select("sig", "of", "c.*")
+    """(key, c, n): of each group's sets of the class the most central one, which has most shingles left; and the
+    group's rows."""
+    central = F.min(F.when(F.col("small"), F.struct((F.col("n") - F.col("left")).alias("before"), "h1", "n", "left"))).alias("c")
+    return cut(index.groupBy(F.struct("sig", "of").alias("key")).agg(central, F.count("*").alias("rows")).filter("c is not null"), "leads")
 
 
 def pair(a: str, b: str) -> list[Column]:
@@ -413,15 +432,18 @@ def pair(a: str, b: str) -> list[Column]:
 
 def with_lead(index: DataFrame) -> DataFrame:
     """(x, y): each set of a group with the group's lead."""
-    return index.alias("p").join(leads(index).alias("q"), ["sig", "of"]).filter(fits("p", "q")).select(*pair("p", "q")).distinct()
+    met = join_split(index, leads(index), F.struct("sig", "of"), F.col("key"), "rows")
+    p, q = F.struct("h1", "n", "left").alias("p"), F.col("c").alias("q")
+    return met.select(p, q).filter(fits("p", "q")).select(*pair("p", "q")).distinct()
 
 
 def across(index: DataFrame) -> DataFrame:
     """index with labels -> (x, y): pairs of a smaller and a larger set of a group that have different
     labels.  Of each such pair one at least has not the label of the group's lead, and only
     these few meet the others."""
-    main = leads(index).join(index.filter("small").select("h1", "label").distinct(), "h1").select("sig", "of", F.col("label").alias("main"))
-    known = cut(index.join(main, ["sig", "of"]).withColumn("odd", F.col("label") != F.col("main")), "groups")
+    main = leads(index).withColumn("h1", F.col("c.h1")).join(index.filter("small").select("h1", "label").distinct(), "h1").select("key", "rows", F.col("label").alias("main"))
+    known = join_split(index, cut(main, "main"), F.struct("sig", "of"), F.col("key"), "rows").drop("key", "rows")
+    known = cut(known.withColumn("odd", F.col("label") != F.col("main")), "groups")  # written, so that a skewed join of it can be split
     some = known.filter("odd").select("sig", "of").distinct()
     known = known.join(some, ["sig", "of"], "left_semi")
     odd = known.filter("odd")
@@ -429,11 +451,28 @@ def across(index: DataFrame) -> DataFrame:
     return met[0].unionByName(met[1]).distinct()
 
 
+def near_enough(pairs: DataFrame) -> DataFrame:
+    """pairs (a, b, n_a, n_b, sk_a, sk_b) -> (a, b) that sizes and sketches do not rule out."""
+    allowed = np.vectorize(most_apart, otypes=[np.int64])
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n, m = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+            drawn = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for c in ("sk_a", "sk_b")]
+            apart = np.abs(drawn[0] - drawn[1]).sum(1)
+            total, at = np.unique(n + m, return_inverse=True)
+            good = (SHARE[1] * np.minimum(n, m) >= SHARE[0] * np.maximum(n, m)) & (apart <= allowed(total)[at])
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return pairs.select("a", "b", "n_a", "n_b", "sk_a", "sk_b").mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """pairs (x, y) of class handles -> (a, b) document pairs that are linked, by their texts."""
-    one = lambda side, to: classes.select(F.col("h1").alias(side), F.col("rep").alias(to), F.col("n_shingles").alias(f"n_{to}"))
-    ids = pairs.join(one("x", "a"), "x").join(one("y", "b"), "y").filter(f"{SHARE[1]} * least(n_a, n_b) >= {SHARE[0]} * greatest(n_a, n_b)").select("a", "b")
-    ids = cut(ids, "pairs")
+    one = lambda side, to: classes.select(F.col("h1").alias(side), F.col("rep").alias(to), F.col("n_shingles").alias(f"n_{to}"), F.col("sketch").alias(f"sk_{to}"))
+    ids = cut(near_enough(pairs.join(one("x", "a"), "x").join(one("y", "b"), "y")), "pairs")
     involved = small(ids.select(F.col("a").alias("doc_id")).unionByName(ids.select(F.col("b").alias("doc_id"))).distinct())
     texts = docs.join(involved, "doc_id", "left_semi")
     both = ids.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
@@ -456,11 +495,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: doc_id, n_shingles, component_id (smallest id reachable by links)
     and n_copies_of (the id that stands for all documents with the same set)."""
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    kept: list[DataFrame] = []
+    with scratch(kept), arrow_batches(docs.sparkSession, BATCH_BYTES):
+        profiles, classes, labels = labelled_classes(docs)
+        kept += [profiles, classes, labels]
+    named = classes.join(labels, classes.rep == labels.node, "left").select("h1", "h2", "rep", F.coalesce("label", "rep").alias("component"))
+    out = profiles.join(named, ["h1", "h2"], "left")
+    has = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    return out.select("doc_id", "n_shingles", F.when(has, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.when(has, F.col("rep")).otherwise(F.col("doc_id")).alias("n_copies_of"))
+
+
+def labelled_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written tables: the profile of each row (doc_id, n_shingles, h1, h2); the classes (h1, h2, rep, n_shingles,
+    sketch); and (node, label) of each class's document that has a link."""
     rows = cut(indexed_rows(docs), "indexed-rows")
-    profiles = rows.filter(F.col("kind") == PROFILE).select("doc_id", "n_shingles", "h1", "h2")
-    classes = cut(profiles.filter("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles")), "classes")
+    profile = rows.filter(F.col("kind") == PROFILE)
+    profiles = cut(profile.select("doc_id", "n_shingles", "h1", "h2"), "profiles")
+    one = F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("one")  # equal sets have equal sketches
+    classes = cut(profile.filter("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(one).select("h1", "h2", F.col("one.doc_id").alias("rep"), "one.n_shingles", "one.sketch"), "classes")
     indexed = cut(allocated(shared_rows(rows)), "indexed")
-    star = stars(indexed)
+    discard(rows)
+    star = cut(stars(indexed), "stars")
 
     # Each class meets one partner first, then the first of each of its groups, then the rest of small
     # groups that are still apart; documents of large ones go through the second index likewise.
@@ -485,18 +540,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         discard(more)
 
     meet(star.select("x", "y"))
+    discard(star)
     # Documents of groups, of three or more, that are in several components.
-    member = indexed.join(labelled(), "h1")
-    groups = member.groupBy("sig").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("c")).filter("l0 < l1 and c > 2").select("sig")
-    apart = cut(member.join(groups, "sig").select(F.col("rep").alias("doc_id")).distinct(), "apart")
+    member = cut(indexed.join(labelled(), "h1").select("sig", "rep", "label"), "members")
+    groups = member.groupBy(F.col("sig").alias("of")).agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("c")).filter("l0 < l1 and c > 2").select("of", "c")
+    apart = cut(join_split(member, cut(groups, "apart-groups"), F.col("sig"), F.col("of"), "c", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "apart")
+    discard(member)
     if apart.limit(1).count():
         second = refined(set_hashes(docs.join(small(apart), "doc_id", "left_semi")))
         meet(with_lead(second))
         meet(across(second.join(labelled().select("h1", "label"), "h1")))
-    named = classes.join(labels, classes.rep == labels.node, "left").select("h1", "h2", "rep", F.coalesce("label", "rep").alias("component"))
-    out = profiles.join(named, ["h1", "h2"], "left")
-    has = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
-    return out.select("doc_id", "n_shingles", F.when(has, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.when(has, F.col("rep")).otherwise(F.col("doc_id")).alias("n_copies_of"))
+    return profiles, classes, labels
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
