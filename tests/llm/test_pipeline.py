@@ -82,7 +82,7 @@ def test_stage_edges(spark, texts, name):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings", "conversations"):
         con.execute(f"create view {t} as select * from '{FOLDER}/{t}.parquet'")
     assert rows(entry.queries()[name](spark, FOLDER).toPandas()) == rows(con.execute(queries.ORACLE_SQL[name]).df())
 
