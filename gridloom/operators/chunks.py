@@ -1,15 +1,17 @@
 """Time chunks: by a number of timesteps, by calendar years, or chosen from the cadence.
 
-All of them run on the distinct time axis of a dataset, which is small; cells meet their chunk
-by a join on the axis.
+All of them run on the distinct time axis of a dataset, of which a very long one is dealt to several tasks;
+cells meet their chunk by a join on the axis.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.scratch import cut
 from gridloom.operators.aggregate import cadence
+from gridloom.operators.ranks import numbered
 
 
 def second():
@@ -19,11 +21,12 @@ def second():
 def by_steps(cells: DataFrame, steps: int) -> DataFrame:
     """(dataset_id, chunk, start, end, n): every ``steps`` distinct times; a chunk ends a second before the
     next one starts, the last at the last time."""
-    axis = cells.select("dataset_id", "time").distinct()
-    rank = F.row_number().over(Window.partitionBy("dataset_id").orderBy("time")) - 1
-    got = axis.withColumn("chunk", F.floor(rank / steps).cast("int")).groupBy("dataset_id", "chunk").agg(F.min("time").alias("start"), F.max("time").alias("last"), F.count("*").alias("n"))
-    following = F.lead("start").over(Window.partitionBy("dataset_id").orderBy("chunk"))
-    return got.select("dataset_id", "chunk", "start", F.coalesce(following - second(), F.col("last")).alias("end"), "n")
+    axis = numbered(cells.select("dataset_id", "time").distinct(), ["dataset_id"], ["time"], "step")
+    got = axis.withColumn("chunk", F.floor(F.col("step") / steps).cast("int")).groupBy("dataset_id", "chunk").agg(F.min("time").alias("start"), F.max("time").alias("last"), F.count("*").alias("n"))
+    got = cut(got, "chunks")  # read twice: a chunk meets the one after it by its number
+    following = got.select(F.col("dataset_id").alias("d"), (F.col("chunk") - 1).alias("c"), F.col("start").alias("following"))
+    met = got.join(following, (F.col("dataset_id") == F.col("d")) & (F.col("chunk") == F.col("c")), "left")
+    return met.select("dataset_id", "chunk", "start", F.coalesce(F.col("following") - second(), F.col("last")).alias("end"), "n")
 
 
 def chunk_years(steps_per_year, target: int, least: int = 1, most: int = 50):

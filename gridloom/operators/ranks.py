@@ -7,29 +7,51 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.scratch import cut
+from gridloom.functions.scratch import cut, partitions
 
 #: Rows of one key that a window of ``running`` reads at a time.
 SPAN = 1024
+#: Rows of a key that a task may always read in order, however few rows there are in all.
+FEW = 50_000
+
+
+def hot_keys(df: DataFrame, key: Sequence[str]) -> DataFrame | None:
+    """Keys (with ``_n`` rows, nulls too) that have more than ``FEW`` rows and more than a quarter of what a task
+    reads on average: fewer than four a task.  None where there are none."""
+    counts = cut(df.groupBy(*key).agg(F.count("*").alias("_n")), "key-counts")
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    found = counts.filter(F.col("_n") > max(FEW, total // (4 * partitions(df.sparkSession))))
+    return found if found.limit(1).count() else None
+
+
+def same(a: str, b: str, key: Sequence[str]) -> list[Column]:
+    """Equality of two aliased tables on a key, nulls too."""
+    return [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in key]
+
+
+def parted(df: DataFrame, key: Sequence[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of the hot keys, and all others."""
+    return tuple(df.alias("d").join(F.broadcast(hot).alias("h"), same("d", "h", key), how) for how in ("left_semi", "left_anti"))
 
 
 def numbered(df: DataFrame, key: Sequence[str], order: Sequence[str], name: str = "position") -> DataFrame:
     """``df`` with the position (long, from 0) of each row within its key, by ``order`` (nulls first).
 
-    Rows are dealt by ranges of (key, order), so a key that has a third of all rows lies in many ranges.
-    Positions are counted within a range and lifted by what the earlier ranges hold of the same key; only
-    keys that reach over several ranges, of which there are fewer than two a range, need that."""
+    Rows of a hot key are dealt by ranges of (key, order), so that they lie in many tasks.  Positions are counted
+    within a range and lifted by what the earlier ranges hold of the same key."""
+    local = lambda rows, *by: (F.row_number().over(Window.partitionBy(*by, *key).orderBy(*order)) - 1).cast("long")
+    hot = hot_keys(df, key)
+    if hot is None:
+        return df.withColumn(name, local(df))
+    large, others = parted(df, key, hot)
     part, lift = f"_{name}_range", f"_{name}_lift"
-    dealt = cut(df.repartitionByRange(*key, *order).withColumn(part, F.spark_partition_id()), "ranges")
-    counts = dealt.groupBy(*key, part).agg(F.count("*").alias("_n"))
-    spread = counts.groupBy(*key).agg(F.count("*").alias("_ranges")).filter("_ranges > 1")
-    same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in key]
-    several = counts.alias("c").join(F.broadcast(spread).alias("s"), same("c", "s"), "left_semi")
+    dealt = cut(large.repartitionByRange(*key, *order).withColumn(part, F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy(*key, part).agg(F.count("*").alias("_n"))  # fewer than two a range and hot key
     before = F.sum("_n").over(Window.partitionBy(*key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
-    lifts = F.broadcast(several.select(*key, part, F.coalesce(before, F.lit(0)).alias(lift)))
-    local = F.row_number().over(Window.partitionBy(part, *key).orderBy(*order)) - 1
-    met = dealt.withColumn(name, local).alias("d").join(lifts.alias("l"), [*same("d", "l"), F.col(f"d.{part}") == F.col(f"l.{part}")], "left")
-    return met.select(*[F.col(f"d.{c}").alias(c) for c in df.columns], (F.col(f"d.{name}") + F.coalesce(lift, F.lit(0))).cast("long").alias(name))
+    lifts = F.broadcast(counts.select(*key, part, F.coalesce(before, F.lit(0)).alias(lift)))
+    met = dealt.withColumn(name, local(dealt, part)).alias("d").join(lifts.alias("l"), [*same("d", "l", key), F.col(f"d.{part}") == F.col(f"l.{part}")])
+    lifted = met.select(*[F.col(f"d.{c}").alias(c) for c in df.columns], (F.col(f"d.{name}") + F.col(lift)).alias(name))
+    return lifted.unionByName(others.withColumn(name, local(others)))
 
 
 def running(df: DataFrame, key: Sequence[str], at: str, values: dict[str, tuple[str, Callable[[Column], Column], Callable[[Column, Column], Column]]]) -> DataFrame:

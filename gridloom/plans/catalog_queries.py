@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridloom.operators import chunks
@@ -266,6 +267,28 @@ def lineage_edges(spark, sf):
     return manifest.lineage(steps)
 
 
+#: Orders of a customer are made one from the one before, and from a part; every tenth customer's first one from the last.
+_DERIVED = """e as (select o_orderkey, o_custkey, lag(o_orderkey) over w as prev, first_value(o_orderkey) over w as first, last_value(o_orderkey) over (partition by o_custkey order by o_orderkey rows between unbounded preceding and unbounded following) as last from orders window w as (partition by o_custkey order by o_orderkey)),
+derived as (select concat('o', o_orderkey) as entity, concat('o', case when prev is not null then prev when o_custkey % 10 = 0 and last <> o_orderkey then last end) as source from e where prev is not null or (o_custkey % 10 = 0 and last <> o_orderkey)
+  union select concat('o', l_orderkey), concat('part', l_partkey % 50) from lineitem where l_linenumber = 1)"""
+
+
+@query("lineage_upstream", f"""with recursive {_DERIVED},
+up(entity, ancestor, distance, trail) as (select entity, source, 1, [entity, source] from derived
+  union all select up.entity, d.source, distance + 1, list_append(trail, d.source) from up join derived d on d.entity = up.ancestor where not list_contains(trail, d.source))
+select entity, ancestor, cast(min(distance) as bigint) as distance from up where entity <> ancestor group by 1, 2""")
+def lineage_upstream(spark, sf):
+    o = table(spark, sf, "orders")
+    by = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    name = lambda c: F.concat(F.lit("o"), c)
+    chain = o.select("o_orderkey", "o_custkey", F.lag("o_orderkey").over(by).alias("prev"), F.last("o_orderkey").over(whole).alias("last"))
+    back = F.when((F.col("o_custkey") % 10 == 0) & (F.col("last") != F.col("o_orderkey")), F.col("last"))
+    steps = chain.select(name("o_orderkey").alias("made"), name(F.coalesce("prev", back)).alias("used")).filter("used is not null")
+    steps = steps.unionByName(table(spark, sf, "lineitem").filter("l_linenumber = 1").select(name("l_orderkey").alias("made"), F.concat(F.lit("part"), F.col("l_partkey") % 50).alias("used")))
+    return manifest.upstream(manifest.derivations(steps.select(F.array("made").alias("outputs"), F.array("used").alias("inputs"))))
+
+
 _RUNS = "(select o_orderkey as run, concat('wf', o_custkey % 7) as workflow, concat('user', o_custkey) as agent, o_orderdate as a, o_orderdate + interval 2 hour as b from orders)"
 
 

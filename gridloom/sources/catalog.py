@@ -58,11 +58,54 @@ def search(catalog: DataFrame, ids: list[str], start: str | None = None, end: st
     return hit.groupBy("ds_id").agg(F.sort_array(F.collect_list("path")).alias("paths"))
 
 
+#: Months that a node of one level has of the level below, and levels, which reach over 10,000 years.
+RADIX, LEVELS = 8, 6
+
+
+def month(time: Column) -> Column:
+    """Months since year 0 of an ISO text; rises with the text."""
+    return F.substring(time, 1, 4).cast("int") * 12 + F.substring(time, 6, 2).cast("int") - 1
+
+
+def nodes_over(first: Column, last: Column) -> Column:
+    """The fewest nodes (struct of level and number) that make up the months from first to last, each of which is in
+    exactly one of them: at each level those within the months whose parent is not."""
+    low = [F.ceil(first / RADIX**k).cast("long") for k in range(LEVELS)]
+    high = [F.floor((last + 1) / RADIX**k).cast("long") for k in range(LEVELS)]
+    run = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
+    named = lambda level, numbers: F.transform(numbers, lambda n: F.struct(F.lit(level).alias("level"), n.alias("number")))
+    out = []
+    for k in range(LEVELS):
+        if k + 1 == LEVELS:
+            numbers = run(low[k], high[k])
+        else:
+            above = low[k + 1] < high[k + 1]
+            numbers = F.when(above, F.concat(run(low[k], low[k + 1] * RADIX), run(high[k + 1] * RADIX, high[k]))).otherwise(run(low[k], high[k]))
+        out.append(named(k, numbers))
+    return F.concat(*out)
+
+
+def nodes_of(at: Column) -> Column:
+    """The node of each level that a month is in."""
+    return F.array(*[F.struct(F.lit(k).alias("level"), F.floor(at / RADIX**k).cast("long").alias("number")) for k in range(LEVELS)])
+
+
 def search_many(catalog: DataFrame, requests: DataFrame) -> DataFrame:
-    """The same for a table of requests (ds_id, start, end): an equi-join on the id with the overlap
-    as a further condition."""
+    """The same for a table of requests (ds_id, start, end).
+
+    Two intervals overlap if the file starts within the request, or the request starts within the file, but not with
+    or before it; so each pair is found once, as a point in an interval.  Points and intervals meet by
+    equality on id and node, an interval by the few nodes that make it up, a point by the node of each level; so an
+    id with very many files and requests is dealt by time, and only pairs that share a month's node meet."""
     r = requests.select(F.col("ds_id").alias("r_id"), F.coalesce("start", F.lit(FIRST_TIME)).alias("start"), F.coalesce("end", F.lit(LAST_TIME)).alias("end")).distinct()
-    return r.join(catalog, (F.col("r_id") == F.col("ds_id")) & overlap(F.col("start"), F.col("end"))).select("ds_id", "start", "end", "path")
+    own = ["ds_id", "start_time", "end_time", "path"]
+    files = catalog.select(*own)
+    asked = lambda nodes: r.withColumn("at", F.explode(nodes)).select("*", F.col("at.level").alias("r_level"), F.col("at.number").alias("r_number")).drop("at")
+    held = lambda nodes: files.withColumn("at", F.explode(nodes)).select("*", "at.level", "at.number").drop("at")
+    meet = (F.col("r_id") == F.col("ds_id")) & (F.col("r_level") == F.col("level")) & (F.col("r_number") == F.col("number")) & overlap(F.col("start"), F.col("end"))
+    after = asked(nodes_over(month(F.col("start")), month(F.col("end")))).join(held(nodes_of(month(F.col("start_time")))), meet & (F.col("start_time") >= F.col("start")))
+    before = asked(nodes_of(month(F.col("start")))).join(held(nodes_over(month(F.col("start_time")), month(F.col("end_time")))), meet & (F.col("start_time") < F.col("start")))
+    return after.unionByName(before).select("ds_id", "start", "end", "path")
 
 
 def status(catalog: DataFrame, requests: DataFrame) -> DataFrame:

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+import warnings
+
 import pyarrow as pa
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions.scratch import cut, discard
+from gridloom.operators.ranks import hot_keys, numbered, parted, running
+
 
 #: Bytes of one value, by type; texts are measured.
 WIDTH = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "date": 4, "float": 4}
@@ -55,10 +62,19 @@ def manifest_urls(xml: DataFrame, column: str = "xml") -> DataFrame:
 
 def compaction(files: DataFrame, target: int, key: str = "ds_id", order: str = "path", size: str = "size") -> DataFrame:
     """Group number of each file: in order, a file joins the group before it while the group's size
-    stays within ``target``.  Sizes below one byte count as one.  The files of a dataset pass through one task
-    in order, which holds the last group's number and size only."""
+    stays within ``target``.  Sizes below one byte count as one.
+
+    The files of a dataset pass through one task in order, which holds the last group's number and size only; those
+    of a dataset with more files than a task's share are grouped by pointers instead."""
     sized = files.select(key, order, F.greatest(F.lit(1), F.coalesce(F.col(size), F.lit(1))).cast("long").alias(size))
+    hot = hot_keys(sized, [key])
+    if hot is None:
+        return grouped_in_order(sized, target, key, order, size)
+    large, others = parted(sized, [key], hot)
+    return grouped_by_pointers(large, target, key, order, size).unionByName(grouped_in_order(others, target, key, order, size))
 
+
+def grouped_in_order(sized: DataFrame, target: int, key: str, order: str, size: str) -> DataFrame:
     def run(batches):
         last, group, total, some = None, 0, 0, False
         for batch in batches:
@@ -77,22 +93,89 @@ def compaction(files: DataFrame, target: int, key: str = "ds_id", order: str = "
     return sized.repartition(key).sortWithinPartitions(key, order, size).mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in (key, order, size)) + ", group_no int")
 
 
+def grouped_by_pointers(sized: DataFrame, target: int, key: str, order: str, size: str) -> DataFrame:
+    """The same without any task that holds a dataset.  From running sums each file knows the file at which the next
+    group would start if one started with it: sums and the bounds they may reach are put in one order, in which a
+    bound's place tells how many sums are below it.  Groups start at the files that can be reached from the first
+    one; pointers are doubled, so there are as many rounds as the number of groups has binary digits.  Keys are
+    not null here but for one that is: nulls count as a key of their own."""
+    rows = numbered(sized.withColumn("_k", F.struct(F.col(key).alias("k"))), ["_k"], [order, size], "_pos")
+    rows = cut(running(rows, ["_k"], "_pos", {"_before": (size, F.sum, lambda a, b: a + b)}).withColumn("_before", F.coalesce("_before", F.lit(0).cast("long"))), "running-sums")
+    sums = rows.select("_k", (F.col("_before") + F.col(size)).alias("_v"), F.lit(0).alias("_bound"), "_pos")
+    bounds = rows.select("_k", (F.col("_before") + target).alias("_v"), F.lit(1).alias("_bound"), "_pos")
+    placed = numbered(sums.unionByName(bounds), ["_k"], ["_v", "_bound", "_pos"], "_place").filter("_bound = 1")
+    # Of what lies before a bound, as many as its own position are bounds.
+    jump = cut(placed.select("_k", F.col("_pos"), F.greatest(F.col("_pos") + 1, F.col("_place") - F.col("_pos")).alias("_next")), "pointers")
+    starts = cut(rows.filter("_pos = 0").select("_k", "_pos"), "starts")
+    while True:
+        far = jump.select(F.col("_k").alias("_k2"), F.col("_pos").alias("_p2"), F.col("_next").alias("_n2"))
+        met = lambda df, at: df.join(far, (F.col("_k") == F.col("_k2")) & (F.col(at) == F.col("_p2")))
+        more = met(starts, "_pos").select("_k", F.col("_n2").alias("_pos")).join(rows.select("_k", "_pos"), ["_k", "_pos"], "left_semi")
+        grown = cut(starts.unionByName(more), "starts")
+        done = grown.count() == starts.count()
+        discard(starts)
+        starts = grown
+        if done:
+            break
+        doubled = cut(met(jump, "_next").select("_k", "_pos", F.col("_n2").alias("_next")), "pointers")
+        discard(jump)
+        jump = doubled
+    flagged = rows.join(starts.withColumn("_start", F.lit(1).cast("long")), ["_k", "_pos"], "left").withColumn("_start", F.coalesce("_start", F.lit(0).cast("long")))
+    counted = running(flagged, ["_k"], "_pos", {"_groups": ("_start", F.sum, lambda a, b: a + b)})
+    return counted.select(key, order, size, (F.coalesce("_groups", F.lit(0)) + F.col("_start") - 1).cast("int").alias("group_no"))
+
+
 def compact(spark: SparkSession, source: str, plan: DataFrame, out: str, key: str, order: str = "time", target: int = 2 << 30) -> DataFrame:
-    """Merge the files below ``source`` by the groups of ``plan`` (from ``compaction``), each in time order, to new
-    files below ``out``, of about ``target`` bytes a task.  The inputs stay; if the write fails, what it wrote
-    goes and the inputs are the result."""
+    """Merge the files below ``source`` by the groups of ``plan`` (from ``compaction``), each in time order and whole
+    in one task, to new files below ``out``, of about ``target`` bytes a task.  ``out`` must not exist yet; it
+    appears with all its files at once.  The inputs stay; if Spark can't write, they are the result, with a warning, and
+    what was written so far goes."""
     rows = spark.read.parquet(source)
+    at = lambda path: spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at(out).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(at(out)):
+        raise FileExistsError(out)
+    staged = f"{out.rstrip('/')}.staged-{uuid.uuid4().hex}"
     try:
         groups = plan.select(F.col("path").alias("_path"), "group_no")
         total = plan.agg(F.sum("size")).first()[0] or 0
         tasks = max(1, -(-total // target))
         merged = rows.withColumn("_from", F.col("_metadata.file_path")).join(groups, F.col("_from") == F.col("_path")).drop("_from", "_path")
-        merged.repartitionByRange(tasks, key, "group_no", order).sortWithinPartitions(key, "group_no", order).write.partitionBy(key, "group_no").mode("errorifexists").parquet(out)
-        return spark.read.parquet(out)
-    except Exception:
-        at = spark._jvm.org.apache.hadoop.fs.Path(out)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        merged.repartitionByRange(tasks, key, "group_no").sortWithinPartitions(key, "group_no", order).write.partitionBy(key, "group_no").mode("errorifexists").parquet(staged)
+    except PySparkException as why:
+        files.delete(at(staged), True)
+        warnings.warn(f"{source} was not merged, the inputs are the result: {str(why)[:200]}", stacklevel=2)
         return rows
+    if files.exists(at(out)) or not files.rename(at(staged), at(out)):
+        files.delete(at(staged), True)
+        raise FileExistsError(out)
+    return spark.read.parquet(out)
+
+
+def upstream(derived: DataFrame) -> DataFrame:
+    """(entity, ancestor, distance) of everything that each entity was made from, over any number of steps, from rows
+    (entity, source); distance is the least number of steps.
+
+    Pointers are doubled: after a round all pairs up to twice the distance are known.  A pair beyond has a middle at
+    exactly the last round's distance, so only those pairs are met with the known ones, and each round reads
+    what is new.  There are as many rounds as the greatest distance has binary digits.  An entity on a
+    cycle is no ancestor of itself, and a cycle ends the search as any other path does: it brings nothing new."""
+    pairs = derived.select(F.col("entity").cast("string").alias("entity"), F.col("source").cast("string").alias("ancestor"))
+    known = cut(pairs.filter("entity is not null and ancestor is not null and entity <> ancestor").distinct().withColumn("distance", F.lit(1).cast("long")), "lineage")
+    reach = 1
+    while True:
+        half = known.filter(F.col("distance") == reach)
+        rest = known.select(F.col("entity").alias("middle"), F.col("ancestor").alias("far"), F.col("distance").alias("more"))
+        met = half.join(rest, F.col("ancestor") == F.col("middle")).filter("entity <> far").groupBy("entity", F.col("far").alias("ancestor")).agg((F.min("more") + reach).alias("distance"))
+        new = cut(met.join(known.select("entity", "ancestor"), ["entity", "ancestor"], "left_anti"), "lineage")
+        if not new.limit(1).count():
+            return known
+        known, reach = cut(known.unionByName(new), "lineage"), 2 * reach
+
+
+def derivations(steps: DataFrame) -> DataFrame:
+    """(entity, source): each step's first output from its first input, of rows as ``lineage`` takes them."""
+    return steps.select(F.get("outputs", F.lit(0)).alias("entity"), F.get("inputs", F.lit(0)).alias("source"))
 
 
 def lineage_runs(runs: DataFrame, service: str, version: str) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from gridloom.operators import ranks
 
 
-def test_numbered(spark):
+@pytest.mark.parametrize("few", [100, 50_000])
+def test_numbered(spark, monkeypatch, few):
     """Positions within keys of which one has most rows."""
+    monkeypatch.setattr(ranks, "FEW", few)
     rows = [(k % 4 if k % 3 else 9, (k * 7919) % 5000, k) for k in range(5000)] + [(None, 3, -1), (9, None, -2)]
     df = spark.createDataFrame(rows, "key int, at int, row int").repartition(7)
     got = {r["row"]: r["n"] for r in ranks.numbered(df, ["key"], ["at", "row"], "n").collect()}

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import fixes, polygon, usage
+from gridloom.operators import fixes, polygon, ranks, usage
 from gridloom.sources import catalog, manifest
 
 
@@ -93,3 +94,63 @@ def test_requests_without_a_day_count_in_totals(spark):
     assert (got["total"], got["failed"], got["total_gib"], got["gib_per_request"]) == (3, 1, 3, 1.5)
     assert (got["min_requests_per_day"], got["max_requests_per_day"], got["median_requests_per_day"]) == (0, 1, 0.5)
     assert (got["median_duration"], got["max_concurrency"], got["median_gib_per_day"]) == (5400, 1, 1.5)
+
+
+def test_compaction_of_a_long_dataset(spark, monkeypatch):
+    """Datasets above a task's share are grouped by pointers; the plan is the same."""
+    rows = [(f"d{k % 3}" if k % 7 else None, f"p{k % 2000:05d}", (k * 7919) % 120 if k % 50 else 1000) for k in range(2500)]
+    files = spark.createDataFrame(rows, "ds_id string, path string, size long").repartition(7)
+    told = lambda df: sorted(map(tuple, df.collect()), key=str)
+    whole = told(manifest.compaction(files, 300))
+    monkeypatch.setattr(ranks, "FEW", 100)
+    monkeypatch.setattr(ranks, "SPAN", 64)
+    assert ranks.hot_keys(files, ["ds_id"]).count() == 4
+    assert told(manifest.compaction(files, 300)) == whole
+    assert told(manifest.compaction(files, 10**9)) == [(*r[:3], 0) for r in whole]
+
+
+def test_compaction_keeps_what_it_did_not_write(spark, tmp_path):
+    df = cells(spark, 500)
+    df.repartition(4).write.parquet(f"file://{tmp_path}/in")
+    plan = manifest.files_of(spark.read.parquet(f"file://{tmp_path}/in").withColumn("k", F.lit("a"))).withColumn("group_no", F.lit(0)).cache()
+    kept = tmp_path / "there"
+    kept.mkdir()
+    (kept / "note.txt").write_text("mine")
+    with pytest.raises(FileExistsError):
+        manifest.compact(spark, f"file://{tmp_path}/in", plan, f"file://{kept}", "name", "time")
+    assert (kept / "note.txt").read_text() == "mine" and len(list(tmp_path.iterdir())) == 2
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        manifest.compact(spark, f"file://{tmp_path}/none", plan, f"file://{tmp_path}/out", "name", "time")
+    with pytest.warns(UserWarning, match="not merged"):
+        got = manifest.compact(spark, f"file://{tmp_path}/in", plan, f"file://{tmp_path}/out", "no_such_column", "time")
+    assert got.count() == 500 and [p.name for p in sorted(tmp_path.iterdir())] == ["in", "there"]
+    # A group is one file, however small the tasks.
+    merged = manifest.compact(spark, f"file://{tmp_path}/in", plan, f"file://{tmp_path}/out", "name", "time", target=100)
+    assert manifest.files_of(merged).count() == 1 and merged.count() == 500
+
+
+def plain_upstream(edges):
+    above = {}
+    for e, s in edges:
+        above.setdefault(e, set()).add(s)
+    out = set()
+    for e in above:
+        seen, last, d = {e}, {e}, 0
+        while last:
+            d += 1
+            last = {s for x in last for s in above.get(x, ())} - seen
+            seen |= last
+            out |= {(e, s, d) for s in last}
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_upstream(spark, seed):
+    """Chains, fans and cycles against a search from each entity."""
+    r = random.Random(seed)
+    edges = [(f"c{k}", f"c{k - 1}") for k in range(1, 40)] + [(f"n{r.randrange(40)}", f"n{r.randrange(40)}") for _ in range(50)]
+    edges += [("c0", "c39") if seed else ("c0", "root"), ("self", "self"), ("n1", "c20"), ("n1", "c20")]
+    df = spark.createDataFrame([*edges, (None, "x"), ("x", None)], "entity string, source string").repartition(4)
+    got = list(map(tuple, manifest.upstream(df).collect()))
+    assert len(got) == len(set(got)) and set(got) == plain_upstream(edges)
+    assert manifest.upstream(df.limit(0)).count() == 0
