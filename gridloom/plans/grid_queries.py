@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from gridloom.functions.params import Components, Grid, Time
@@ -276,6 +277,28 @@ def average_shape(spark, sf):
     return polygon.average_shape(g.drop("time"), polygon.edges(spark, SHAPES)).select("geom", "realization", "level", r6().alias("value"))
 
 
+@query("average_shape_exact", GRID + f""", e(geom, x1, y1, x2, y2) as (select column0, cast(column1 as double), cast(column2 as double), cast(column3 as double), cast(column4 as double) from (values {_edge_rows()}) v(column0, column1, column2, column3, column4)),
+c as (select lat, lon, lat - 2.5 as c, lat + 2.5 as d, lon + turn - 2.5 as a, lon + turn + 2.5 as b from (select distinct lat from grid_cells), (select distinct lon from grid_cells), (values (-360), (0)) t(turn)),
+p as (select geom, lat, lon, radians(c) as c, radians(d) as d, sign(x2 - x1) as s, radians(greatest(a, least(x1, x2))) as xa, radians(least(b, greatest(x1, x2))) as xb,
+  radians(y1 + (y2 - y1) / (x2 - x1) * (greatest(a, least(x1, x2)) - x1)) as ya, radians(y1 + (y2 - y1) / (x2 - x1) * (least(b, greatest(x1, x2)) - x1)) as yb from e, c where x1 <> x2 and least(b, greatest(x1, x2)) > greatest(a, least(x1, x2))),
+h as (select *, case when ya < c then sin(c) * (ya - c) when ya > d then cos(c) - cos(d) + sin(d) * (ya - d) else cos(c) - cos(ya) end as ha, case when yb < c then sin(c) * (yb - c) when yb > d then cos(c) - cos(d) + sin(d) * (yb - d) else cos(c) - cos(yb) end as hb from p),
+g as (select geom, lat, lon, abs(sum(s * (xb - xa) * (case when abs(yb - ya) < 1e-14 then sin(greatest(c, least(d, ya))) else (hb - ha) / (yb - ya) end - sin(c)))) as area from h group by 1, 2, 3)
+select geom, realization, level, round(sum(area * value) / sum(case when value is not null then area end), 6) as value from grid_cells join g using (lat, lon) where area > 1e-12 group by 1, 2, 3""")
+def average_shape_exact(spark, sf):
+    g = grid_cells(spark, sf).drop("dataset_id", "variable", "time")
+    return polygon.average_shape_exact(g, polygon.oriented(spark, SHAPES)).select("geom", "realization", "level", r6().alias("value"))
+
+
+@query("shape_areas", f"""with e(geom, x1, y1, x2, y2) as (select column0, radians(column1), radians(column2), radians(column3), radians(column4) from (values {_edge_rows()}) v(column0, column1, column2, column3, column4)),
+n as (select count(distinct l_partkey % 36) as rows from lineitem)
+select geom, round(abs(sum((x2 - x1) * case when y1 = y2 then sin(y1) else (cos(y1) - cos(y2)) / (y2 - y1) end)), 9) as area from e, n where rows = 36 group by 1""")
+def shape_areas(spark, sf):
+    """What a shape has of all cells adds up to its area on the sphere, if the cells cover the sphere."""
+    lats = regrid.positions(grid_cells(spark, sf), "lat")
+    found = polygon.areas(spark, lats, [2.5 + 5 * k for k in range(72)], polygon.oriented(spark, SHAPES))
+    return found.groupBy("geom").agg(F.round(F.sum("area"), 9).alias("area"))
+
+
 #: One shape with a hole, and one of two parts.
 HOLED = """{"type": "FeatureCollection", "features": [
 {"type": "Feature", "properties": {"name": "ring"}, "geometry": {"type": "Polygon", "coordinates": [[[10, -40], [60, -40], [60, 40], [10, 40], [10, -40]], [[20, -20], [40, -20], [40, 20], [20, 20], [20, -20]]]}},
@@ -290,6 +313,53 @@ def average_shape_parts(spark, sf):
     return polygon.average_shape(g, polygon.edges(spark, polygon.from_geojson(HOLED))).select("geom", "realization", "level", r6().alias("value"))
 
 
+# ---- remapping from uneven axes and from positions that are no axes -----------------------------
+
+#: Gaussian latitudes of 36 rows: the zeros of a Legendre polynomial, from south to north.
+GAUSS = [round(float(x), 6) for x in np.degrees(np.arcsin(np.polynomial.legendre.leggauss(36)[0]))]
+#: The mean map on these latitudes, and without the longitudes of a sector.
+_UNEVEN = f", u as (select ([{', '.join(map(str, GAUSS))}])[cast((lat + 87.5) / 5 as int) + 1] as lat, lon, value from m where lon not between 100 and 150)"
+_AXIS = """, plat as (select lat, row_number() over (order by lat) as k from (select distinct lat from u)), plon as (select lon + turn as place, lon, row_number() over (order by lon + turn) as k from (select distinct lon from u), (values (-360), (0), (360)) t(turn))"""
+_WEIGHTED = """, s as (select tlat, tlon, sum(wy * wx * value) as v, sum(case when value is not null then wy * wx end) as g, sum(wy * wx) as w from u join wlat using (lat) join wlon using (lon) group by 1, 2)
+select tlat as lat, tlon as lon, round(case when g / w >= 0.5 - 1e-9 then v / g end, 6) as value from s"""
+
+
+def _uneven(spark, sf):
+    row = ((F.col("lat") + 87.5) / 5).cast("int")
+    return _mean_map(spark, sf).filter("lon not between 100 and 150").withColumn("lat", F.element_at(F.array(*[F.lit(x) for x in GAUSS]), row + 1))
+
+
+def _regrid_uneven(method: str, grid: str):
+    return lambda spark, sf: regrid.regrid(_uneven(spark, sf), grid, method).select("lat", "lon", r6().alias("value"))
+
+
+query("regrid_nearest_uneven", GRID + ", " + _MEAN + _AXES.format(d="4.0") + _UNEVEN + _AXIS + """,
+wlat as (select tlat, arg_min(lat, {'d': round(abs(lat - tlat), 9), 'p': lat}) as lat, 1.0 as wy from tlat, plat group by 1), wlon as (select tlon, arg_min(lon, {'d': round(abs(place - tlon), 9), 'p': place}) as lon, 1.0 as wx from tlon, plon group by 1)""" + _WEIGHTED)(_regrid_uneven("nearest_s2d", "4"))
+query("regrid_bilinear_uneven", GRID + ", " + _MEAN + _AXES.format(d="4.0") + _UNEVEN + _AXIS + """,
+clat as (select tlat, greatest((select min(lat) from plat), least((select max(lat) from plat), tlat)) as x from tlat),
+blat as (select tlat, x, max(case when lat <= x then lat end) as a, min(case when lat > x then lat end) as b from clat, plat group by 1, 2),
+wlat as (select tlat, a as lat, case when b is null then 1.0 else 1 - (x - a) / (b - a) end as wy from blat where b is null or (x - a) / (b - a) < 1 - 1e-12 union all select tlat, b, (x - a) / (b - a) from blat where b is not null and (x - a) / (b - a) > 1e-12),
+blon as (select tlon, max(case when place <= tlon then place end) as a, min(case when place > tlon then place end) as b from tlon, plon group by 1),
+wlon as (select tlon, lon, 1 - (tlon - a) / (b - a) as wx from blon join plon on place = a union all select tlon, lon, (tlon - a) / (b - a) from blon join plon on place = b where (tlon - a) / (b - a) > 1e-12)""" + _WEIGHTED)(_regrid_uneven("bilinear", "4"))
+query("regrid_conservative_uneven", GRID + ", " + _MEAN + _AXES.format(d="12.0") + _UNEVEN + _AXIS + """,
+elat as (select lat, coalesce((lat + lag(lat) over w) / 2, lat - (lead(lat) over w - lat) / 2) as a, coalesce((lat + lead(lat) over w) / 2, lat + (lat - lag(lat) over w) / 2) as b from plat window w as (order by lat)),
+elon as (select lon, (place + lag(place) over w) / 2 as a, (place + lead(place) over w) / 2 as b from plon window w as (order by place)),
+wlat as (select tlat, lat, sin(radians(least(90, tlat + 6, b))) - sin(radians(greatest(-90, tlat - 6, a))) as wy from tlat, elat where least(90, tlat + 6, b) - greatest(-90, tlat - 6, a) > 1e-12),
+wlon as (select tlon, lon, sum(least(tlon + 6, b) - greatest(tlon - 6, a)) as wx from tlon, elon where a is not null and b is not null and least(tlon + 6, b) - greatest(tlon - 6, a) > 1e-12 group by 1, 2)""" + _WEIGHTED)(_regrid_uneven("conservative", "12"))
+
+#: A bent grid, whose positions are pairs.
+BENT = {"lat": "round(lat * 0.95 + 3 * sin(radians(lon)), 6)", "lon": "round(lon + 8 * cos(radians(2 * lat)), 6)"}
+
+
+@query("regrid_curvilinear", GRID + ", " + _MEAN + _AXES.format(d="6.0") + f""", u as (select {BENT['lat']} as lat, {BENT['lon']} as lon, value from m),
+p as (select lat, lon, value, cos(radians(lat)) * cos(radians(lon)) as x, cos(radians(lat)) * sin(radians(lon)) as y, sin(radians(lat)) as z from u),
+t as (select tlat, tlon, cos(radians(tlat)) * cos(radians(tlon)) as a, cos(radians(tlat)) * sin(radians(tlon)) as b, sin(radians(tlat)) as c from tlat, tlon)
+select tlat as lat, tlon as lon, round(arg_min(value, {{'d': round(sqrt((x - a) * (x - a) + (y - b) * (y - b) + (z - c) * (z - c)), 12), 'p': lat, 'l': lon}}), 6) as value from t, (select lat, lon, x, y, z, coalesce(value, -999) as value from p) group by 1, 2""")
+def regrid_curvilinear(spark, sf):
+    bent = _mean_map(spark, sf).select(*[F.expr(e) for e in BENT.values()], F.coalesce("value", F.lit(-999.0)).alias("value")).toDF(*BENT, "value")
+    return regrid.regrid_scattered(bent, "6").select("lat", "lon", r6().alias("value"))
+
+
 # ---- workflows -------------------------------------------------------------------------------
 
 

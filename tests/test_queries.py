@@ -14,7 +14,7 @@ from gridloom.plans import registry
 from .conftest import DATA
 
 #: The smallest tables have ten longitudes only, and the SQL of these counts on all 72.
-LARGER = {"regrid_nearest", "regrid_bilinear"}
+LARGER = {"regrid_nearest", "regrid_bilinear", "regrid_nearest_uneven", "regrid_bilinear_uneven", "regrid_conservative_uneven"}
 
 
 def plain(value):
