@@ -66,7 +66,7 @@ class WordHashes(dict):
 
         value = xxhash.xxh64_intdigest(word)
         if len(word) <= 64:
-            if len(self) > 400_000:
+            if len(self) > 100_000:
                 self.clear()
             self[word] = value
         return value
