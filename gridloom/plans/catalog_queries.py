@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from gridloom.functions.names import averaged
+from gridloom.functions.scratch import cut, shared_folder
 from gridloom.operators import chunks
 from gridloom.plans.fixtures import CAT, FILES, GRID, catalog_files, dataset_files, grid_cells, table
 from gridloom.plans.registry import query
-from gridloom.sources import catalog, manifest
+from gridloom.sources import catalog, manifest, publish
+from gridloom.sources.archive import Archive, pushed_down
 
 #: Shapes of paths that a catalog may hold, by the file's size (test data for format and transport).
 _PATH = "case cast(size % 7 as int) when 0 then concat('s3://bucket/', path) when 1 then concat('https://host.org/', path, '.zarr/?v=1') when 2 then concat('reference://', path) when 3 then concat('/data/', path, '.json') when 4 then concat('file:///data/', path) when 5 then concat('ftp://host.org/', path) else concat('/data/', path) end"
@@ -38,6 +41,16 @@ def source_normalise(spark, sf):
     return catalog.sources(files).select("source", F.array_join("paths", ",").alias("paths"))
 
 
+#: Sources of two projects that differ in what they hold: the shapes of paths follow the file's size.
+_SOURCES = _PATHS.rstrip() + f", shaped as (select concat(ds_id, '-', project, '-', cast(length(path) % 4 as varchar)) as ds_id, path from paths), told as (select ds_id, count(*) as n, count(distinct {_TRANSPORT.format(p='path')}) as transports, bool_or({_FORMAT.format(p='path')} <> 'netcdf') as store from shaped group by 1)\n"
+
+
+@query("source_faults", _SOURCES + "select ds_id as source, n as paths, case when transports > 1 then 'mixed transports' when store and n > 1 then 'several stores' end as fault from told")
+def source_faults(spark, sf):
+    files = _shaped(spark, sf).withColumn("ds_id", F.concat_ws("-", "ds_id", "project", (F.length("path") % 4).cast("string")))
+    return catalog.sources(files).select("source", F.size("paths").cast("long").alias("paths"), "fault")
+
+
 @query("catalog_normalise", CAT + "select project, ds_id, path, start_time, end_time, size from catalog")
 def catalog_normalise(spark, sf):
     return catalog.normalise(catalog_files(spark, sf)).select("project", "ds_id", "path", "start_time", "end_time", "size")
@@ -184,13 +197,9 @@ def compact_plan(spark, sf):
 
 
 def _folder(spark) -> str:
-    import tempfile
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="gridloom-") if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/gridloom/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/gridloom/{uuid.uuid4().hex}"
 
 
 @query("write_by_year", GRID + "select cast(year(time) as int) as year, count(*) as n, round(sum(value), 6) as total from grid_cells group by 1")
@@ -219,6 +228,36 @@ def write_by_month(spark, sf):
     return spark.read.parquet(out).groupBy("year", "month").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
 
 
+@query("written_names", GRID.rstrip() + ", named as (select concat('tas_day_MODEL', regexp_extract(dataset_id, 'MODEL(\\d+)', 1), '_hindcast_s1994-r', regexp_extract(dataset_id, '-r(\\d+)i', 1), 'i1p1f1_gn_', strftime(min(time) over w, '%Y%m%d'), '-', strftime(max(time) over w, '%Y%m%d'), '_avg-x.nc') as output, value from grid_cells window w as (partition by dataset_id, year(time))) select output, count(*) as n, round(sum(value), 6) as total from named group by 1")
+def written_names(spark, sf):
+    """Outputs named by facets, period and what was done, as they are found on disk."""
+    out = _folder(spark)
+    manifest.write_named(grid_cells(spark, sf), out, averaged(["lon"]), "year", 512_000)
+    return spark.read.parquet(out).groupBy("output").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+
+
+@query("archive_years", "select cast(year(l_shipdate) as bigint) as year, count(*) as n, round(sum(l_quantity), 2) as total from lineitem where year(l_shipdate) between 1995 and 1996 group by 1")
+def archive_years(spark, sf):
+    """Two years of an archive whose files tell their years: Spark plans the files of these alone."""
+    out = _folder(spark)
+    rows = table(spark, sf, "lineitem").select(F.lit("tas.day").alias("dataset_id"), F.col("l_shipdate").alias("time"), F.year("l_shipdate").cast("long").alias("year"), F.col("l_quantity").cast("double").alias("value"))
+    manifest.write_named(rows, out, most_bytes=1 << 20)
+    spark.dataSource.register(Archive)
+    with pushed_down(spark):
+        found = spark.read.format("archive").load(out).filter("year >= 1995 and year < 1997")
+        return cut(found.groupBy("year").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")), "archive-years")
+
+
+@query("published", "select cast(year(o_orderdate) as int) as year, count(*) as n, round(sum(o_totalprice), 2) as total, cast(2 as bigint) as version from orders group by 1")
+def published(spark, sf):
+    """A table's second version; the first holds one year less, and the second is published twice."""
+    out, orders = _folder(spark), table(spark, sf, "orders").withColumn("year", F.year("o_orderdate"))
+    publish.publish(orders.filter("year > 1992"), out, "first", base=0, partition_by=["year"])
+    publish.publish(orders, out, "second", base=1, partition_by=["year"])
+    version = publish.publish(orders, out, "second", partition_by=["year"])
+    return publish.read(spark, out).groupBy("year").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")).withColumn("version", F.lit(version).cast("long"))
+
+
 @query("written_manifest", "select concat('y', cast(year(o_orderdate) as varchar)) as dataset_id, count(*) as n, true as sized from orders group by 1")
 def written_manifest(spark, sf):
     """The manifest of files that were written: what each dataset's files hold, and that all have a size."""

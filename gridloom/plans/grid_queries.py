@@ -60,6 +60,29 @@ def concat_time_exact(spark, sf):
     return ensemble.concat_time_exact(grid_cells(spark, sf).withColumn("file", F.year("time")))
 
 
+#: Positions in coarse boxes, so that the files of a year differ in a few places only.
+_BOXES = GRID.rstrip() + """, files as (select dataset_id, cast(year(time) as int) as file, time, cast(lat + 90 as int) // 30 as lat, cast(lon as int) // 45 as lon, level, value from grid_cells),
+sig as (select dataset_id, file, coordinate, string_agg(distinct cast(p as varchar), ';' order by cast(p as varchar)) as s from (select dataset_id, file, 'lat' as coordinate, lat as p from files union all select dataset_id, file, 'lon', lon from files union all select dataset_id, file, 'level', level from files) group by 1, 2, 3),
+faults as (select a.dataset_id, a.file, a.coordinate from sig a join sig b on a.dataset_id = b.dataset_id and a.coordinate = b.coordinate and b.file = (select min(file) from files f where f.dataset_id = a.dataset_id) where a.s <> b.s)
+"""
+
+
+def _boxes(spark, sf):
+    lat, lon = F.floor((F.col("lat") + 90).cast("int") / 30), F.floor(F.col("lon").cast("int") / 45)
+    return grid_cells(spark, sf).select("dataset_id", F.year("time").alias("file"), "time", lat.alias("lat"), lon.alias("lon"), "level", "value")
+
+
+@query("concat_time_faults", _BOXES + "select * from faults")
+def concat_time_faults(spark, sf):
+    return ensemble.concat_faults(_boxes(spark, sf))
+
+
+@query("concat_time_rows", _BOXES + f"select dataset_id, {dts('time')}, lat, lon, level, count(*) as n, round(sum(value), 6) as total from files where dataset_id not in (select dataset_id from faults) group by all")
+def concat_time_rows(spark, sf):
+    rows = ensemble.concat_time(_boxes(spark, sf), strict=False)
+    return rows.groupBy("dataset_id", ts("time"), "lat", "lon", "level").agg(F.count("*").alias("n"), r6(F.sum("value")).alias("total"))
+
+
 @query("subset_collection", GRID + "select dataset_id, count(*) as n, round(avg(value), 6) as value from grid_cells where time >= timestamp '1997-01-01' and time <= timestamp '1997-12-31 23:59:59' group by dataset_id")
 def subset_collection(spark, sf):
     return select.subset(grid_cells(spark, sf), time="1997/1997").groupBy("dataset_id").agg(F.count("*").alias("n"), r6(F.avg("value")).alias("value"))

@@ -38,10 +38,13 @@ def parse(lines: DataFrame) -> DataFrame:
     return out.filter("ip_number > 0 and datetime is not null and status_code is not null and size is not null")
 
 
-def downloads(lines: DataFrame, output: str = "/outputs", start: str | None = None, end: str | None = None) -> DataFrame:
-    """Parsed downloads of ``.nc`` files below ``output``; other lines go before they are parsed."""
+def downloads(lines: DataFrame, output: str = "/outputs", start: str | None = None, end: str | None = None, required: bool = False) -> DataFrame:
+    """Parsed downloads of ``.nc`` files below ``output``; other lines go before they are parsed.  If they are
+    ``required``, a log without any such download is an error, whatever the interval; a stream can't tell."""
     wanted = lines.filter(F.col("line").rlike(f'"GET {output}/.*/.*\\.nc[ "?]'))
     out = parse(wanted)
+    if required and not out.limit(1).count():
+        raise ValueError(f"no downloads below {output} in the log")
     if start:
         out = out.filter(F.col("datetime") >= F.lit(start).cast("timestamp_ntz"))
     return out.filter(F.col("datetime") <= F.lit(end).cast("timestamp_ntz")) if end else out

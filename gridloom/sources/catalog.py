@@ -34,6 +34,16 @@ def sources(files: DataFrame) -> DataFrame:
     return out.select("source", "ds_id", "paths", format_of(first).alias("format"), transport_of(first).alias("transport"), fault.alias("fault"))
 
 
+def usable(files: DataFrame) -> DataFrame:
+    """``sources`` that may be read: no file at all is an error, and so is a source with a fault, which is named."""
+    found = sources(files)
+    if not (one := found.orderBy(F.col("fault").isNull(), "source").first()):
+        raise ValueError("a source needs at least one path")
+    if one["fault"]:
+        raise ValueError(f"{one['source']}: {one['fault']}")
+    return found
+
+
 def normalise(files: DataFrame) -> DataFrame:
     """Open or ``undefined`` times become the widest bounds."""
     bound = lambda c, v: F.coalesce(F.nullif(F.col(c), F.lit("undefined")), F.lit(v))
