@@ -1,14 +1,16 @@
 """License scans: MinHash bands over overlapping text windows retrieve templates, exact shingle
 containment verifies them.
 
-Texts are cut into windows of ``WINDOW`` words at every ``STRIDE`` words, so a template's passage of up
-to ``WINDOW - STRIDE + 1`` words lies whole in some window.  A window's relevant shingles are those
-that any template has (all others can't add to a containment); only windows that have some are
-hashed.  Bands have one row each: a window whose relevant shingles have Jaccard similarity j with
-a template's collides in some band with probability 1 - (1 - j) ** BANDS: over 0.99998 at j = 0.5
-with 16 bands, and over 0.97 where two further notices share the window (j = 0.2).
-Long templates are indexed by pieces, cut likewise.  Verification is exact: of the template's shingles,
-as words, the whole document's matching windows hold a share of ``CONTAINED`` or more, and of those
+Windows are graded by the size of what is looked for: a template, or a piece of a long one, of n to 1.5 n shingles
+is looked for in windows of twice as many shingles, one starting at every half window; so a passage of its size lies
+whole in some window, and a short notice fills its window whatever stands next to it.  A window is made of its
+relevant shingles, those that any template has (all others can't add to a containment); where a text has none
+there is no window.  Bands have one row each: if a passage holds ``CONTAINED`` of a piece's m shingles, its window's
+Jaccard similarity with the piece is at least j = 0.7 m / (3 m + 0.3 m), where all else in the window is relevant
+too, and at least 0.7 where nothing else is; it collides in some of the bands with probability 1 - (1 - j) ** BANDS:
+0.9995 at the worst.  Long templates are cut into pieces one after the other, of which one at least is held as far
+as the whole.  Verification is exact: of the template's shingles, as words, the whole
+document holds a share of ``CONTAINED`` or more, and of those
 that a related license does not have ``OWN`` or more, for each such license; so inexact copies count, and
 versions and variants stay apart.  A template that lies whole within a found template of another
 license (the first sentence of BSD texts) adds nothing.  A license's containment is its best template's.
@@ -17,8 +19,9 @@ What is found are the listed wordings, up to such changes: a license named in ot
 license without its version, is not.
 
 Edge cases: null and empty texts match nothing.  Null ids and repeated rows are told apart by
-id and text hash; one row per input row.  Empty tables give empty results; other columns are
-ignored.
+id and text hash; one row per input row.  Very long texts are cut up in time in proportion to their length; only
+relevant shingles leave them.  Containments that tie give the same names, which are in order.  Empty tables give empty
+results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +33,9 @@ from pyspark.sql import functions as F
 
 from gridloom.llm._common import LOWER, UPPER, cut, lower_ascii, pinned, small
 
-SHINGLE, WINDOW, STRIDE, BANDS, CONTAINED, OWN = 3, 48, 24, 16, 0.7, 0.5
+SHINGLE, BANDS, CONTAINED, OWN = 3, 32, 0.7, 0.5
+#: Most shingles of a piece, by grade; a grade's windows have twice as many.
+GRADES = (2, 3, 4, 6, 9, 13, 20, 30)
 BETWEEN = "[^0-9A-Za-z]+"
 
 #: Short notices by which licenses are applied (fixed values).
@@ -130,9 +135,15 @@ def _shingles(words):
 
 
 def _pieces(words: list[str]) -> list[list[str]]:
-    """Shingles of each window of a template."""
-    cuts = [words[i : i + WINDOW] for i in range(0, max(len(words) - STRIDE, 1), STRIDE)]
-    return [sorted({" ".join(w[i : i + SHINGLE]) for i in range(max(len(w) - SHINGLE + 1, 1))}) for w in cuts]
+    """Shingles of a template, or of near-equal pieces of a long one, in order."""
+    found = [" ".join(words[i : i + SHINGLE]) for i in range(max(len(words) - SHINGLE + 1, 1))]
+    count = -(-len(found) // GRADES[-1])
+    cuts = [len(found) * k // count for k in range(count + 1)]
+    return [sorted(set(found[i:j])) for i, j in zip(cuts, cuts[1:], strict=False)]
+
+
+def grade_of(piece: list[str]) -> int:
+    return next(g for g in GRADES if len(piece) <= g)
 
 
 def templates(texts: dict[str, str] | None = None) -> list[tuple[str, list[list[str]]]]:
@@ -176,20 +187,23 @@ def scan(docs: DataFrame, texts: dict[str, str] | None = None, id_col: str = "do
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     docs = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     words = docs.select("doc_id", "th", pinned(_words(F.col("text"))).alias("w"))
-    hashed = words.withColumn("s", pinned(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - SHINGLE, F.lit(0))), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))))
+    n = F.greatest(F.size("w") - SHINGLE, F.lit(0))
+    hashed = words.withColumn("s", pinned(F.transform(F.sequence(F.lit(0), n), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))))
     singles = spark.createDataFrame([(s,) for s in listed] or [("",)], "s string").select(F.split("s", " ").alias("w"))
     numbers = [r[0] for r in singles.select(F.xxhash64(F.get("w", F.lit(0)), F.get("w", F.lit(1)), F.get("w", F.lit(2)))).collect()]
     # Tests of membership in a list of literals are lookups in a hash set.
-    some = hashed.withColumn("hits", pinned(F.filter("s", lambda x: x.isin(sorted(set(numbers)))))).filter("size(hits) > 0").drop("s", "hits")
-    at = F.sequence(F.lit(0), F.greatest(F.size("w") - STRIDE - 1, F.lit(0)), F.lit(STRIDE))
-    windows = some.select("doc_id", "th", F.explode(F.transform(at, lambda i: F.slice("w", i + 1, F.lit(WINDOW)))).alias("w")).withColumn("x", pinned(_shingles("w")))
-    relevant = F.array_distinct(F.filter("x", lambda s: s.isin(listed or [""])))
-    windows = cut(windows.select("doc_id", "th", pinned(relevant).alias("x")).filter("size(x) > 0"), "windows")
-    probes = windows.select("doc_id", "th", "x", F.explode(_bands("x")).alias("b")).select("doc_id", "th", "x", "b.band", "b.least")
-    pieces = spark.createDataFrame([(t, p) for t, (_, ps) in enumerate(known) for p in ps], "template int, shingles array<string>")
-    index = pieces.select("template", F.explode(_bands("shingles")).alias("b")).select("template", F.col("b.band").alias("band"), F.col("b.least").alias("least"))
-    met = probes.join(F.broadcast(index), ["band", "least"]).select(F.col("doc_id").alias("i"), F.col("th").alias("k"), "template").distinct()
-    each = windows.join(met, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("k"))).select("doc_id", "th", "template", F.explode("x").alias("s")).distinct()
+    some = hashed.withColumn("at", pinned(F.filter(F.transform("s", lambda x, i: F.when(x.isin(sorted(set(numbers))), i)), lambda i: i.isNotNull()))).filter("size(at) > 0")
+    hits = some.select("doc_id", "th", F.explode(F.transform("at", lambda i: F.struct(i.alias("i"), F.array_join(F.slice("w", i + 1, F.lit(SHINGLE)), " ").alias("s")))).alias("hit"))
+    hits = cut(hits.select("doc_id", "th", "hit.i", "hit.s").filter(F.col("s").isin(listed or [""])), "hits")
+    # Windows of a grade begin at every multiple of it, so a hit lies in two of them.
+    in_windows = F.explode(F.array(*[F.struct(F.lit(g).alias("grade"), (F.floor(F.col("i") / g) - k).alias("window")) for g in GRADES for k in (0, 1)]))
+    windows = hits.withColumn("v", in_windows).groupBy("doc_id", "th", "v.grade", "v.window").agg(F.collect_set("s").alias("x"))  # two grades' worth at most
+    probes = windows.select("doc_id", "th", "grade", F.explode(_bands("x")).alias("b")).select("doc_id", "th", "grade", "b.band", "b.least")
+    pieces = spark.createDataFrame([(t, grade_of(p), p) for t, (_, ps) in enumerate(known) for p in ps], "template int, grade int, shingles array<string>")
+    index = pieces.select("template", "grade", F.explode(_bands("shingles")).alias("b")).select("template", "grade", F.col("b.band").alias("band"), F.col("b.least").alias("least"))
+    met = probes.join(F.broadcast(index), ["grade", "band", "least"]).select(F.col("doc_id").alias("i_id"), F.col("th").alias("k"), "template").distinct()
+    distinct = hits.select("doc_id", "th", "s").distinct()
+    each = distinct.join(met, F.col("doc_id").eqNullSafe(F.col("i_id")) & (F.col("th") == F.col("k"))).select("doc_id", "th", "template", "s")
     rows, within = tests_of(known)
     tests = spark.createDataFrame(rows, "t int, license string, part int, shingle string, n int, need double, parts int")
     found = each.join(F.broadcast(tests), (F.col("template") == F.col("t")) & (F.col("s") == F.col("shingle"))).groupBy("doc_id", "th", "t", "part").agg(F.first("license").alias("license"), (F.count("*") / F.max("n")).alias("share"), F.max("need").alias("need"), F.max("parts").alias("parts"))
