@@ -2,10 +2,11 @@
 records are range-partitioned by them, and ranges that hold a shard boundary are subdivided
 exactly, so shards get near-equal bytes (law ``bytes``).
 
-The key is (hash of the text, id): equal texts lie side by side.  A group of equal texts that is no
-larger than a shard goes to one shard; only larger groups are subdivided, by id.  Groups of more than
+The key is (hash of the text, id): equal texts lie side by side.  Groups of more than
 ``PART`` of a shard, of which there are less than ``shards / PART``, are dealt first, the largest first to
-the emptiest shard; all others fill what room is left, in the order of the keys.
+the emptiest shard.  A group stays whole where that shard then holds ``FULL`` of the mean at most; one that would
+lift it above that is subdivided, by id, like all other records, which fill what room is left, in the order of the
+keys.  So the law holds however many groups there are of a size near a shard's.
 
 Edge cases: null text has 0 bytes; null ids sort first; equal rows tie, and any order of them
 gives the same result rows.  A very long text is one record, which no law divides.  Empty tables give
@@ -26,6 +27,10 @@ SHARDS, OVERHEAD, SEED = 40, 16, 29
 FINE, RANGE_BYTES, SAMPLE = 24, 1 << 30, 40
 #: Groups of equal texts above this part of a shard are placed one by one.
 PART = 0.01
+#: What a shard may hold, in parts of the mean, for a group to stay whole in it.
+FULL = 1.02
+#: Sample keys in all, beyond which a range has fewer; but never fewer than ``LEAST``.
+DRAWN, LEAST = 400_000, 8
 
 
 def size_of(text: str) -> Column:
@@ -59,10 +64,10 @@ def _ranged(df: DataFrame, lookup: DataFrame) -> DataFrame:
 def splitters(keys: DataFrame, total: int, count: int, heavy: set[int]) -> list[tuple[int, int]]:
     """keys: (_h, _i, _n).  Up to ``count - 1`` boundaries between ranges of near-equal size, from a
     sample in which a record's chance follows its size: each distinct key once, so about ``count * SAMPLE``
-    of them reach the driver.  Boundaries lie between different hashes, except within one that is heavy."""
+    of them reach the driver, or ``DRAWN``, or ``count * LEAST``, one range being a GB or more then.  Boundaries lie between different hashes, except within one that is heavy."""
     if not total:
         return []
-    step = total / (count * SAMPLE)
+    step = total / (count * max(LEAST, min(SAMPLE, DRAWN // count)))
     same = keys.groupBy("_h", "_i").agg(F.sum("_n").alias("_n"))
     chance = F.pmod(F.xxhash64(F.lit(SEED), "_h", "_i"), F.lit(1 << 40)) / F.lit(1 << 40)
     drawn = same.filter(chance < F.col("_n") / step).select("_h", "_i", F.greatest(F.col("_n").cast("double"), F.lit(step)).alias("w")).collect()
@@ -75,14 +80,15 @@ def splitters(keys: DataFrame, total: int, count: int, heavy: set[int]) -> list[
     return sorted({(h, i if h in heavy else -(2**63)) for h, i in out[: count - 1]})
 
 
-def dealt(groups: list[tuple[int, int]], shards: int) -> tuple[dict[int, int], list[int]]:
-    """(hash, bytes) of groups that stay whole -> their shards, and what each shard holds of them: the
-    largest first, each to the emptiest shard."""
+def dealt(groups: list[tuple[int, int]], shards: int, each: float) -> tuple[dict[int, int], list[int]]:
+    """(hash, bytes) of groups -> the shards of those that stay whole, and what each shard holds of them: the
+    largest first, each to the emptiest shard, unless that would hold more than ``FULL`` of the mean."""
     heap, home, load = [(0, s) for s in range(shards)], {}, [0] * shards
     for h, b in sorted(groups, key=lambda g: (-g[1], g[0])):
-        held, s = heapq.heappop(heap)
-        home[h], load[s] = s, held + b
-        heapq.heappush(heap, (load[s], s))
+        held, s = heap[0]
+        if held + b <= FULL * each:
+            home[h], load[s] = s, held + b
+            heapq.heapreplace(heap, (load[s], s))
     return home, load
 
 
@@ -100,7 +106,7 @@ def _rows(spark, rows: list[tuple], schema: str) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, schema))
 
 
-#: Marks a group that is larger than a shard.
+#: Marks a group that is subdivided.
 SPLIT = -1
 
 
@@ -114,7 +120,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_c
     each = total / shards if total else 1.0
     # Fewer than shards / PART rows, since their bytes add up to the total at most.
     heavy = keys.groupBy("_h").agg(F.sum("_n").alias("b"), F.count("*").alias("c")).filter(F.col("b") > PART * each).collect()
-    home, load = dealt([(r["_h"], r["b"]) for r in heavy if r["b"] <= each], shards)
+    home, load = dealt([(r["_h"], r["b"]) for r in heavy], shards, each)
     homes = _rows(spark, [(r["_h"], home.get(r["_h"], SPLIT)) for r in heavy], "_g long, _home int")
     # The number of ranges follows the bytes, so that a range of whole records fits a task.
     cuts = splitters(keys, total, max(shards * FINE, -(-total // RANGE_BYTES)), {r["_h"] for r in heavy})

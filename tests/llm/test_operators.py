@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -341,6 +343,19 @@ def test_sharding_equals_plain_placement(spark):
         assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
 
 
+def test_shards_with_groups_near_their_size(spark):
+    """Forty-one equal groups for forty shards: one is subdivided, and no shard holds more than its share."""
+    rows = [(1000 * g + k, passage(g, 60)) for g in range(41) for k in range(20)]
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    load = Counter()
+    for r in got:
+        load[r["shard"]] += r["size"]
+    mean = sum(load.values()) / 40
+    assert len(got) == len(rows) and len(load) == 40 and max(load.values()) <= 1.03 * mean + max(r["size"] for r in got)
+    for s in load:
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+
+
 # ---- 6 -------------------------------------------------------------------------------------
 
 
@@ -411,6 +426,103 @@ def test_mixing_takes_shared_items_once(spark):
     assert (words(0, 100), words(100, 200), words(200, 300)) == (4000, 1000, 4000)
 
 
+def reached(start, members, used, limit):
+    """Patterns to which a word of ``start`` can be moved: a source takes it less there and more here, and so on."""
+    seen, stack = {start}, [start]
+    of = {}
+    for p, ss in members.items():
+        for s in ss:
+            of.setdefault(s, []).append(p)
+    while stack:
+        p = stack.pop()
+        for s in members[p]:
+            if used[p, s] > 1e-5:
+                for q in of[s]:
+                    if q not in seen and limit[q, s] - used[q, s] > 1e-5:
+                        seen.add(q)
+                        stack.append(q)
+    return seen
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_flow_can_not_be_bettered(seed):
+    """No word can be moved to where it would cost less, along any path: so the cost is the least there is."""
+    r = random.Random(seed)
+    sources = r.randint(2, 7)
+    members = {p: sorted(r.sample(range(sources), r.randint(1, min(3, sources)))) for p in range(60)}
+    capacity = {p: float(r.randint(1, 90)) for p in members}
+    limit = limits(members, capacity)
+    most = {s: sum(v for (_, x), v in limit.items() if x == s) for s in range(sources)}
+    quota = {s: r.choice([0.3, 0.8, 1.0]) * m for s, m in most.items()}
+    used = mixing.flow(capacity, limit, quota)
+    assert all(-1e-9 <= used[e] <= limit[e] + 1e-6 for e in limit)
+    for s, q in quota.items():
+        assert sum(v for (_, x), v in used.items() if x == s) == pytest.approx(q, abs=1e-4)
+    spent = {p: sum(used[p, s] for s in members[p]) for p in members}
+    level = lambda words, p: min(mixing.LEVELS, math.floor(words / capacity[p]) + 1)
+    for p in members:
+        if spent[p] > 1e-4:
+            last = level(spent[p] - 1e-4, p)
+            assert all(level(spent[q] + 1e-4, q) >= last for q in reached(p, members, used, limit))
+
+
+def test_flow_over_many_patterns():
+    """A hundred thousand cells in less than half a minute."""
+    r = random.Random(5)
+    members = {p: sorted(r.sample(range(24), 1 + p % 4)) for p in range(40_000)}
+    capacity = {p: float(r.randint(1, 5000)) for p in members}
+    limit = limits(members, capacity)
+    quota = mixing.targets({s: sum(capacity[p] for p, ss in members.items() if s in ss) for s in range(24)})
+    start = time.perf_counter()
+    used = mixing.flow(capacity, limit, quota)
+    assert len(limit) == 100_000 and time.perf_counter() - start < 30
+    got = dict.fromkeys(quota, 0.0)
+    for (_, s), v in used.items():
+        got[s] += v
+    assert all(got[s] == pytest.approx(q) for s, q in quota.items())
+
+
+def test_mixing_selects_in_seeded_order(spark, monkeypatch):
+    """Sources without common items, in many slices, against a plain walk along the order."""
+    monkeypatch.setattr(mixing, "SLICE_ROWS", 7)
+    r = random.Random(9)
+    rows = [(k, f"s{k % 3}" if k % 7 else None, f"item{k}", r.randrange(60)) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, item string, size long").repartition(5)
+    order = F.xxhash64(F.lit(17), F.col("doc_id").cast("string"), F.col("size"))
+    at = {x["doc_id"]: (x["o"] % (1 << 40), x["o"], x["size"]) for x in df.select("doc_id", order.alias("o"), "size").collect()}
+    sizes = {s: sum(x[3] for x in rows if x[1] == s) for s in {x[1] for x in rows}}
+    quota, want = mixing.targets(sizes), {}
+    for s, total in sizes.items():
+        rounds = int(quota[s] // total)
+        part, run = quota[s] - rounds * total, 0
+        for i in sorted((x[0] for x in rows if x[1] == s), key=at.get):
+            n = at[i][2]
+            want[i] = (rounds + (run + n / 2 < part)) * (n > 0)
+            run += n
+    got = {x["doc_id"]: x["copies"] for x in mixing.mix(df).collect()}
+    assert got == want
+
+
+def test_mixing_with_columns_of_its_own_names(spark):
+    names = ["_s", "_n", "_k", "_o", "_m", "_p", "target", "source_size", "copies", "_cell"]
+    df = spark.createDataFrame([(k, k % 3, f"i{k % 4}", 10, *[5] * len(names)) for k in range(20)], "doc_id long, source long, item string, size long, " + ", ".join(f"{n} long" for n in names))
+    got = mixing.mix(df).collect()
+    assert len(got) == 20 and all(r["_s"] == 5 and r["_cell"] == 5 and r["target"] != 5 for r in got)
+
+
+def test_mixing_beyond_its_patterns(spark):
+    """Only the largest patterns are told apart; targets are met all the same."""
+    r = random.Random(2)
+    rows = [(20 * k + j, s, f"item{k}", 3 + k % 40) for k in range(300) for j, s in enumerate(r.sample("abcdef", 1 + k % 4))]
+    df = spark.createDataFrame(rows, "doc_id long, source string, item string, size long").repartition(4)
+    for most in (100_000, 3, 0):
+        got = mixing.mix(df, max_patterns=most).collect()
+        assert len(got) == len(rows) and all(0 <= x["copies"] <= 2 for x in got)
+        for s in "abcdef":
+            mine = [x for x in got if x["source"] == s]
+            assert abs(sum(x["size"] * x["copies"] for x in mine) - mine[0]["target"]) <= 100
+
+
 # ---- 7 -------------------------------------------------------------------------------------
 
 
