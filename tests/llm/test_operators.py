@@ -278,10 +278,64 @@ def test_prior_is_near_the_share_of_labels():
     model, prior = pu_quality.train(x[trusted], x[np.random.default_rng(0).permutation(len(x))])
     assert abs(prior - np.mean([v == 1 for v in quality.values()])) < 0.04
     row, width = x[7], pu_quality.BINS + 1
-    plain = model.bias + sum(model.weights[k * width + sum(e <= v for e in model.edges[k])] for k, v in enumerate(row))
+    plain = model.bias + sum(model.weights[k * width + sum(e <= row[f] for e in model.edges[k])] for k, f in enumerate(model.taken))
     assert model.score(row[None])[0] == pytest.approx(1 / (1 + np.exp(-plain)))
 
 
+def test_hashed_features():
+    """Buckets of words and of three-byte strings, against plain counts."""
+    text = "ab ab\ncd é$$ " + "x" * 30
+    got = pu_quality.features(text)
+    raw = text.encode()
+    words, threes = [0] * pu_quality.BUCKETS, [0] * pu_quality.BUCKETS
+    for w in text.split():
+        words[zlib.crc32(w.encode()) % pu_quality.BUCKETS] += 1
+    for k in range(len(raw) - 2):
+        threes[int.from_bytes(raw[k : k + 3], "big") * 2654435761 % 2**32 * pu_quality.BUCKETS >> 32] += 1
+    n = len(pu_quality.NAMES)
+    assert got[n : n + pu_quality.BUCKETS] == pytest.approx([c / 5 for c in words])
+    assert got[n + pu_quality.BUCKETS :] == pytest.approx([c / (len(raw) - 2) for c in threes])
+    assert not pu_quality.features(None).any() and len(pu_quality.features("a")) == pu_quality.WIDTH
+    assert (pu_quality.unpacked([got.tobytes()])[0] == got).all()
+
+
+def test_risk_is_least():
+    """The non-negative risk by plain loops: what the fit ends at is about the least around it."""
+    rng = np.random.default_rng(3)
+    p, u = rng.normal(1.5, 1, (300, 3)), np.concatenate([rng.normal(1.5, 1, (360, 3)), rng.normal(-1.5, 1, (240, 3))])
+    prior = 0.6
+
+    def plain(model):
+        soft = lambda g: math.log1p(math.exp(-abs(g))) + max(g, 0.0)
+        raw = lambda row: model.bias + sum(model.weights[k * (pu_quality.BINS + 1) + sum(e <= row[f] for e in model.edges[k])] for k, f in enumerate(model.taken))
+        gp, gu = [raw(r) for r in p], [raw(r) for r in u]
+        positive = prior * sum(soft(-g) for g in gp) / len(gp)
+        negative = sum(soft(g) for g in gu) / len(gu) - prior * sum(soft(g) for g in gp) / len(gp)
+        assert pu_quality.risk(np.array(gp), np.array(gu), prior) == pytest.approx((positive, negative))
+        penalty = pu_quality.PENALTY + 0.1 / len(p)
+        return positive + max(0.0, negative) + penalty / 2 * float((model.weights**2).sum())
+
+    model, _ = pu_quality.train(p, u, prior)
+    pu_quality._fit(model, model.places(p), model.places(u), prior)  # as fitted, before the bias is set
+    least = plain(model)
+    weights, bias = model.weights.copy(), model.bias
+    for _ in range(12):
+        model.weights, model.bias = weights + rng.normal(0, 0.3, len(weights)), bias + rng.normal(0, 0.2)
+        assert plain(model) > least
+    model.weights, model.bias = weights * 0, 0.0
+    assert plain(model) > least + 0.1
+
+
+def test_share_above_one_half_is_the_prior():
+    rng = np.random.default_rng(4)
+    p, u = rng.normal(2, 1, (500, 4)), np.concatenate([rng.normal(2, 1, (800, 4)), rng.normal(-2, 1, (200, 4))])
+    for prior in (0.6, 0.8, 0.95):
+        model, _ = pu_quality.train(p, u, prior)
+        assert abs((model.score(u) >= 0.5).mean() - prior) < 0.005 + pu_quality.NEAR * math.sqrt(prior * (1 - prior) / 500)
+    assert pu_quality.valley(np.array([5.0, 1.0, 1.1, 4.0, 4.2, 4.1, 4.3, 4.4]), 0.7, 20) == pytest.approx(2.55)
+    assert pu_quality.valley(np.array([2.0]), 0.7, 1) == 2.0
+
+
 def test_prior_estimate():
     rng = np.random.default_rng(1)
     p = rng.normal(2, 1, (4000, 5))
