@@ -28,7 +28,7 @@ from gridloom.llm._common import BROADCAST_ROWS, WHITE, cut, discard, pinned, sm
 SHARE, WEIGHTS, MOST = 1.5, (5, 2, 1), 2
 #: Uses of an item that are told apart by cost; all further ones cost the same.
 LEVELS = 5
-SLICE_ROWS = 2000
+SLICE_ROWS = 500
 #: Patterns of several sources that the flow tells apart; a pattern takes about 200 bytes and 50 microseconds.
 PATTERNS = 100_000
 
