@@ -290,6 +290,7 @@ def indexed_rows(docs: DataFrame, depths: tuple[int, ...] = (1, 2)) -> DataFrame
                     yield packed(far[order], [x[hot][order] for x in (sig, h, m)])
                     to, sig, h, m = to[~hot], sig[~hot], h[~hot], m[~hot]
                 yield packed(to, (sig, h, m))
+        pa.default_memory_pool().release_unused()  # a worker that waits for its next task holds on to it
 
     def gather(batches):
         """Rows come in the order of their buckets; the signatures of one bucket are held at a time."""
@@ -332,6 +333,7 @@ def indexed_rows(docs: DataFrame, depths: tuple[int, ...] = (1, 2)) -> DataFrame
                     to.append(x)
         if cold[0]:
             yield from several_of(cold)
+        pa.default_memory_pool().release_unused()
 
     blocks = docs.select("doc_id", "text").mapInArrow(emit, "bucket int, sigs binary, handles binary, metas binary, ids binary, sketches binary")
     return blocks.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(gather, ROWS)
@@ -487,6 +489,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
                         last, kept = ta, shingles(words_of(ta))
                     good.append(linked(kept, shingles(words_of(tb))))
                 yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+        pa.default_memory_pool().release_unused()
 
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
