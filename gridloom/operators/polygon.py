@@ -8,6 +8,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions.params import Grid
 from gridloom.operators import regrid
 from gridloom.operators.aggregate import dims_of
 
@@ -146,3 +147,33 @@ def average_shape_exact(cells: DataFrame, shapes: DataFrame) -> DataFrame:
     met = cells.join(found, ["lat", "lon"])
     w = F.col("area")
     return met.groupBy("geom", *others).agg((F.sum(w * F.col("value")) / F.sum(F.when(F.col("value").isNotNull(), w))).alias("value"), F.sum(w).alias("area"))
+
+
+def cell_edges(corners: DataFrame) -> DataFrame:
+    """Edges, with the area on the left, of cells given by rows (lat, lon, corners: array of (lat, lon) structs in turn);
+    ``geom`` is the cell's position.  Corners may be on any turn; they are brought next to the first one."""
+    near = lambda x, first: x - 360 * F.round((x - first) / 360)
+    first = F.get("corners", F.lit(0))["lon"]
+    ring = F.transform("corners", lambda c: F.struct(near(c["lon"], first).cast("double").alias("x"), c["lat"].cast("double").alias("y")))
+    rows = corners.select(F.struct("lat", "lon").alias("geom"), ring.alias("r")).filter("size(r) > 2")
+    following = lambda k: F.get("r", F.pmod(k + 1, F.size("r")))
+    pairs = F.transform("r", lambda p, k: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), following(k)["x"].alias("x2"), following(k)["y"].alias("y2")))
+    turned = F.aggregate(pairs, F.lit(0.0), lambda a, e: a + (e["x2"] - e["x1"]) * (e["y1"] + e["y2"]))
+    each = rows.select("geom", turned.alias("turned"), F.explode(pairs).alias("e")).select("geom", "turned", "e.*")
+    way = lambda a, b: F.when(F.col("turned") < 0, F.col(a)).otherwise(F.col(b))
+    return each.select("geom", *[way(a, b).alias(a) for a, b in (("x1", "x2"), ("y1", "y2"), ("x2", "x1"), ("y2", "y1"))])
+
+
+def regrid_cells(cells: DataFrame, corners: DataFrame, grid: Grid | str, adaptive_masking_threshold: float | None = 0.5) -> DataFrame:
+    """Conservative remapping from cells of any shape: each target has its sources by the area that they share on the
+    sphere.  corners: (lat, lon, corners) of each source cell, as ``cell_edges`` takes them.  A target is missing where
+    more than the threshold of what its sources cover of it is missing."""
+    grid = grid if isinstance(grid, Grid) else Grid.parse(grid)
+    shared = areas(cells.sparkSession, grid.lats(), grid.lons(), cell_edges(corners)).select(F.col("geom.lat").alias("lat"), F.col("geom.lon").alias("lon"), F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"), "area")
+    others = [c for c in dims_of(cells) if c not in ("lat", "lon")]
+    w, there = F.col("area"), F.col("value").isNotNull()
+    got = cells.join(shared, ["lat", "lon"]).groupBy(*others, F.col("t_lat").alias("lat"), F.col("t_lon").alias("lon")).agg(F.sum(w * F.col("value")).alias("v"), F.sum(F.when(there, w)).alias("g"), F.sum(w).alias("w"))
+    value = F.col("v") / F.col("g")
+    if adaptive_masking_threshold is not None:
+        value = F.when(F.col("g") / F.col("w") >= 1 - adaptive_masking_threshold - 1e-9, value)
+    return got.select(*others, "lat", "lon", value.alias("value"))

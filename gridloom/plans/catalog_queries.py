@@ -177,7 +177,9 @@ def catalog_by_project(spark, sf):
     name, files = f"catalog_{uuid.uuid4().hex}", catalog_files(spark, sf)
     catalog.bootstrap(files, name)
     # The second use finds the table that the first has made.
-    return catalog.bootstrap(files, name).groupBy("project").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    counts = cut(catalog.bootstrap(files, name).groupBy("project").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")), "by-project")
+    spark.sql(f"DROP TABLE {name}")
+    return counts
 
 
 @query("chunk_files", FILES + """, ch as (select distinct ds_id, chunk, concat(y, '-01-01T00:00:00') as s, concat(y + 1, '-12-31T23:59:59') as e from dataset_files, (values (0, 1995), (1, 1997), (2, 1999), (3, 2001), (4, 2003)) v(chunk, y))

@@ -383,6 +383,29 @@ def regrid_curvilinear(spark, sf):
     return regrid.regrid_scattered(bent, "6").select("lat", "lon", r6().alias("value"))
 
 
+_CORNERS = ((-2.5, -2.5), (-2.5, 2.5), (2.5, 2.5), (2.5, -2.5))
+_EDGES = ", ".join(f"({a}, {b}, {c}, {d})" for (a, b), (c, d) in zip(_CORNERS, (*_CORNERS[1:], _CORNERS[0]), strict=True))
+
+
+def _bent(lat: str, lon: str) -> dict[str, str]:
+    return {k: e.replace("lat", "@").replace("lon", f"({lon})").replace("@", f"({lat})") for k, e in BENT.items()}
+
+
+@query("regrid_conservative_curvilinear", GRID + ", " + _MEAN + _AXES.format(d="12.0") + f""",
+e as (select lat, lon, value, {_bent('lat + a', 'lon + b')['lon']} as x1, {_bent('lat + a', 'lon + b')['lat']} as y1, {_bent('lat + c', 'lon + d')['lon']} as x2, {_bent('lat + c', 'lon + d')['lat']} as y2 from m, (values {_EDGES}) v(a, b, c, d)),
+t as (select tlat, tlon, tlat - 6 as c, tlat + 6 as d, tlon + turn - 6 as a, tlon + turn + 6 as b from tlat, tlon, (values (-360), (0), (360)) r(turn)),
+p as (select lat, lon, value, tlat, tlon, radians(c) as c, radians(d) as d, sign(x2 - x1) as s, radians(greatest(a, least(x1, x2))) as xa, radians(least(b, greatest(x1, x2))) as xb,
+  radians(y1 + (y2 - y1) / (x2 - x1) * (greatest(a, least(x1, x2)) - x1)) as ya, radians(y1 + (y2 - y1) / (x2 - x1) * (least(b, greatest(x1, x2)) - x1)) as yb from e, t where x1 <> x2 and least(b, greatest(x1, x2)) > greatest(a, least(x1, x2))),
+h as (select *, case when ya < c then sin(c) * (ya - c) when ya > d then cos(c) - cos(d) + sin(d) * (ya - d) else cos(c) - cos(ya) end as ha, case when yb < c then sin(c) * (yb - c) when yb > d then cos(c) - cos(d) + sin(d) * (yb - d) else cos(c) - cos(yb) end as hb from p),
+g as (select lat, lon, any_value(value) as value, tlat, tlon, abs(sum(s * (xb - xa) * (case when abs(yb - ya) < 1e-9 then sin(greatest(c, least(d, (ya + yb) / 2))) else (hb - ha) / (yb - ya) end - sin(c)))) as area from h group by lat, lon, tlat, tlon)
+select tlat as lat, tlon as lon, round(case when sum(case when value is not null then area end) / sum(area) >= 0.5 - 1e-9 then sum(area * value) / sum(case when value is not null then area end) end, 5) as value from g where area > 1e-9 group by 1, 2""")
+def regrid_conservative_curvilinear(spark, sf):
+    """The bent grid's cells have bent corners; what each shares with a target is exact."""
+    mean = _mean_map(spark, sf)
+    at = F.array(*[F.struct(*[F.expr(e).alias(k) for k, e in _bent(f"lat + {a}", f"lon + {b}").items()]) for a, b in _CORNERS])
+    return polygon.regrid_cells(mean, mean.select("lat", "lon", at.alias("corners")), "12").select("lat", "lon", F.round("value", 5).alias("value"))
+
+
 # ---- workflows -------------------------------------------------------------------------------
 
 
