@@ -61,7 +61,7 @@ def concat_time_exact(spark, sf):
 
 
 #: Positions in coarse boxes, so that the files of a year differ in a few places only.
-_BOXES = GRID.rstrip() + """, files as (select dataset_id, cast(year(time) as int) as file, time, cast(lat + 90 as int) // 30 as lat, cast(lon as int) // 45 as lon, level, value from grid_cells),
+_BOXES = GRID.rstrip() + """, files as (select dataset_id, cast(year(time) * 10 + quarter(time) as int) as file, time, cast(lat + 90 as int) // 30 as lat, cast(lon as int) // 45 as lon, level, value from grid_cells),
 sig as (select dataset_id, file, coordinate, string_agg(distinct cast(p as varchar), ';' order by cast(p as varchar)) as s from (select dataset_id, file, 'lat' as coordinate, lat as p from files union all select dataset_id, file, 'lon', lon from files union all select dataset_id, file, 'level', level from files) group by 1, 2, 3),
 faults as (select a.dataset_id, a.file, a.coordinate from sig a join sig b on a.dataset_id = b.dataset_id and a.coordinate = b.coordinate and b.file = (select min(file) from files f where f.dataset_id = a.dataset_id) where a.s <> b.s)
 """
@@ -69,7 +69,7 @@ faults as (select a.dataset_id, a.file, a.coordinate from sig a join sig b on a.
 
 def _boxes(spark, sf):
     lat, lon = F.floor((F.col("lat") + 90).cast("int") / 30), F.floor(F.col("lon").cast("int") / 45)
-    return grid_cells(spark, sf).select("dataset_id", F.year("time").alias("file"), "time", lat.alias("lat"), lon.alias("lon"), "level", "value")
+    return grid_cells(spark, sf).select("dataset_id", (F.year("time") * 10 + F.quarter("time")).alias("file"), "time", lat.alias("lat"), lon.alias("lon"), "level", "value")
 
 
 @query("concat_time_faults", _BOXES + "select * from faults")
