@@ -5,14 +5,16 @@ from __future__ import annotations
 import uuid
 import warnings
 
+import numpy as np
 import pyarrow as pa
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from gridloom.functions.names import output_name
-from gridloom.functions.scratch import cut, discard, small
-from gridloom.operators.ranks import hot_keys, numbered, parted, running
+from gridloom.functions.scratch import cut, small
+from gridloom.operators.ranks import hot_keys, parted
 
 
 #: Bytes of one value, by type; texts are measured.
@@ -79,64 +81,135 @@ def compaction(files: DataFrame, target: int, key: str = "ds_id", order: str = "
     stays within ``target``.  Sizes below one byte count as one.
 
     The files of a dataset pass through one task in order, which holds the last group's number and size only; those
-    of a dataset with more files than a task's share are grouped by pointers instead."""
+    of a dataset with more files than a task's share are dealt to several tasks, by ranges of the order."""
     sized = files.select(key, order, F.greatest(F.lit(1), F.coalesce(F.col(size), F.lit(1))).cast("long").alias(size))
     hot = hot_keys(sized, [key])
     if hot is None:
         return grouped_in_order(sized, target, key, order, size)
     large, others = parted(sized, [key], hot)
-    return grouped_by_pointers(large, target, key, order, size).unionByName(grouped_in_order(others, target, key, order, size))
+    return grouped_by_ranges(large, target, key, order, size).unionByName(grouped_in_order(others, target, key, order, size))
 
 
 def grouped_in_order(sized: DataFrame, target: int, key: str, order: str, size: str) -> DataFrame:
+    rows = sized.repartition(key).sortWithinPartitions(key, order, size)
+    return _walked(rows.withColumns({"_group": F.lit(-1).cast("long"), "_total": F.lit(None).cast("long")}), target, key, order, size)
+
+
+def _walked(rows: DataFrame, target: int, key: str, order: str, size: str, *part: str) -> DataFrame:
+    """Group numbers of rows in order, task by task.  ``_group`` and ``_total``: the number and size of the group before
+    the first row of a (key, *part) (-1 and null before a key's first row)."""
+
     def run(batches):
-        last, group, total, some = None, 0, 0, False
+        last, group, total = (), -1, None
         for batch in batches:
             numbers = []
-            for k, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if not some or k != last:
-                    last, group, total, some = k, 0, s, True
-                elif total + s <= target:
+            for k, s, g, t, *p in zip(*(batch.column(c).to_pylist() for c in (0, *range(2, batch.num_columns))), strict=True):
+                if last != (k, *p):
+                    last, group, total = (k, *p), g, t
+                if total is not None and total + s <= target:
                     total += s
                 else:
                     group, total = group + 1, s
                 numbers.append(group)
-            yield batch.append_column("group_no", pa.array(numbers, pa.int32()))
-
-    types = dict(sized.dtypes)
-    return sized.repartition(key).sortWithinPartitions(key, order, size).mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in (key, order, size)) + ", group_no int")
-
-
-def grouped_by_pointers(sized: DataFrame, target: int, key: str, order: str, size: str) -> DataFrame:
-    """The same without any task that holds a dataset.  From running sums each file knows the file at which the next
-    group would start if one started with it: sums and the bounds they may reach are put in one order, in which a
-    bound's place tells how many sums are below it.  Groups start at the files that can be reached from the first
-    one; pointers are doubled, so there are as many rounds as the number of groups has binary digits.  Keys are
-    not null here but for one that is: nulls count as a key of their own."""
-    rows = numbered(sized.withColumn("_k", F.struct(F.col(key).alias("k"))), ["_k"], [order, size], "_pos")
-    rows = cut(running(rows, ["_k"], "_pos", {"_before": (size, F.sum, lambda a, b: a + b)}).withColumn("_before", F.coalesce("_before", F.lit(0).cast("long"))), "running-sums")
-    sums = rows.select("_k", (F.col("_before") + F.col(size)).alias("_v"), F.lit(0).alias("_bound"), "_pos")
-    bounds = rows.select("_k", (F.col("_before") + target).alias("_v"), F.lit(1).alias("_bound"), "_pos")
-    placed = numbered(sums.unionByName(bounds), ["_k"], ["_v", "_bound", "_pos"], "_place").filter("_bound = 1")
-    # Of what lies before a bound, as many as its own position are bounds.
-    jump = cut(placed.select("_k", F.col("_pos"), F.greatest(F.col("_pos") + 1, F.col("_place") - F.col("_pos")).alias("_next")), "pointers")
-    starts = cut(rows.filter("_pos = 0").select("_k", "_pos"), "starts")
-    while True:
-        far = jump.select(F.col("_k").alias("_k2"), F.col("_pos").alias("_p2"), F.col("_next").alias("_n2"))
-        met = lambda df, at: df.join(far, (F.col("_k") == F.col("_k2")) & (F.col(at) == F.col("_p2")))
-        more = met(starts, "_pos").select("_k", F.col("_n2").alias("_pos")).join(rows.select("_k", "_pos"), ["_k", "_pos"], "left_semi")
-        grown = cut(starts.unionByName(more), "starts")
-        done = grown.count() == starts.count()
-        discard(starts)
-        starts = grown
-        if done:
-            break
-        doubled = cut(met(jump, "_next").select("_k", "_pos", F.col("_n2").alias("_next")), "pointers")
-        discard(jump)
-        jump = doubled
-    flagged = rows.join(starts.withColumn("_start", F.lit(1).cast("long")), ["_k", "_pos"], "left").withColumn("_start", F.coalesce("_start", F.lit(0).cast("long")))
-    counted = running(flagged, ["_k"], "_pos", {"_groups": ("_start", F.sum, lambda a, b: a + b)})
-    return counted.select(key, order, size, (F.coalesce("_groups", F.lit(0)) + F.col("_start") - 1).cast("int").alias("group_no"))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(numbers, pa.int32())], names=[key, order, size, "group_no"])
+
+    types = dict(rows.dtypes)
+    return rows.select(key, order, size, "_group", "_total", *part).mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in (key, order, size)) + ", group_no int")
+
+
+#: Files of a dataset whose way through the groups is worked out at a time.
+STRETCH = 1 << 16
+
+
+def grouped_by_ranges(sized: DataFrame, target: int, key: str, order: str, size: str) -> DataFrame:
+    """The same without any task that holds a dataset.  Rows are dealt by ranges of (key, order).  What a range makes
+    of the group that was open before it depends on that group's size alone, and only by the file at which it closes:
+    from there on groups are fixed.  So each stretch of a range tells, for each file that can be the first to start a
+    group (a group's worth of files at most), how many groups follow and the size of the last one.  These
+    rows, few beside the files, are walked in order once a dataset, and then each range knows where it starts.
+    Files move twice, however many groups there are."""
+    by = [key, order, size]
+    dealt = cut(sized.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()), "ranges")
+    # A range holds more than one key at its ends only; all of a (range, key) are in one task, in order.
+    placed = lambda df: df.repartition("_range", key).sortWithinPartitions("_range", *by)
+    ways = cut(_ways(placed(dealt), target, key, size), "ways")
+    entries = cut(_entries(ways.repartition(key).sortWithinPartitions(key, "_range", "_stretch", "_least"), key), "entries")
+    met = dealt.alias("d").join(F.broadcast(entries).alias("e"), [F.col(f"d.{key}").eqNullSafe(F.col(f"e.{key}")), F.col("d._range") == F.col("e._range")])
+    return _walked(placed(met.select("d.*", "_group", "_total")), target, key, order, size, "_range")
+
+
+def _ways(rows: DataFrame, target: int, key: str, size: str) -> DataFrame:
+    """(key, _range, _stretch, _least, _count, _last): a stretch that is met with an open group of ``_least`` bytes, or more
+    up to the next row's, starts ``_count`` groups, the last of which has ``_last`` bytes; without any, these are added."""
+
+    def told(name, sizes):
+        before = np.concatenate([[0], np.cumsum(np.asarray(sizes, "int64"))])
+        n = len(sizes)
+        # The file at which the next group starts if one starts here.
+        following = np.maximum(np.searchsorted(before, before[:-1] + target, "right") - 1, np.arange(1, n + 1)).tolist()
+        count, end = [0] * (n + 1), [n] * (n + 1)
+        for j in range(n - 1, -1, -1):
+            count[j] = count[following[j]] + 1
+            end[j] = j if following[j] == n else end[following[j]]
+        # Which file starts the first group: the first one always may, a later one if a group of one byte can reach it.
+        m = int(np.searchsorted(before, target - 1, "right")) - 1
+        first = list(range(max(0, min(m, n - 1)) + 1))
+        least = [max(0, target - int(before[j + 1]) + 1) for j in first]
+        rows = [(lo, count[j], int(before[n] - before[end[j]])) for j, lo in zip(first, least, strict=True)]
+        if before[n] < target:
+            rows.append((0, 0, int(before[n])))
+        # Neighbours that come to the same are one.
+        rows = rows[::-1]
+        kept = [r for k, r in enumerate(rows) if not k or r[1:] != rows[k - 1][1:]]
+        return [(*name, *r) for r in kept]
+
+    def run(batches):
+        last, stretch, sizes, out = None, 0, [], []
+        for batch in batches:
+            for name in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if sizes and (name[:2] != last or len(sizes) == STRETCH):
+                    out += told((*last, stretch), sizes)
+                    stretch, sizes = (stretch + 1 if name[:2] == last else 0), []
+                last = name[:2]
+                sizes.append(name[2])
+                if len(out) >= 10_000:
+                    yield made(out)
+                    out = []
+        if sizes:
+            out += told((*last, stretch), sizes)
+        if out:
+            yield made(out)
+
+    names = [key, "_range", "_stretch", "_least", "_count", "_last"]
+    kinds = to_arrow_schema(rows.select(key).schema).field(0).type, pa.int32(), *[pa.int64()] * 4
+    made = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+    types = dict(rows.dtypes)
+    return rows.select(key, "_range", size).mapInArrow(run, f"`{key}` {types[key]}, _range int, _stretch long, _least long, _count long, _last long")
+
+
+def _entries(ways: DataFrame, key: str) -> DataFrame:
+    """(key, _range, _group, _total): the group that is open before each range of a key."""
+
+    def run(batches):
+        at, stretch, group, total, way = None, None, -1, None, None
+        for batch in batches:
+            out = []
+            for k, r, c, least, count, size in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if at is None or (k, r, c) != (*at, stretch):
+                    if way is not None:
+                        group, total = group + way[0], way[1] if way[0] else total + way[1]
+                    if at is None or k != at[0]:
+                        group, total = -1, None
+                    if (k, r) != at:
+                        out.append((k, r, group, total))
+                    at, stretch, way = (k, r), c, (count, size)
+                elif total is None or least <= total:
+                    way = count, size
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64()), strict=True)], names=[key, "_range", "_group", "_total"])
+
+    types = dict(ways.dtypes)
+    return ways.mapInArrow(run, f"`{key}` {types[key]}, _range int, _group long, _total long")
 
 
 def compact(spark: SparkSession, source: str, plan: DataFrame, out: str, key: str, order: str = "time", target: int = 2 << 30) -> DataFrame:

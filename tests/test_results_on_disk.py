@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom.functions.scratch import cut
 from gridloom.operators import fixes, polygon, ranks, usage
 from gridloom.sources import catalog, manifest
 
@@ -154,3 +155,22 @@ def test_upstream(spark, seed):
     got = list(map(tuple, manifest.upstream(df).collect()))
     assert len(got) == len(set(got)) and set(got) == plain_upstream(edges)
     assert manifest.upstream(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_compaction_by_ranges_moves_files_twice(spark, monkeypatch, seed):
+    """Whatever the sizes, and however many groups, ranges and stretches there are."""
+    r = random.Random(seed)
+    most = (1, 90, 400, 3)[seed]  # all equal; a few files a group; files above the target; groups longer than a stretch
+    rows = [(k % 3 if k % 5 else None, f"p{r.randrange(900):04d}", r.randrange(1, most + 1)) for k in range(3000)]
+    files = spark.createDataFrame(rows, "ds_id int, path string, size long").repartition(7)
+    told = lambda df: sorted(map(tuple, df.collect()), key=str)
+    whole = {target: told(manifest.compaction(files, target)) for target in (0, 200, 1500)}
+    monkeypatch.setattr(ranks, "FEW", 100)
+    monkeypatch.setattr(manifest, "STRETCH", 50)
+    written = []
+    monkeypatch.setattr(manifest, "cut", lambda df, label="step": written.append(label) or cut(df, label))
+    for target, plan in whole.items():
+        written.clear()
+        assert told(manifest.compaction(files, target)) == plan
+        assert len(written) == 3
