@@ -8,18 +8,20 @@ import warnings
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from gridloom.functions.names import output_name
-from gridloom.functions.scratch import cut, small
+from gridloom.functions.scratch import cut, discard, small
 from gridloom.operators.ranks import hot_keys, parted
 
 
 #: Bytes of one value, by type; texts are measured.
 WIDTH = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "date": 4, "float": 4}
 PERIODS = ("year", "month", "day")
+#: Bytes of values that a task sorts and writes; rows in memory have several times as many.
+TASK_BYTES = 128 << 20
 
 
 def row_bytes(df: DataFrame) -> tuple[int, float]:
@@ -29,16 +31,22 @@ def row_bytes(df: DataFrame) -> tuple[int, float]:
     return told["n"], sum(WIDTH.get(t, 8) for _, t in df.dtypes if t != "string") + sum(told[f"l{k}"] or 0 for k in range(len(texts)))
 
 
+def _dealt(rows: DataFrame, n: int, width: float, most_bytes: int, *by: str) -> DataFrameWriter:
+    """A writer of rows in order, dealt to tasks by ranges of ``TASK_BYTES`` of values; no file holds more than ``most_bytes``."""
+    tasks = int(max(1, min(n, -(-n * width // TASK_BYTES))))
+    return rows.repartitionByRange(tasks, *by).sortWithinPartitions(*by).write.option("maxRecordsPerFile", max(1, int(most_bytes // max(1, width))))
+
+
 def write_by_period(cells: DataFrame, path: str, period: str = "year", most_bytes: int = 2 << 30, time: str = "time") -> None:
     """A folder a year (and month, and day), rows in it sorted by time; no file holds more than ``most_bytes`` of
-    values.  Tasks take ranges of time of such a size, so a period with very many rows is dealt to several."""
+    values.  Tasks take ranges of time of a size of their own, so a period with very many rows is dealt to several."""
     if period not in PERIODS:
         raise ValueError(f"unknown period {period}; known: {', '.join(PERIODS)}")
     parts = list(PERIODS[: PERIODS.index(period) + 1])
-    n, width = row_bytes(cells)
-    rows = cells.withColumns({p: f(time) for p, f in zip(parts, (F.year, F.month, F.dayofmonth), strict=False)})
-    tasks = int(max(1, min(n, -(-n * width // most_bytes))))
-    rows.repartitionByRange(tasks, *parts, time).sortWithinPartitions(*parts, time).write.option("maxRecordsPerFile", max(1, int(most_bytes // max(1, width)))).partitionBy(*parts).mode("overwrite").parquet(path)
+    held = cut(cells, "to-write")  # counted, sampled for the ranges and written: made once
+    rows = held.withColumns({p: f(time) for p, f in zip(parts, (F.year, F.month, F.dayofmonth), strict=False)})
+    _dealt(rows, *row_bytes(held), most_bytes, *parts, time).partitionBy(*parts).mode("overwrite").parquet(path)
+    discard(held)
 
 
 def write_by_year(cells: DataFrame, path: str, most_bytes: int = 2 << 30) -> None:

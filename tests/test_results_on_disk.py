@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.scratch import cut
 from gridloom.operators import fixes, polygon, ranks, usage
+from gridloom.plans import fixtures
 from gridloom.sources import catalog, manifest
 
 
@@ -174,3 +175,24 @@ def test_compaction_by_ranges_moves_files_twice(spark, monkeypatch, seed):
         written.clear()
         assert told(manifest.compaction(files, target)) == plan
         assert len(written) == 3
+
+
+def test_tasks_of_a_write_have_a_size_of_their_own(spark, tmp_path, monkeypatch):
+    """A task never holds what a file may: few rows a task under a high limit."""
+    monkeypatch.setattr(manifest, "TASK_BYTES", 5000, raising=False)
+    manifest.write_by_year(cells(spark), f"file://{tmp_path}/x")
+    got = spark.read.parquet(f"file://{tmp_path}/x")
+    assert got.count() == 4000 and max(r["rows"] for r in manifest.files_of(got).collect()) <= 1000
+
+
+def test_grid_cells_are_grouped_as_their_columns_say(spark, tmp_path):
+    """Keys below 0 and missing ones too: cells are counted by remainders, and named after them."""
+    r = random.Random(1)
+    some = lambda low, high: None if r.random() < 0.05 else r.randrange(low, high)
+    rows = [(some(-70, 70), some(-90, 90), some(-150, 150), some(1, 4), datetime.datetime(2000, 1, 1 + k % 2), r.choice([0.0, 0.1, None]), r.random()) for k in range(3000)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_shipdate timestamp_ntz, l_tax double, l_quantity double")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = lines.groupBy(*[F.expr(e).alias(c) for c, e in fixtures._GRID.items()]).agg(F.expr(fixtures._VALUE).alias("value"))
+    got = fixtures.grid_cells(spark, str(tmp_path))
+    told = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in row) for row in df.na.fill(-1e9).na.fill("").collect())
+    assert got.schema == want.schema and told(got) == told(want) and got.count() > 1000
