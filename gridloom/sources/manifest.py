@@ -56,14 +56,14 @@ def write_by_year(cells: DataFrame, path: str, most_bytes: int = 2 << 30) -> Non
 def write_named(cells: DataFrame, path: str, done: str | None = None, period: str | None = "year", most_bytes: int = 2 << 30) -> None:
     """A folder ``output=<name>`` for each dataset and period (None: the whole time), named by facets, first and last day
     and what was ``done``; no file holds more than ``most_bytes`` of values.  One period may be dealt to several tasks."""
-    n, width = row_bytes(cells)
     part = F.lit("") if period is None else F.date_trunc(period, "time").cast("string")
-    rows = cells.withColumn("_part", part)
+    held = cut(cells, "to-write")
+    rows = held.withColumn("_part", part)
     spans = rows.groupBy("dataset_id", "_part").agg(F.min("time").alias("_a"), F.max("time").alias("_b"))
     named = spans.select("dataset_id", "_part", output_name(F.col("dataset_id"), F.col("_a"), F.col("_b"), done).alias("output"))
-    tasks = int(max(1, min(n, -(-n * width // most_bytes))))
     rows = rows.join(small(named), ["dataset_id", "_part"]).drop("_part")
-    rows.repartitionByRange(tasks, "output", "time").sortWithinPartitions("output", "time").write.option("maxRecordsPerFile", max(1, int(most_bytes // max(1, width)))).partitionBy("output").mode("errorifexists").parquet(path)
+    _dealt(rows, *row_bytes(held), most_bytes, "output", "time").partitionBy("output").mode("errorifexists").parquet(path)
+    discard(held)
 
 
 def files_of(df: DataFrame, *keep: str) -> DataFrame:

@@ -196,3 +196,14 @@ def test_grid_cells_are_grouped_as_their_columns_say(spark, tmp_path):
     got = fixtures.grid_cells(spark, str(tmp_path))
     told = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in row) for row in df.na.fill(-1e9).na.fill("").collect())
     assert got.schema == want.schema and told(got) == told(want) and got.count() > 1000
+
+
+@pytest.mark.parametrize("named", [False, True])
+def test_small_files_are_no_tasks(spark, tmp_path, named):
+    """Each task sends samples and a list of its files to the driver; files far below a task's size are not one each."""
+    if named:
+        manifest.write_named(cells(spark).withColumn("dataset_id", F.lit("d")), f"file://{tmp_path}/x", most_bytes=5000)
+    else:
+        manifest.write_by_year(cells(spark), f"file://{tmp_path}/x", 5000)
+    files = list((tmp_path / "x").rglob("*.parquet"))
+    assert len(files) >= 16 and len({f.name.split("-")[1] for f in files}) == 1
