@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from gridloom.functions.names import output_name
-from gridloom.functions.scratch import cut, discard, small
+from gridloom.functions.scratch import cut, discard, partitions, shared_folder, small
 from gridloom.operators.ranks import hot_keys, parted
 
 
@@ -252,20 +252,31 @@ def upstream(derived: DataFrame) -> DataFrame:
     (entity, source); distance is the least number of steps.
 
     Pointers are doubled: after a round all pairs up to twice the distance are known.  A pair beyond has a middle at
-    exactly the last round's distance, so only those pairs are met with the known ones, and each round reads
-    what is new.  There are as many rounds as the greatest distance has binary digits.  An entity on a
-    cycle is no ancestor of itself, and a cycle ends the search as any other path does: it brings nothing new."""
+    exactly the last round's distance, so only those pairs are met with the known ones.  There are as many rounds as the
+    greatest distance has binary digits.  An entity on a cycle is no ancestor of itself, and a cycle ends the search
+    as any other path does: it brings nothing new.
+
+    The known pairs are a table in buckets of entities, to which a round appends what is new: they are never moved
+    again, only the pairs at the last round's distance and what they meet are."""
+    spark = derived.sparkSession
     pairs = derived.select(F.col("entity").cast("string").alias("entity"), F.col("source").cast("string").alias("ancestor"))
-    known = cut(pairs.filter("entity is not null and ancestor is not null and entity <> ancestor").distinct().withColumn("distance", F.lit(1).cast("long")), "lineage")
-    reach = 1
-    while True:
-        half = known.filter(F.col("distance") == reach)
-        rest = known.select(F.col("entity").alias("middle"), F.col("ancestor").alias("far"), F.col("distance").alias("more"))
-        met = half.join(rest, F.col("ancestor") == F.col("middle")).filter("entity <> far").groupBy("entity", F.col("far").alias("ancestor")).agg((F.min("more") + reach).alias("distance"))
-        new = cut(met.join(known.select("entity", "ancestor"), ["entity", "ancestor"], "left_anti"), "lineage")
-        if not new.limit(1).count():
-            return known
-        known, reach = cut(known.unionByName(new), "lineage"), 2 * reach
+    name, path, buckets = f"lineage_{uuid.uuid4().hex}", f"{shared_folder(spark)}/gridloom/lineage-{uuid.uuid4().hex}", partitions(spark)
+    # All is dealt by entity, as the table is, so a task writes one bucket.
+    first = pairs.filter("entity is not null and ancestor is not null and entity <> ancestor").repartition(buckets, "entity").distinct().withColumn("distance", F.lit(1).cast("long"))
+    append = lambda rows: rows.write.format("parquet").mode("append").bucketBy(buckets, "entity").option("path", path).saveAsTable(name)
+    try:
+        append(first)
+        reach = 1
+        while (half := (known := spark.table(name)).filter(F.col("distance") == reach)).limit(1).count():
+            rest = known.select(F.col("entity").alias("middle"), F.col("ancestor").alias("far"), F.col("distance").alias("more"))
+            met = half.join(rest.hint("merge"), F.col("ancestor") == F.col("middle")).filter("entity <> far").select("entity", F.col("far").alias("ancestor"), (F.col("more") + reach).alias("distance"))
+            # In one place by entity, so a grouping of both moves the known no more; what is known has a lesser distance.
+            both = known.unionByName(met.repartition(buckets, "entity")).groupBy("entity", "ancestor").agg(F.min("distance").alias("distance"))
+            append(both.filter(F.col("distance") > reach))
+            reach *= 2
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")  # the name alone; the files are the result
+    return spark.read.schema(first.schema).parquet(path)
 
 
 def derivations(steps: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom.functions import scratch
 from gridloom.functions.scratch import cut
 from gridloom.operators import fixes, polygon, ranks, usage
 from gridloom.plans import fixtures
@@ -207,3 +208,15 @@ def test_small_files_are_no_tasks(spark, tmp_path, named):
         manifest.write_by_year(cells(spark), f"file://{tmp_path}/x", 5000)
     files = list((tmp_path / "x").rglob("*.parquet"))
     assert len(files) >= 16 and len({f.name.split("-")[1] for f in files}) == 1
+
+
+def test_upstream_writes_each_pair_once(spark, tmp_path, monkeypatch):
+    """Known pairs stay where they are: a round writes what is new alone, in buckets that later rounds read in place."""
+    folder = lambda *_: f"file://{tmp_path}"
+    monkeypatch.setattr(scratch, "shared_folder", folder)
+    monkeypatch.setattr(manifest, "shared_folder", folder, raising=False)
+    edges = [(f"c{k}", f"c{k - 1}") for k in range(1, 40)] + [("c0", "root"), ("c7", "c2")]
+    got = set(map(tuple, manifest.upstream(spark.createDataFrame(edges, "entity string, source string")).collect()))
+    written = [str(p) for p in (tmp_path / "gridloom").rglob("*.parquet")]
+    assert got == plain_upstream(edges) and spark.read.parquet(*written).count() == len(got)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("lineage_")]
