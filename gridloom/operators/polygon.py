@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.params import Grid
+from gridloom.functions.scratch import cut
 from gridloom.operators import regrid
 from gridloom.operators.aggregate import dims_of
 
@@ -169,7 +170,8 @@ def regrid_cells(cells: DataFrame, corners: DataFrame, grid: Grid | str, adaptiv
     sphere.  corners: (lat, lon, corners) of each source cell, as ``cell_edges`` takes them.  A target is missing where
     more than the threshold of what its sources cover of it is missing."""
     grid = grid if isinstance(grid, Grid) else Grid.parse(grid)
-    shared = areas(cells.sparkSession, grid.lats(), grid.lons(), cell_edges(corners)).select(F.col("geom.lat").alias("lat"), F.col("geom.lon").alias("lon"), F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"), "area")
+    borders = cut(cell_edges(corners), "cell-edges")  # areas reads them several times
+    shared = areas(cells.sparkSession, grid.lats(), grid.lons(), borders).select(F.col("geom.lat").alias("lat"), F.col("geom.lon").alias("lon"), F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"), "area")
     others = [c for c in dims_of(cells) if c not in ("lat", "lon")]
     w, there = F.col("area"), F.col("value").isNotNull()
     got = cells.join(shared, ["lat", "lon"]).groupBy(*others, F.col("t_lat").alias("lat"), F.col("t_lon").alias("lon")).agg(F.sum(w * F.col("value")).alias("v"), F.sum(F.when(there, w)).alias("g"), F.sum(w).alias("w"))

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from gridloom.functions.params import Components, Grid, Time
+from gridloom.functions.scratch import cut
 from gridloom.operators import aggregate as agg
 from gridloom.operators import chunks, ensemble, polygon, regrid, select
 from gridloom.plans import workflow
@@ -401,7 +402,7 @@ g as (select lat, lon, any_value(value) as value, tlat, tlon, abs(sum(s * (xb -
 select tlat as lat, tlon as lon, round(case when sum(case when value is not null then area end) / sum(area) >= 0.5 - 1e-9 then sum(area * value) / sum(case when value is not null then area end) end, 5) as value from g where area > 1e-9 group by 1, 2""")
 def regrid_conservative_curvilinear(spark, sf):
     """The bent grid's cells have bent corners; what each shares with a target is exact."""
-    mean = _mean_map(spark, sf)
+    mean = cut(_mean_map(spark, sf), "mean-map")  # one row a position, for values and for corners
     at = F.array(*[F.struct(*[F.expr(e).alias(k) for k, e in _bent(f"lat + {a}", f"lon + {b}").items()]) for a, b in _CORNERS])
     return polygon.regrid_cells(mean, mean.select("lat", "lon", at.alias("corners")), "12").select("lat", "lon", F.round("value", 5).alias("value"))
 
