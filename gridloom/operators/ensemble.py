@@ -76,13 +76,17 @@ def concat_time(files: DataFrame, coordinates: Sequence[str] = ("lat", "lon", "l
 
 
 def align(cells: DataFrame) -> DataFrame:
-    """Every member on the union of all members' cells; what a member lacks is NULL.  Long rows are the
-    outer alignment already, so only the grid of cells by members is filled up."""
+    """Every member on the union of all members' cells; what a member lacks is NULL.  A cell's members are put in one
+    map, so that cells are moved once and the grid of cells by members, which is much larger, never is.  As keys
+    that are NULL equal none, a cell with such a one has no values."""
     where = ["variable", "time", "level", "lat", "lon"]
-    members = cells.select("realization").distinct()
-    listed = members.agg(F.sort_array(F.collect_list("realization")).alias("all"))  # one row: the members
-    axis = cells.select(*where).distinct().join(F.broadcast(listed), F.lit(True)).select(*where, F.explode("all").alias("realization"))
-    return axis.join(cells.groupBy(*where, "realization").agg(F.avg("value").alias("value")), [*where, "realization"], "left")
+    means = cells.groupBy(*where, "realization").agg(F.avg("value").alias("value"))
+    pair = F.when(F.col("realization").isNotNull(), F.struct("realization", "value"))
+    held = cut(means.groupBy(*where).agg(F.map_from_entries(F.collect_list(pair)).alias("own")), "aligned")
+    listed = held.select(F.explode(F.map_keys("own")).alias("realization")).distinct().agg(F.sort_array(F.collect_list("realization")).alias("all"))  # one row: the members
+    axis = held.join(F.broadcast(listed), F.lit(True)).select(*where, "own", F.explode("all").alias("realization"))
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in where])
+    return axis.select(*where, "realization", F.when(known, F.try_element_at("own", F.col("realization"))).alias("value"))
 
 
 def static_join(cells: DataFrame, grid: DataFrame, key: str) -> DataFrame:
