@@ -12,6 +12,12 @@ from pyspark.sql import functions as F
 #: Most rows that are ever broadcast by choice; beyond it joins shuffle.
 BROADCAST_ROWS = 500_000
 
+#: Rows that a task sorts for a join of two large tables.
+TASK_ROWS = 1 << 18
+
+#: Of so many rows one is looked at for hot keys, and so many of these make a key hot.
+ONE_OF, OFTEN = 1024, 32
+
 #: Folders of applications in local mode that name none.
 _LOCAL: dict[str, str] = {}
 
@@ -87,3 +93,23 @@ def join_split(df: DataFrame, counted: DataFrame, on: Column, key: Column, n: st
     hot, rest = F.broadcast(counted.filter(F.col(n) > most)), counted.filter(F.col(n) <= most)
     met = on == key
     return df.join(hot, met, how).unionByName(df.join(hot, met, "left_anti").join(rest, met, how))
+
+
+def join_dealt(df: DataFrame, other: DataFrame, on: str, key: str) -> DataFrame:
+    """``df`` joined with ``other`` where ``on`` equals ``key``; neither has a bound.  Both are dealt to so many tasks that
+    each sorts ``TASK_ROWS`` rows on average, however large they are.  (Left to Spark, a table of few bytes on disk is
+    broadcast, whatever its rows, and shares grow with the tables.)  Keys that a sample shows to have more than about
+    ``ONE_OF * OFTEN`` rows of ``df`` are met where these rows are; all others move by their key."""
+    df, other = df.filter(F.col(on).isNotNull()), other.filter(F.col(key).isNotNull())
+    n = df.count() + other.count()
+    tasks = max(partitions(df.sparkSession), -(-n // TASK_ROWS))
+    dealt = lambda rows: rows.repartition(tasks, on).join(other.repartition(tasks, key).hint("merge"), F.col(on) == F.col(key))
+    if n <= TASK_ROWS:
+        return dealt(df)
+    often = df.select(F.col(on).alias("_hot")).sample(1 / ONE_OF, seed=1).groupBy("_hot").agg(F.count("*").alias("_n")).filter(F.col("_n") >= OFTEN)
+    hot = cut(often.select("_hot"), "hot-keys")
+    if not hot.limit(1).count():
+        return dealt(df)
+    large, rest = (df.join(F.broadcast(hot), F.col(on) == F.col("_hot"), how) for how in ("left_semi", "left_anti"))
+    theirs = small(other.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left_semi"))
+    return large.join(theirs, F.col(on) == F.col(key)).unionByName(dealt(rest))

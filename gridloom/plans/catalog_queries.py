@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.names import averaged
-from gridloom.functions.scratch import cut, shared_folder
+from gridloom.functions.scratch import cut, join_dealt, shared_folder
 from gridloom.operators import chunks
 from gridloom.plans.fixtures import CAT, FILES, GRID, catalog_files, dataset_files, grid_cells, table
 from gridloom.plans.registry import query
@@ -302,7 +302,8 @@ def manifest_urls_all(spark, sf):
 @query("lineage_edges", """with s as (select o_orderkey as run, l_linenumber as step, l_returnflag as operator, concat('in', l_partkey) as i, concat('out', l_suppkey) as o, l_shipdate from lineitem join orders on l_orderkey = o_orderkey)
 select run, step, 'used' as edge, operator as subject, i as object from s union all select run, step, 'generated', o, operator from s union all select run, step, 'parameters', operator, concat('dims=lat,lon;freq=', operator) from s""")
 def lineage_edges(spark, sf):
-    li = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_partkey", "l_suppkey")
+    li = join_dealt(lines, table(spark, sf, "orders").select("o_orderkey"), "l_orderkey", "o_orderkey")
     params = F.create_map(F.lit("freq"), F.array("l_returnflag"), F.lit("dims"), F.array(F.lit("lat"), F.lit("lon")))
     steps = li.select(F.col("o_orderkey").alias("run"), F.col("l_linenumber").alias("step"), F.col("l_returnflag").alias("operator"), F.array(F.concat(F.lit("in"), "l_partkey"), F.lit("more")).alias("inputs"), F.array(F.concat(F.lit("out"), "l_suppkey")).alias("outputs"), params.alias("parameters"))
     return manifest.lineage(steps)

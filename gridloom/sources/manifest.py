@@ -8,7 +8,7 @@ import warnings
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -284,25 +284,37 @@ def derivations(steps: DataFrame) -> DataFrame:
     return steps.select(F.get("outputs", F.lit(0)).alias("entity"), F.get("inputs", F.lit(0)).alias("source"))
 
 
+def _edge(kind: str, subject: Column, to: Column) -> Column:
+    return F.struct(F.lit(kind).alias("edge"), subject.cast("string").alias("subject"), to.cast("string").alias("object"))
+
+
+def _edges(rows: DataFrame, told: list[Column], *of: str) -> DataFrame:
+    """The edges that each row tells of, from one pass over the rows.  Without ``_outer`` the optimizer would have them
+    made once more below, to see that there are any."""
+    return rows.select(*of, F.array(*told).alias("told")).select(*of, F.explode_outer("told").alias("e")).select(*of, "e.*").filter("subject is not null and object is not null")
+
+
 def lineage_runs(runs: DataFrame, service: str, version: str) -> DataFrame:
     """Edges of whole runs from rows (run, workflow, agent, start, end): the run is an activity of the service, asked
     for by an agent; it used the workflow, which is an entity; and it started and ended."""
-    edge = lambda kind, subject, to: F.struct(F.lit(kind).alias("edge"), subject.cast("string").alias("subject"), to.cast("string").alias("object"))
     at = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-    told = F.array(
-        edge("associated", F.col("run"), F.lit(f"{service} {version}")),
-        edge("on_behalf_of", F.lit(f"{service} {version}"), F.col("agent")),
-        edge("used", F.col("run"), F.col("workflow")),
-        edge("started", F.col("run"), at("start")),
-        edge("ended", F.col("run"), at("end")),
-    )
-    return runs.select("run", F.explode(told).alias("e")).select("run", "e.*").filter("subject is not null and object is not null")
+    told = [
+        _edge("associated", F.col("run"), F.lit(f"{service} {version}")),
+        _edge("on_behalf_of", F.lit(f"{service} {version}"), F.col("agent")),
+        _edge("used", F.col("run"), F.col("workflow")),
+        _edge("started", F.col("run"), at("start")),
+        _edge("ended", F.col("run"), at("end")),
+    ]
+    return _edges(runs, told, "run")
 
 
 def lineage(steps: DataFrame) -> DataFrame:
     """Edges of one run from rows (run, step, operator, inputs, outputs, parameters): each step used its
     first input and made its first output; the run is an activity of the service."""
-    used = steps.select("run", "step", F.lit("used").alias("edge"), F.col("operator").alias("subject"), F.get("inputs", F.lit(0)).alias("object"))
-    made = steps.select("run", "step", F.lit("generated").alias("edge"), F.get("outputs", F.lit(0)).alias("subject"), F.col("operator").alias("object"))
-    told = steps.select("run", "step", F.lit("parameters").alias("edge"), F.col("operator").alias("subject"), F.concat_ws(";", F.array_sort(F.transform(F.map_entries("parameters"), lambda e: F.concat_ws("=", e["key"], F.array_join(e["value"], ","))))).alias("object"))
-    return used.unionByName(made).unionByName(told).filter("subject is not null and object is not null")
+    parameters = F.concat_ws(";", F.array_sort(F.transform(F.map_entries("parameters"), lambda e: F.concat_ws("=", e["key"], F.array_join(e["value"], ",")))))
+    told = [
+        _edge("used", F.col("operator"), F.get("inputs", F.lit(0))),
+        _edge("generated", F.get("outputs", F.lit(0)), F.col("operator")),
+        _edge("parameters", F.col("operator"), parameters),
+    ]
+    return _edges(steps, told, "run", "step")
