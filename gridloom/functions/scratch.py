@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 #: Most rows that are ever broadcast by choice; beyond it joins shuffle.
 BROADCAST_ROWS = 500_000
 
-#: Rows that a task sorts for a join of two large tables.
-TASK_ROWS = 1 << 18
+#: Rows that a task sorts for a join of two large tables (about 220 MB).  Fewer would make more tasks, and over 200 of them the
+#: rows are sorted, and held, by the tasks that deal them out, too.
+TASK_ROWS = 3 << 19
 
 #: Of so many rows one is looked at for hot keys, and so many of these make a key hot.
-ONE_OF, OFTEN = 1024, 32
+ONE_OF, OFTEN = 1024, 128
 
 #: Folders of applications in local mode that name none.
 _LOCAL: dict[str, str] = {}
